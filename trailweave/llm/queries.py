@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import assess
 
@@ -16,9 +29,37 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_ppl")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: The pages' template, by its own marks: blocks are what stands between the tags of headings and paragraphs inside the article.
+_ARTICLE_BLOCKS = r"""
+WITH parts AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS inside FROM pages
+), cuts AS (
+  SELECT page_id, url, list_transform(string_split_regex(inside, '</?(?:h1|p)>'), x ->
+    trim(regexp_replace(
+      replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+      '\s+', ' ', 'g'))) AS texts FROM parts
+)
+SELECT page_id, url, array_to_string(list_filter(texts, x -> x <> ''), chr(10)) AS text,
+       CAST(length(array_to_string(list_filter(texts, x -> x <> ''), chr(10))) AS BIGINT) AS n_chars
+FROM cuts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_html_text": _ARTICLE_BLOCKS}
