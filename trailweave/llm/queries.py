@@ -29,6 +29,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_ppl")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import groups
+
+    return groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secrets
 
@@ -50,13 +56,13 @@ _ARTICLE_BLOCKS = r"""
 WITH parts AS (
   SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS inside FROM pages
 ), cuts AS (
-  SELECT page_id, url, list_transform(string_split_regex(inside, '</?(?:h1|p)>'), x ->
+  SELECT page_id, url, list_transform(string_split_regex(inside, '</?(?:h1|p)>'), lambda x:
     trim(regexp_replace(
       replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
       '\s+', ' ', 'g'))) AS texts FROM parts
 )
-SELECT page_id, url, array_to_string(list_filter(texts, x -> x <> ''), chr(10)) AS text,
-       CAST(length(array_to_string(list_filter(texts, x -> x <> ''), chr(10))) AS BIGINT) AS n_chars
+SELECT page_id, url, array_to_string(list_filter(texts, lambda x: x <> ''), chr(10)) AS text,
+       CAST(length(array_to_string(list_filter(texts, lambda x: x <> ''), chr(10))) AS BIGINT) AS n_chars
 FROM cuts
 """
 
