@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import nearest
 
@@ -22,6 +28,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_scan import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import assess
 
@@ -35,6 +47,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, responses
+
+    return derivatives(responses(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secrets
 
@@ -51,6 +69,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import segmentations
+
+    return segmentations(table(spark, sf_dir, "documents"))
+
+
 #: The pages' template, by its own marks: blocks are what stands between the tags of headings and paragraphs inside the article.
 _ARTICLE_BLOCKS = r"""
 WITH parts AS (
