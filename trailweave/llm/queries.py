@@ -44,7 +44,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import groups
 
-    return groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
