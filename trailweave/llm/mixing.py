@@ -145,9 +145,11 @@ def row_key(docs: DataFrame) -> Column:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` in the mix: every row as often as it takes copies, all columns kept. Repeated rows share the copies of all."""
-    shares = mix(docs).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    shares = cut(shares.where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("row_key").alias("m_key"), "copies", "rows"))
-    joined = docs.join(shares, F.col("doc_id").eqNullSafe(F.col("m_id")) & (row_key(docs) == F.col("m_key")))
-    usual = joined.where("rows = 1").withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    several = joined.where("rows > 1").dropDuplicates(["m_id", "m_key"]).withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return usual.select(*docs.columns).unionByName(several.select(*docs.columns))
+    shares = mix(docs).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("m_copies"), F.count(F.lit(1)).alias("m_rows"))
+    shares = cut(shares.where("m_copies > 0").select(F.col("doc_id").alias("m_id"), F.col("row_key").alias("m_key"), "m_copies", "m_rows"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # a document's own columns may be called anything
+    rows = docs.select(docs["doc_id"].cast("long").alias("own_id"), row_key(docs).alias("own_key"), *(docs[c].alias(n) for c, n in names.items()))
+    joined = rows.join(shares, F.col("own_id").eqNullSafe(F.col("m_id")) & (F.col("own_key") == F.col("m_key")))
+    once = joined.where("m_rows = 1").unionByName(joined.where("m_rows > 1").dropDuplicates(["m_id", "m_key"]))
+    each = once.withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_copies"))))
+    return each.select(*(F.col(n).alias(c) for c, n in names.items()))
