@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ SPACE = "▁"
 #: What a character costs that no piece holds, below the least score of a piece.
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by a worker; then it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 700_000
 #: Segmentations asked for.
 BEST = 2
 
@@ -45,7 +46,8 @@ class Pieces:
     longest: int = 1
     unknown_score: float = 0.0
     of_byte: dict[int, int] = field(default_factory=dict)
-    remembered: dict[str, list[tuple[float, bytes]]] = field(default_factory=dict)
+    prefixes: frozenset[str] = frozenset()
+    remembered: dict[str, tuple[float, bytes, float]] = field(default_factory=dict)
 
     @classmethod
     def load(cls, model: bytes) -> Pieces:
@@ -63,15 +65,19 @@ class Pieces:
         chained = all(SPACE not in t.lstrip(SPACE) for t in known)
         longest = max(map(len, known), default=1)
         least = min((s for _, s in known.values() if s > -1e8), default=0.0)
-        return cls(known, texts, byte_ids, unknown_id, chained, longest, least - UNKNOWN_PENALTY, {i: b for b, i in enumerate(byte_ids)})
+        prefixes = frozenset(t[:k] for t in known for k in range(1, len(t) + 1))
+        return cls(known, texts, byte_ids, unknown_id, chained, longest, least - UNKNOWN_PENALTY, {i: b for b, i in enumerate(byte_ids)}, prefixes)
 
     def _ends(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each position, the (start, score, ids) of the lattice's edges that end there."""
-        n, known = len(text), self.known
+        n, known, prefixes = len(text), self.known, self.prefixes
         ends: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if found := known.get(text[i:j]):
+            for j in range(i + 1, n + 1):
+                part = text[i:j]
+                if part not in prefixes:
+                    break
+                if found := known.get(part):
                     ends[j].append((i, found[1], (found[0],)))
             if text[i] not in known:
                 ids = tuple(self.byte_ids[b] for b in text[i].encode("utf-8", "surrogatepass")) if self.byte_ids else (self.unknown_id,)
@@ -81,36 +87,51 @@ class Pieces:
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The (score, ids) of the ``n`` best segmentations of a string of pieces' characters, best first; fewer if there are no more.
 
-        Of equal scores, those found first, which a run always repeats.
+        Of equal scores, those found first, which a run always repeats. A step of the search puts two states on the heap: the best
+        edge into its position, and the next best one in place of the edge that it came by.
         """
         ends = self._ends(text)
         best = [0.0] * (len(text) + 1)
         for j in range(1, len(text) + 1):
-            best[j] = max(best[i] + score for i, score, _ in ends[j])
+            best[j] = max([best[i] + score for i, score, _ in ends[j]])
+        ordered: list[list[tuple] | None] = [None] * (len(text) + 1)
+
+        def ways(at: int) -> list[tuple]:
+            found = ordered[at]
+            if found is None:
+                found = ordered[at] = sorted([(-best[i] - score, i, score, ids) for i, score, ids in ends[at]])
+            return found
+
         out: list[tuple[float, tuple[int, ...]]] = []
-        count = itertools.count()
-        # (minus the best score of a whole segmentation that ends so, turn, position, score so far, chain of ids)
-        heap: list[tuple] = [(-best[-1], next(count), len(text), 0.0, None)]
+        turn = 0
+        # (minus the best score of a whole segmentation by this edge, turn, position, rank of the edge into it, score so far, chain of ids)
+        heap: list[tuple] = [(-best[-1], 0, len(text), 0, 0.0, None)]
         while heap and len(out) < n:
-            _, _, at, so_far, chain = heapq.heappop(heap)
-            if at == 0:
-                ids: list[int] = []
-                while chain:
-                    ids += chain[0]
-                    chain = chain[1]
-                out.append((so_far, tuple(ids)))
+            _, _, at, rank, so_far, chain = heapq.heappop(heap)
+            edges = ways(at)
+            turn += 2
+            if rank + 1 < len(edges):
+                heapq.heappush(heap, (edges[rank + 1][0] - so_far, turn, at, rank + 1, so_far, chain))
+            _, start, score, ids = edges[rank]
+            so_far, chain = so_far + score, (ids, chain)
+            if start:
+                heapq.heappush(heap, (-best[start] - so_far, turn + 1, start, 0, so_far, chain))
                 continue
-            for start, score, ids in ends[at]:
-                heapq.heappush(heap, (-(best[start] + so_far + score), next(count), start, so_far + score, (ids, chain)))
+            path: list[int] = []
+            while chain:
+                path += chain[0]
+                chain = chain[1]
+            out.append((so_far, tuple(path)))
         return out
 
-    def word(self, word: str, n: int) -> list[tuple[float, bytes]]:
-        """``n_best`` of a word, remembered, the ids as bytes of 32-bit numbers."""
+    def word(self, word: str) -> tuple[float, bytes, float]:
+        """Score and ids (as bytes of 32-bit numbers) of a word's best segmentation, and what the next best costs more; remembered."""
         found = self.remembered.get(word)
         if found is None:
             if len(self.remembered) >= REMEMBERED:
                 self.remembered.clear()
-            found = [(score, np.array(ids, dtype=np.int32).tobytes()) for score, ids in self.n_best(word, n)]
+            best = self.n_best(word, 2)
+            found = (best[0][0], array("i", best[0][1]).tobytes(), best[0][0] - best[1][0] if len(best) > 1 else inf)
             self.remembered[word] = found
         return found
 
@@ -119,17 +140,26 @@ class Pieces:
         if not text:
             return []
         marked = SPACE + text.replace(" ", SPACE)
-        words = [self.word(w, n) for w in (_WORD.findall(marked) if self.chained else [marked])]
-        top = sum(w[0][0] for w in words)
-        out = [(top, b"".join([w[0][1] for w in words]))]
+        words = _WORD.findall(marked) if self.chained else [marked]
+        get, look = self.remembered.get, self.word
+        found = [get(w) or look(w) for w in words]
+        top = sum([f[0] for f in found])
+        ids = [f[1] for f in found]
+        out = [(top, b"".join(ids))]
         if n > 1:
             # A segmentation among the n best leaves the best only in words whose next best is among the n - 1 that cost least.
-            gaps = heapq.nsmallest(n - 1, ((w[0][0] - w[1][0], k) for k, w in enumerate(words) if len(w) > 1))
-            heads: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-            for _, k in sorted(gaps, key=lambda g: g[1]):
-                options = [(cost + words[k][0][0] - w[0], change | ({k: i} if i else {})) for cost, change in heads for i, w in enumerate(words[k])]
-                heads = heapq.nsmallest(n, options, key=lambda o: o[0])
-            out += [(top - cost, b"".join([w[change.get(k, 0)][1] for k, w in enumerate(words)])) for cost, change in heads[1:n]]
+            costs = [f[2] for f in found]
+            where = [costs.index(min(costs))] if n == 2 else sorted(heapq.nsmallest(n - 1, range(len(costs)), key=costs.__getitem__))
+            heads: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
+            for k in where:
+                options = [(found[k][0] - score, {k: array("i", path).tobytes()}) for score, path in self.n_best(words[k], n)[1:]]
+                heads = heapq.nsmallest(n, heads + [(cost + more, change | other) for cost, change in heads for more, other in options], key=lambda o: o[0])
+            for cost, change in heads[1:n]:
+                for k, path in change.items():
+                    ids[k] = path
+                out.append((top - cost, b"".join(ids)))
+                for k in change:
+                    ids[k] = found[k][1]
         return out
 
     def decode(self, ids: bytes | list[int]) -> str:
