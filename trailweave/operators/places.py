@@ -100,6 +100,7 @@ def thin(rows: DataFrame, limit: int, span: float, levels: int = 20) -> DataFram
     """
     if limit <= 0:
         return rows.limit(0)
+    rows = cut(rows)
     if rows.limit(limit + 1).count() <= limit:
         return rows
     first = max(0, math.floor(math.log2(360 / max(span, 1e-9) * 256)))
