@@ -108,6 +108,16 @@ def test_n_best_equal_brute_force():
                 assert all(p.decode(ids) == text for _, ids in found)
 
 
+def test_many_words_at_once_equal_the_search():
+    rng = np.random.default_rng(9)
+    for p, letters in ((tiny(), "ab"), (pieces.Pieces.load(open(pieces.MODEL, "rb").read()), "aeinrstéΩ字.")):
+        words = sorted({"▁" * int(rng.integers(0, 3)) + "".join(rng.choice(list(letters), rng.integers(1, 14))) for _ in range(400)})
+        for w, (score, ids, gap) in zip(words, p.viterbi(words), strict=True):
+            best = p.n_best(w, 2)
+            assert (score, ids) == (best[0][0], np.array(best[0][1], dtype=np.int32).tobytes()), w
+            assert gap == (best[0][0] - best[1][0] if len(best) > 1 else float("inf")), w
+
+
 def test_pieces_round_trip(spark, odd):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source")
     got = pieces.segmentations(docs.unionByName(odd.select("doc_id", "text"), allowMissingColumns=True)).collect()

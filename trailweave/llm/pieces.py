@@ -2,8 +2,9 @@
 
 The pieces of a model that match a text span a lattice. Forward Viterbi gives the best score up to every position; searching backward
 from the end, that score is what the rest will cost exactly, so A-star finds segmentations in order of their scores. No piece of a model
-that splits at white space goes from one word into the next, so a text's lattice is a chain of words' lattices: words are searched
-once and remembered, and a text's n best come from the words whose next best costs least.
+that splits at white space goes from one word into the next, so a text's lattice is a chain of words' lattices. Forward scores are
+computed for all new words of a batch at once and remembered; they tell what leaving the best costs in each word, and A-star is run on
+the words in which a text's n best leave it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_slices
+from .common import mix64, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -28,6 +29,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by a worker; then it starts afresh.
 REMEMBERED = 700_000
+#: Words of up to so many characters are searched many at once.
+LONG_WORD = 48
 #: Segmentations asked for.
 BEST = 2
 
@@ -47,6 +50,7 @@ class Pieces:
     unknown_score: float = 0.0
     of_byte: dict[int, int] = field(default_factory=dict)
     prefixes: frozenset[str] = frozenset()
+    tables: list[tuple[np.ndarray, ...]] = field(default_factory=list)  # by length: sorted hashes of pieces, their ids and scores, sorted hashes of prefixes
     remembered: dict[str, tuple[float, bytes, float]] = field(default_factory=dict)
 
     @classmethod
@@ -66,7 +70,7 @@ class Pieces:
         longest = max(map(len, known), default=1)
         least = min((s for _, s in known.values() if s > -1e8), default=0.0)
         prefixes = frozenset(t[:k] for t in known for k in range(1, len(t) + 1))
-        return cls(known, texts, byte_ids, unknown_id, chained, longest, least - UNKNOWN_PENALTY, {i: b for b, i in enumerate(byte_ids)}, prefixes)
+        return cls(known, texts, byte_ids, unknown_id, chained, longest, least - UNKNOWN_PENALTY, {i: b for b, i in enumerate(byte_ids)}, prefixes, _tables(known, prefixes, longest))
 
     def _ends(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each position, the (start, score, ids) of the lattice's edges that end there."""
@@ -80,8 +84,7 @@ class Pieces:
                 if found := known.get(part):
                     ends[j].append((i, found[1], (found[0],)))
             if text[i] not in known:
-                ids = tuple(self.byte_ids[b] for b in text[i].encode("utf-8", "surrogatepass")) if self.byte_ids else (self.unknown_id,)
-                ends[i + 1].append((i, self.unknown_score, ids))
+                ends[i + 1].append((i, self.unknown_score, self._unknown(text[i])))
         return ends
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -135,6 +138,114 @@ class Pieces:
             self.remembered[word] = found
         return found
 
+    def learn(self, texts: list[str]) -> None:
+        """Remember all words of ``texts`` that aren't yet, those of up to LONG_WORD characters all at once."""
+        if not self.chained:
+            return
+        new = {w for t in texts if t for w in _WORD.findall(SPACE + t.replace(" ", SPACE))} - self.remembered.keys()
+        if len(self.remembered) + len(new) > REMEMBERED:
+            self.remembered.clear()
+        short = [w for w in new if len(w) <= LONG_WORD]
+        for start in range(0, len(short), 20_000):
+            some = short[start : start + 20_000]
+            self.remembered.update(zip(some, self.viterbi(some), strict=True))
+
+    def viterbi(self, words: list[str]) -> list[tuple[float, bytes, float]]:
+        """``word`` of many words at once: forward scores and, for what the next best costs, backward ones, by array operations.
+
+        A segmentation but the best holds an edge off the best path, and the best through an edge costs what forward and backward
+        scores at its ends say.
+        """
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        first = np.cumsum(lengths) - lengths
+        stop = (first + lengths)[owner]
+        # Nodes of a word are its positions and its end: position p of word w is node p + w.
+        at, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
+        src, dst, ids, scores = [], [], [], []
+        for length, (keys, piece, score, prefixes) in enumerate(self.tables, 1):
+            inside = at + length <= stop[at]
+            at, h = at[inside], _extend(h[inside], codes[at[inside] + length - 1])
+            if not len(at):
+                break
+            k = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            hit = keys[k] == h if len(keys) else np.zeros(len(h), bool)
+            src.append(at[hit] + owner[at[hit]])
+            dst.append(src[-1] + length)
+            ids.append(piece[k[hit]] if len(keys) else np.zeros(0, np.int64))
+            scores.append(score[k[hit]] if len(keys) else np.zeros(0))
+            if length == 1:
+                miss = at[~hit]
+                src.append(miss + owner[miss])
+                dst.append(src[-1] + 1)
+                ids.append(-1 - codes[miss].astype(np.int64))
+                scores.append(np.full(len(miss), self.unknown_score))
+            k = np.minimum(np.searchsorted(prefixes, h), max(len(prefixes) - 1, 0))
+            on = prefixes[k] == h if len(prefixes) else np.zeros(len(h), bool)
+            at, h = at[on], h[on]
+        src, dst, ids, scores = (np.concatenate(x) for x in (src, dst, ids, scores))
+        node_owner = np.repeat(np.arange(len(words)), lengths + 1)
+        start = first + np.arange(len(words))
+        last = start + lengths
+        forward, back = np.full(len(node_owner), -np.inf), np.full(len(node_owner), -np.inf)
+        forward[start], back[last] = 0.0, 0.0
+        enters = np.full(len(node_owner), -1)
+        place = dst - start[node_owner[dst]]
+        order = np.lexsort((src, dst, place))
+        bounds = np.searchsorted(place[order], np.arange(1, int(lengths.max()) + 2))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            e = order[a:b]
+            total = forward[src[e]] + scores[e]
+            heads = np.flatnonzero(np.r_[True, dst[e][1:] != dst[e][:-1]])
+            top = np.maximum.reduceat(total, heads)
+            forward[dst[e][heads]] = top
+            # The first edge that reaches the top: of equal ones, that of the earliest start.
+            best = np.flatnonzero(total == np.repeat(top, np.diff(np.r_[heads, len(e)])))
+            unique = best[np.r_[True, dst[e][best][1:] != dst[e][best][:-1]]]
+            enters[dst[e][unique]] = e[unique]
+        place = last[node_owner[src]] - src
+        order = np.lexsort((src, place))
+        bounds = np.searchsorted(place[order], np.arange(1, int(lengths.max()) + 2))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            e = order[a:b]
+            heads = np.flatnonzero(np.r_[True, src[e][1:] != src[e][:-1]])
+            back[src[e][heads]] = np.maximum.reduceat(back[dst[e]] + scores[e], heads)
+        # The best paths, backward, all words a step at a time.
+        on_path = np.zeros(len(src), dtype=bool)
+        here, who = last.copy(), np.arange(len(words))
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(here):
+            e = enters[here]
+            on_path[e] = True
+            steps.append((who, e))
+            here = src[e]
+            going = here > start[who]
+            here, who = here[going], who[going]
+        through = np.where(on_path, -np.inf, forward[src] + scores + back[dst])
+        second = np.full(len(words), -np.inf)
+        np.maximum.at(second, node_owner[src], through)
+        top = forward[last]
+        whose = np.concatenate([w for w, _ in steps])
+        path = ids[np.concatenate([e for _, e in steps])]
+        turn = np.repeat(np.arange(len(steps)), [len(w) for w, _ in steps])
+        order = np.lexsort((-turn, whose))
+        path, sizes = path[order], np.bincount(whose, minlength=len(words))
+        cuts = np.r_[0, np.cumsum(sizes)]
+        plain, unknown = path.astype(np.int32).tobytes(), np.flatnonzero(path < 0)
+        odd = set(np.searchsorted(cuts, unknown, side="right") - 1)
+        out = []
+        for w in range(len(words)):
+            packed = plain[4 * cuts[w] : 4 * cuts[w + 1]]
+            if w in odd:
+                each = [[i] if i >= 0 else self._unknown(chr(-1 - i)) for i in path[cuts[w] : cuts[w + 1]].tolist()]
+                packed = array("i", [i for x in each for i in x]).tobytes()
+            out.append((float(top[w]), packed, float(top[w] - second[w])))
+        return out
+
+    def _unknown(self, char: str) -> tuple[int, ...]:
+        return tuple(self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")) if self.byte_ids else (self.unknown_id,)
+
     def encode(self, text: str, n: int = BEST) -> list[tuple[float, bytes]]:
         """The (score, ids as bytes of 32-bit numbers) of the ``n`` best segmentations of a text; none of an empty text."""
         if not text:
@@ -181,6 +292,28 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+def _extend(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return mix64(h * np.uint64(0x9E3779B97F4A7C15) + code + np.uint64(1))
+
+
+def _hashes(texts: list[str], length: int) -> np.ndarray:
+    h = np.zeros(len(texts), dtype=np.uint64)
+    for k in range(length):
+        h = _extend(h, np.array([ord(t[k]) for t in texts], dtype=np.uint64))
+    return h
+
+
+def _tables(known: dict[str, tuple[int, float]], prefixes: frozenset[str], longest: int) -> list[tuple[np.ndarray, ...]]:
+    out = []
+    for length in range(1, longest + 1):
+        some = [t for t in known if len(t) == length]
+        keys = _hashes(some, length)
+        order = np.argsort(keys)
+        ids, scores = (np.array([known[t][i] for t in some], dtype=kind)[order] for i, kind in ((0, np.int64), (1, np.float64)))
+        out.append((keys[order], ids, scores, np.sort(_hashes([t for t in prefixes if len(t) == length], length))))
+    return out
+
+
 _loaded: dict[bytes, Pieces] = {}
 
 
@@ -200,6 +333,7 @@ def _each(docs: DataFrame, model_path: str, n: int, make, schema: str) -> DataFr
         pieces = _pieces(shipped.value)
         for batch in batches:
             for part in text_slices(batch, "text"):
+                pieces.learn(part.column("text").to_pylist())
                 yield make(pieces, part, [pieces.encode(t, n) if t is not None else None for t in part.column("text").to_pylist()])
 
     return docs.mapInArrow(run, schema)
