@@ -192,41 +192,25 @@ def routes(pairs: DataFrame, graph: Graph, budget: Column | None = None) -> Data
     """(src, dst, path, cost): the cheapest path of every pair (src, dst and more) within its budget; pairs without one are left out.
 
     ``budget`` is a column of ``pairs`` with ``straight`` (the ends' distance); four times that and some slack by default. A round
-    extends all frontiers by one arc, keeps of each pair and node the cheapest arrival, ties by the lesser predecessor, and drops what
+    extends all frontiers by one arc, keeps of each pair and node the cheapest arrival, ties by the lesser path, and drops what
     exceeds the budget or what its destination has been reached for at less. Frontiers stay small, as budgets bound them.
     """
     at = graph.nodes.select("id", "x", "y")
     budget = budget if budget is not None else GAP_FACTOR * F.col("straight") + GAP_SLACK
     found = pairs.join(at.select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy")), "src").join(at.select(F.col("id").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy")), "dst")
     found = found.withColumn("straight", F.hypot(F.col("sx") - F.col("dx"), F.col("sy") - F.col("dy"))).groupBy("src", "dst").agg(F.max(budget).alias("most"))
-    search = cut(found)
-    seen = cut(search.select("src", "dst", F.col("src").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("back"), "most"))
-    frontier = seen
-    for _ in range(ROUNDS):
-        reached = seen.where("node = dst").select("src", "dst", F.col("cost").alias("goal"))
-        ahead = frontier.where("node <> dst").join(graph.arcs, F.col("node") == F.col("u"))
-        ahead = ahead.select("src", "dst", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("back"), "most").where("cost <= most")
-        ahead = ahead.join(reached, ["src", "dst"], "left").where(F.col("goal").isNull() | (F.col("cost") < F.col("goal"))).drop("goal")
-        best = ahead.groupBy("src", "dst", "node").agg(F.min(F.struct("cost", "back", "most")).alias("m")).select("src", "dst", "node", "m.cost", "m.back", "m.most")
-        old = seen.select("src", "dst", "node", F.col("cost").alias("had"))
-        better = cut(best.join(old, ["src", "dst", "node"], "left").where(F.col("had").isNull() | (F.col("cost") < F.col("had"))).drop("had"))
-        if not better.limit(1).count():
+    state = found.select("src", "dst", F.col("src").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("turn"), F.array("src").alias("path"), "most")
+    state = cut(state)
+    for turn in range(1, ROUNDS):
+        goal = state.where("node = dst").select("src", "dst", F.col("cost").alias("goal"))
+        ahead = state.where((F.col("turn") == turn - 1) & (F.col("node") != F.col("dst"))).join(graph.arcs, F.col("node") == F.col("u"))
+        ahead = ahead.select("src", "dst", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.lit(turn).alias("turn"), F.concat("path", F.array("v")).alias("path"), "most").where("cost <= most")
+        ahead = ahead.join(goal, ["src", "dst"], "left").where(F.col("goal").isNull() | (F.col("cost") < F.col("goal"))).select(*state.columns)
+        best = state.unionByName(ahead).groupBy("src", "dst", "node").agg(F.min(F.struct("cost", "turn", "path", "most")).alias("m"))
+        state = cut(best.select("src", "dst", "node", "m.cost", "m.turn", "m.path", "m.most"))
+        if not state.where(F.col("turn") == turn).limit(1).count():
             break
-        seen = cut(seen.join(better.select("src", "dst", "node"), ["src", "dst", "node"], "left_anti").unionByName(better))
-        frontier = better
-    # Paths are read off backward, one node a round, for all pairs at once.
-    trail = seen.select("src", "dst", "node", "back")
-    open_ = seen.where("node = dst").select("src", "dst", "cost", F.array("dst").alias("path"), F.col("back").alias("next"))
-    done = None
-    while True:
-        closed = open_.where(F.col("next").isNull()).drop("next")
-        done = closed if done is None else done.unionByName(closed)
-        open_ = open_.where(F.col("next").isNotNull())
-        step = trail.select("src", "dst", F.col("node").alias("next"), F.col("back").alias("after"))
-        open_ = cut(open_.join(step, ["src", "dst", "next"]).select("src", "dst", "cost", F.concat(F.array("next"), "path").alias("path"), F.col("after").alias("next")))
-        done = cut(done)
-        if not open_.limit(1).count():
-            return done.select("src", "dst", "path", "cost")
+    return state.where("node = dst").select("src", "dst", "path", "cost")
 
 
 def path_lengths(found: DataFrame, graph: Graph) -> DataFrame:

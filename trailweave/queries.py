@@ -493,13 +493,13 @@ def _town(spark, d):
 
 
 def _rides(spark, d, type_):
-    """Points of one type moved onto the town: metros along its rows, cars up its columns with a jump after every eighth point."""
+    """Points of one type moved onto the town: metros up and down its rows, cars its columns with a jump after every eighth point."""
     n, i = F.col("seq"), F.col("segment_id")
     noise = (F.col("lat") - 10) / 1000
     if type_ == "metro":
-        lat, lon = i % 12 / 100 + 10 + noise, n % 60 * 0.0025 + 20
+        lat, lon = i % 12 / 100 + 10 + noise, F.abs(n % 120 - 60) * 0.0025 + 20
     else:
-        lat, lon = F.floor(n / 8) % 12 / 100 + 10 + n % 8 * 0.0002, i % 18 / 100 + 20 + noise
+        lat, lon = F.abs(F.floor(n / 8) % 24 - 12) / 100 + 10 + n % 8 * 0.0002, i % 18 / 100 + 20 + noise
     return cut(_flagged(spark, d).where((F.col("type") == type_) & (F.col("flag") == 0)).withColumns({"lat": lat.cast("double"), "lon": lon.cast("double")}))
 
 
