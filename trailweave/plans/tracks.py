@@ -14,7 +14,9 @@ TYPES = ("walking", "cycling", "car", "metro", "bogus")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    """``events`` with ``ms``, the nearest millisecond of ``ts``, as epoch_ms gives it in SQL."""
+    nearest = F.col("ts").cast("timestamp") + F.expr("INTERVAL '0.0005' SECOND")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ms", F.unix_millis(nearest))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
