@@ -7,8 +7,9 @@ agree in all ROWS of a band meet in that band's bucket, and pairs are verified b
 
 Equal texts are one text from the start. Document frequencies are kept by hash in a table of fixed size, and so are the random
 variates, which bounds both broadcasts. A bucket never gives all its pairs: small buckets are matched in full, large ones star-wise
-with their most popular members. A text that matches no centre meets, in every bucket that it is in, two of those that do, and then the
-others like itself, with more centres each round until none is left. None is left out for its bucket's size.
+with their most popular members. Then classes, not texts, go on: in a bucket that holds texts of several components of the links found so
+far, all pairs across components are verified, but for those that the weights of PARTS parts of the shingles or the triangle inequality over
+the bucket's centres prove to be less similar than SIMILARITY. So the classes are those of all pairs that share a bucket, whatever its size.
 """
 
 from __future__ import annotations
@@ -34,6 +35,12 @@ DAMPING = 0.05
 VARIATES = 1 << 14
 #: Buckets of up to so many texts are matched in full.
 SMALL = 6
+#: Texts outside a bucket's largest component meet the bucket in blocks of about so many, each in a task of its own.
+BLOCK = 64
+#: Into so many parts a text's shingles are dealt by hash; what two texts share is at most the sum of the parts' lesser weights.
+PARTS = 64
+#: What rounding may add to a bound.
+ROUNDING = 1e-6
 #: Bits of the filter that keeps texts without a candidate from being shuffled; it never loses one that has.
 FILTER_BITS = 26
 SEED = 20_240_229
@@ -148,7 +155,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
 
 
 def _banded(texts: DataFrame, weight) -> DataFrame:
-    """(band, key, text_key) of each text with a shingle."""
+    """(text_key, bands, parts) of each text with a shingle: its key in each band, and the weight of each of PARTS parts of its shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         variates = _variates()
@@ -160,9 +167,12 @@ def _banded(texts: DataFrame, weight) -> DataFrame:
                 for j in range(ROWS):
                     key = mix64(key * np.uint64(31) + samples[:, :, j] + np.uint64(j + 1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(some) + 1, BANDS, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64)))
-                yield pa.record_batch([part.column("text_key").take(pa.array(some)), lists], names=["text_key", "bands"])
+                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * PARTS + (all_ >> np.uint32(16)) % PARTS
+                parts = np.bincount(owner, weight.value[all_ & np.uint32((1 << DF_BITS) - 1)], (len(bounds) - 1) * PARTS).reshape(-1, PARTS)[some]
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(0, PARTS * len(some) + 1, PARTS, dtype=np.int32)), pa.array(parts.reshape(-1).astype(np.float32)))
+                yield pa.record_batch([part.column("text_key").take(pa.array(some)), lists, parts], names=["text_key", "bands", "parts"])
 
-    return texts.select("text_key", "text").mapInArrow(sign, "text_key binary, bands array<long>")
+    return texts.select("text_key", "text").mapInArrow(sign, "text_key binary, bands array<long>, parts array<float>")
 
 
 def _crowded(members: DataFrame, over: int) -> DataFrame:
@@ -190,22 +200,12 @@ def _popular(members: DataFrame) -> DataFrame:
     return members.join(pop, F.col("text_key") == F.col("t")).select("band", "key", "text_key", "pop")
 
 
-def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """(band, key, c, text_key): every member of a bucket with each of the bucket's centres.
-
-    At first these are the two most popular members; later, the most popular one and, by a hash that changes with ``turn``, about
-    2 * 4**turn more, so that the turns needed grow with the logarithm of a bucket.
-    """
+def _stars(members: DataFrame) -> DataFrame:
+    """(band, key, c, text_key): every member of a bucket with each of the bucket's centres, its two most popular members."""
     odd = F.xxhash64("text_key") % 2 == 0
     rank = lambda among: F.max_by("text_key", F.when(among, F.struct("pop", "text_key")))
-    tops = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), rank(odd).alias("c0"), rank(~odd).alias("c1"), rank(F.lit(True)).alias("c"))
-    tops = tops.withColumnsRenamed({"band": "of", "key": "at"})
-    if turn:
-        met = members.join(tops, _same_bucket())
-        chance = F.pmod(F.xxhash64("text_key", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("n") / (2 * 4**turn))))
-        centres = met.where((F.col("text_key") == F.col("c")) | (chance == 0)).select("of", "at", F.col("text_key").alias("c"))
-    else:
-        centres = tops.select("of", "at", F.explode(F.array_distinct(F.array_compact(F.array("c0", "c1")))).alias("c"))
+    tops = members.groupBy("band", "key").agg(rank(odd).alias("c0"), rank(~odd).alias("c1"))
+    centres = tops.select(F.col("band").alias("of"), F.col("key").alias("at"), F.explode(F.array_distinct(F.array_compact(F.array("c0", "c1")))).alias("c"))
     return members.join(centres, _same_bucket()).where(F.col("c") != F.col("text_key")).select("band", "key", "c", "text_key")
 
 
@@ -225,7 +225,7 @@ def _spot(key: Column, i: int) -> Column:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, weight) -> DataFrame:
-    """``pairs`` (a, b) with their weighted Jaccard similarity, where it is SIMILARITY or more."""
+    """``pairs`` (a, b) with their weighted Jaccard similarity."""
     spark = texts.sparkSession
     kept = spark.sparkContext.broadcast(_filter(pairs))
 
@@ -251,7 +251,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, weight) -> DataFrame:
             similar = [weighted_jaccard(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), weight.value) for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True)]
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())], names=["a", "b", "similarity"])
 
-    return joined.mapInArrow(verify, "a binary, b binary, similarity double").where(F.col("similarity") >= SIMILARITY)
+    return joined.mapInArrow(verify, "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,38 +282,53 @@ def _links(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     frequencies, n = _document_frequencies(texts)
     weight = spark.sparkContext.broadcast(weights(frequencies, n))
-    bands = _banded(texts, weight).groupBy("text_key").agg(F.first("bands").alias("bands"))
+    bands = cut(_banded(texts, weight).groupBy("text_key").agg(F.first("bands").alias("bands"), F.first("parts").alias("parts")))
     members = cut(bands.select("text_key", F.posexplode("bands").alias("band", "key")))
     members = cut(members.join(_crowded(members, 1), _same_bucket(), "left_semi"))
-    ordered = (F.least("c", "text_key").alias("a"), F.greatest("c", "text_key").alias("b"))
     large = cut(_popular(members).join(_crowded(members, SMALL), _same_bucket(), "left_semi"))
-    stars = cut(_stars(large, 0))
-    pairs = cut(_full(members).union(stars.select(*ordered)).distinct())
-    tried, links = pairs, cut(_verified(texts, pairs, weight))
-    large = cut(_lone(large, links))
-    # Who matches no centre of a bucket meets those matched ones that are least like it, and one at random, as a chain would go on there.
-    mates = stars.select("band", "key", "text_key", *ordered).join(links, ["a", "b"])
-    mates = mates.groupBy("band", "key").agg(F.min_by("text_key", F.struct("similarity", "text_key")).alias("m0"), F.max_by("text_key", F.xxhash64("text_key")).alias("m1"))
-    met = large.join(mates.withColumnsRenamed({"band": "of", "key": "at"}), _same_bucket()).select("text_key", F.explode(F.array_distinct(F.array("m0", "m1"))).alias("mate"))
-    pairs = cut(met.select(F.least("mate", "text_key").alias("a"), F.greatest("mate", "text_key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    turn = 0
-    while True:
-        if pairs.limit(1).count():
-            tried, links = cut(tried.union(pairs)), cut(links.union(_verified(texts, pairs, weight)))
-        # Who is linked to nobody yet, and wasn't a centre, goes on with the others of its buckets that aren't.
-        large = _lone(large, links).join(stars.select("band", "key", F.col("c").alias("text_key")).distinct(), ["band", "key", "text_key"], "left_anti")
-        large = cut(large.join(_crowded(large, 1), _same_bucket(), "left_semi"))
-        if not large.limit(1).count():
-            return links
-        turn += 1
-        stars = cut(_stars(large, turn))
-        pairs = cut(stars.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"))
-
-
-def _lone(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` of texts without a link."""
-    linked = links.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    return members.join(linked, F.col("text_key") == F.col("t"), "left_anti")
+    stars = cut(_stars(large))
+    pairs = cut(_full(members).union(stars.select(F.least("c", "text_key").alias("a"), F.greatest("c", "text_key").alias("b"))).distinct())
+    known = cut(_verified(texts, pairs, weight))
+    pairs = cut(_across(large, stars, known, bands))
+    if pairs.limit(1).count():
+        known = cut(known.union(_verified(texts, pairs, weight)))
+    return known.where(F.col("similarity") >= SIMILARITY)
+
+
+def _across(large: DataFrame, stars: DataFrame, known: DataFrame, bands: DataFrame) -> DataFrame:
+    """(a, b), once each: the pairs of members of one bucket that are of different components, not in ``known``, and that no bound rules out.
+
+    One less similarity is a metric, so texts whose similarities to a centre differ by more than 1 - SIMILARITY can't be similar, nor can
+    texts whose parts' lesser weights are too small a share of both. A pair that shares several buckets comes from the first.
+    """
+    links = known.where(F.col("similarity") >= SIMILARITY)
+    root = components(links) if links.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    held = cut(large.join(root, F.col("text_key") == F.col("node"), "left").select("band", "key", "text_key", F.coalesce("root", "text_key").alias("comp")))
+    sizes = held.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+    sizes = sizes.where("others > 0").select(F.col("band").alias("of"), F.col("key").alias("at"), "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
+    held = cut(held.join(sizes, _same_bucket()).drop("of", "at"))
+    some = stars.join(sizes.select("of", "at"), _same_bucket(), "left_semi")
+    like = some.withColumns({"a": F.least("c", "text_key"), "b": F.greatest("c", "text_key")}).join(known, ["a", "b"]).select("band", "key", "c", "text_key", "similarity")
+    like = like.unionByName(some.select("band", "key", "c", F.col("c").alias("text_key"), F.lit(1.0).alias("similarity")).distinct())
+    like = like.groupBy("band", "key", "text_key").agg(F.sort_array(F.collect_list(F.struct("c", "similarity"))).alias("like"))
+    seen = held.groupBy("text_key").agg(F.collect_list(F.struct("band", F.xxhash64("band", "key").alias("id"))).alias("seen"))
+    held = held.join(like, ["band", "key", "text_key"]).join(seen.join(bands.select("text_key", "parts"), "text_key"), "text_key")
+    held = held.withColumn("s0", F.col("like")[0]["similarity"]).withColumn("s1", F.element_at("like", -1)["similarity"])
+    ids = lambda what: F.transform(what, lambda x: x["id"])
+    held = cut(held.withColumn("before", ids(F.filter("seen", lambda x: x["band"] < F.col("band")))).withColumn("ids", ids("seen")).drop("like", "seen"))
+    left = held.where(F.col("comp") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    left = left.select("band", "key", "block", F.col("text_key").alias("x"), F.col("comp").alias("x_comp"), F.col("parts").alias("x_parts"), F.col("s0").alias("x0"), F.col("s1").alias("x1"), "before")
+    right = held.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text_key", "comp", "main", "parts", "s0", "s1", "ids")
+    right = right.withColumnsRenamed({"band": "of", "key": "at", "block": "part"})
+    slack = F.lit(1 - SIMILARITY + ROUNDING)
+    able = (F.abs(F.col("s0") - F.col("x0")) <= slack) & (F.abs(F.col("s1") - F.col("x1")) <= slack)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    shared, both = total(F.zip_with("parts", "x_parts", lambda x, y: F.least(x, y))), total("parts") + total("x_parts")
+    fits = shared * (1 + SIMILARITY) >= both * (SIMILARITY - ROUNDING)
+    once = ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("text_key"))) & ~F.arrays_overlap("before", "ids")
+    met = left.join(right, _same_bucket() & (F.col("block") == F.col("part")) & (F.col("comp") != F.col("x_comp")) & able & once & fits)
+    return met.select(F.least("x", "text_key").alias("a"), F.greatest("x", "text_key").alias("b")).join(known, ["a", "b"], "left_anti")
 
 
 def groups(docs: DataFrame) -> DataFrame:
