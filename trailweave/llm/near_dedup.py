@@ -1,20 +1,21 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A shingle is SHINGLE successive words (all of them if a text has fewer). Its weight in a text is its number there times a damped
-inverse document frequency: undamped, the shingles that a large group of copies shares would weigh so little that the few words in
-which the copies differ decide. Each text keeps one consistent weighted sample for each of BANDS * ROWS hashes; texts whose samples
-agree in all ROWS of a band meet in that band's bucket, and pairs are verified by the weighted Jaccard similarity of whole texts.
-
-Equal texts are one text from the start. Document frequencies are kept by hash in a table of fixed size, and so are the random
-variates, which bounds both broadcasts. A bucket never gives all its pairs: small buckets are matched in full, large ones star-wise
-with their most popular members. Then classes, not texts, go on: in a bucket that holds texts of several components of the links found so
-far, all pairs across components are verified, but for those that the weights of PARTS parts of the shingles or the triangle inequality over
-the bucket's centres prove to be less similar than SIMILARITY. So the classes are those of all pairs that share a bucket, whatever its size.
+A shingle is SHINGLE successive words (all of them if a text has fewer). Its weight in a text is its number there times its inverse
+document frequency, in which a group of near copies counts about as one text: every text counts as one over the number of texts that
+share the likeliest of its min-hashes, so that what a large group of copies shares doesn't weigh less than the words in which the copies
+differ. Each text keeps one consistent weighted sample for each of BANDS * ROWS hashes; texts whose samples agree in all ROWS of a band
+meet in that band's bucket, and pairs are verified by the weighted Jaccard similarity of whole texts.
+
+Equal texts are one text from the start. Frequencies and min-hash counts are kept by hash in tables of fixed size, and so are the
+random variates, which bounds all broadcasts. A bucket never gives all its pairs. Buckets of up to SMALL texts are matched in full. In
+larger ones texts first meet the two most popular members; what these links leave in different components is then joined exactly by
+its rarest shingles: two texts that are similar enough share one of the shingles that make up the first 1 - SIMILARITY of either's
+weight, rarest first. So classes are those of all pairs that share a bucket, whatever its size, and only links leave the comparison.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +24,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut, mix64, sorted_unique, text_bytes, text_slices, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 8
+BANDS, ROWS = 20, 6
 #: Document frequencies are summed by this many bits of a shingle's hash.
 DF_BITS = 20
-#: Slots of that table that travel in one row.
+#: Min-hashes of a text, and the bits by which texts are counted for each.
+MIN_HASHES, MIN_BITS = 8, 17
+#: Slots of a table that travel in one row.
 RUN = 1 << 12
-#: The power of the inverse document frequency. At 0.05 the shingles of a group of thousands of copies weigh 5 % less than unique ones,
-#: so that a pair sharing 81 % of its words' windows is found in any group; at 0.25 that takes 85 %.
-DAMPING = 0.05
-#: Shingles draw their variates from so many rows.
+#: Shingles draw their variates from so many rows, gamma and Cauchy-like ones apart.
 VARIATES = 1 << 14
-#: Buckets of up to so many texts are matched in full.
+#: Buckets of up to so many texts are matched in full; larger ones by their centres and rarest shingles, which loses none either.
 SMALL = 6
-#: Texts outside a bucket's largest component meet the bucket in blocks of about so many, each in a task of its own.
-BLOCK = 64
-#: Into so many parts a text's shingles are dealt by hash; what two texts share is at most the sum of the parts' lesser weights.
-PARTS = 64
+#: Texts that share a rare shingle are compared in cells of about so many shingles a side, each in a task's memory.
+LEFT_CELL, RIGHT_CELL = 1 << 20, 1 << 22
+#: A text's pairs are dealt in so many parts, so that a popular member isn't one task.
+SALTS = 256
 #: What rounding may add to a bound.
 ROUNDING = 1e-6
 #: Bits of the filter that keeps texts without a candidate from being shuffled; it never loses one that has.
@@ -67,62 +67,101 @@ def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray
         yield part, *shingles(*text_bytes(part.column("text")))
 
 
-def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """How many texts hold a shingle with each hash of DF_BITS bits, and the number of texts with a shingle."""
+def _summed(rows: DataFrame, size: int, tally: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
+    """A table of ``size`` slots: the sums over all rows of what ``tally`` gives of a batch, as (slots, values)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = np.zeros(1 << DF_BITS, dtype=np.int32), 0
+        table = np.zeros(size)
         for batch in batches:
-            for _, all_, bounds in _grouped(batch):
-                owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
-                once = sorted_unique((owner << np.uint64(32)) | all_)
-                np.add.at(table, (once & np.uint64((1 << DF_BITS) - 1)).astype(np.int64), 1)
-                n += int((np.diff(bounds) > 0).sum())
-        for run in range(0, 1 << DF_BITS, RUN):
+            for slots, values in tally(batch):
+                np.add.at(table, slots, values)
+        for run in range(0, size, RUN):
             some = table[run : run + RUN]
             if some.any():
-                yield pa.record_batch([pa.array([run], pa.int32()), pa.array([some.astype(np.int64).tobytes()], pa.binary())], names=["run", "counts"])
-        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([np.array([n]).tobytes()], pa.binary())], names=["run", "counts"])
+                yield pa.record_batch([pa.array([run], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["run", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for run, counts in zip(batch.column("run").to_pylist(), batch.column("counts"), strict=True):
-                some = np.frombuffer(counts.as_buffer(), dtype=np.int64)
+            for run, part in zip(batch.column("run").to_pylist(), batch.column("sums"), strict=True):
+                some = np.frombuffer(part.as_buffer(), dtype=np.float64)
                 sums[run] = sums[run] + some if run in sums else some.copy()
         for run, some in sums.items():
-            yield pa.record_batch([pa.array([run], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["run", "counts"])
+            yield pa.record_batch([pa.array([run], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["run", "sums"])
 
     # Tables are summed as they stream in, so a task holds the runs that are its own, however many tables there are.
-    summed = texts.select("text").mapInArrow(count, "run int, counts binary").repartition("run").mapInArrow(add, "run int, counts binary").toArrow()
-    out, n = np.zeros(1 << DF_BITS, dtype=np.int64), 0
-    for run, counts in zip(summed.column("run").to_pylist(), summed.column("counts"), strict=True):
-        some = np.frombuffer(counts.as_buffer(), dtype=np.int64)
-        if run < 0:
-            n = int(some[0])
-        else:
-            out[run : run + RUN] = some
-    return out, n
-
-
-def weights(frequencies: np.ndarray, texts: int) -> np.ndarray:
-    """The weight of a shingle by its hash: (1 + ln((1 + N) / (1 + df))) ** DAMPING; df less what other shingles of the slot add on average."""
+    got = rows.mapInArrow(count, "run int, sums binary").repartition("run").mapInArrow(add, "run int, sums binary").toArrow()
+    out = np.zeros(size)
+    for run, part in zip(got.column("run").to_pylist(), got.column("sums"), strict=True):
+        out[run : run + RUN] = np.frombuffer(part.as_buffer(), dtype=np.float64)[: size - run]
+    return out
+
+
+def _min_slots(all_: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each text with a shingle, the slot of each of its MIN_HASHES min-hashes: the least of its shingles in as many orders."""
+    starts = bounds[:-1][np.diff(bounds) > 0]
+    out = np.zeros((len(starts), MIN_HASHES), dtype=np.int64)
+    if len(starts):
+        for k in range(MIN_HASHES):
+            factor = mix64(np.array([2 * k + 1], dtype=np.uint64))[0] | np.uint64(1)
+            least = np.minimum.reduceat((all_.astype(np.uint64) * factor) >> np.uint64(16), starts)
+            out[:, k] = (mix64(least) >> np.uint64(64 - MIN_BITS)).astype(np.int64) + (k << MIN_BITS)
+    return out
+
+
+def _shares(counts: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """What each text counts for: one over the texts that share the likeliest of its min-hashes, less what chance puts into a slot."""
+    load = counts.reshape(MIN_HASHES, -1).mean(axis=1)
+    chance = np.repeat(load + 3 * np.sqrt(load), 1 << MIN_BITS) if load.max() >= 0.05 else 0.0
+    return 1 / np.maximum(1.0, (counts - chance)[slots].max(axis=1, initial=1.0))
+
+
+def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, float]:
+    """How many texts hold a shingle with each hash of DF_BITS bits, and the number of texts; near copies count about as one."""
+
+    def copies(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, all_, bounds in _grouped(batch):
+            slots = _min_slots(all_, bounds).reshape(-1)
+            yield slots, np.ones(len(slots))
+
+    counts = texts.sparkSession.sparkContext.broadcast(_summed(texts.select("text"), MIN_HASHES << MIN_BITS, copies))
+
+    def holders(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, all_, bounds in _grouped(batch):
+            some = np.diff(bounds) > 0
+            share = np.zeros(len(some))
+            share[some] = _shares(counts.value, _min_slots(all_, bounds))
+            owner = np.repeat(np.arange(len(some), dtype=np.uint64), np.diff(bounds))
+            once = sorted_unique((owner << np.uint64(32)) | all_)
+            yield (once & np.uint64((1 << DF_BITS) - 1)).astype(np.int64), share[(once >> np.uint64(32)).astype(np.int64)]
+            yield np.array([1 << DF_BITS]), np.array([share.sum()])
+
+    table = _summed(texts.select("text"), (1 << DF_BITS) + 1, holders)
+    return table[:-1], float(table[-1])
+
+
+def weights(frequencies: np.ndarray, texts: float) -> np.ndarray:
+    """The weight of a shingle by its hash: 1 + ln((1 + N) / (1 + df)); df less what other shingles of the slot add on average."""
     load = frequencies.mean()
     df = np.maximum(frequencies - load, max(1.0, 2 * np.sqrt(load)))
-    return ((1 + np.log((1 + texts) / (1 + np.minimum(df, texts)))) ** DAMPING).astype(np.float32)
+    return (1 + np.log((1 + max(texts, 1.0)) / (1 + np.minimum(df, max(texts, 1.0))))).astype(np.float32)
 
 
-def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row and hash: r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), beta ~ Uniform(0, 1)."""
+def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row and hash: r ~ Gamma(2, 1), 1 / r, beta ~ Uniform(0, 1); and ln c with c ~ Gamma(2, 1)."""
     rng = np.random.default_rng(SEED)
     shape = (VARIATES, BANDS * ROWS)
-    return rng.gamma(2.0, 1.0, shape).astype(np.float32), np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32), rng.random(shape, dtype=np.float32)
+    r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
+    return r, 1 / r, rng.random(shape, dtype=np.float32), np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
 
 
 def signatures(all_: np.ndarray, bounds: np.ndarray, weight: np.ndarray, variates: tuple) -> np.ndarray:
     """The consistent weighted samples of each text, one 64-bit value for each hash; zeros if it has no shingle."""
-    r, log_c, beta = variates
-    out = np.zeros((len(bounds) - 1, r.shape[1]), dtype=np.uint64)
+    r, inverse, beta, log_c = variates
+    hashes, step = r.shape[1], 1024
+    out = np.zeros((len(bounds) - 1, hashes), dtype=np.uint64)
+    room = [np.empty((step, hashes), dtype=np.float32) for _ in range(3)]
+    each = np.arange(hashes)
     for i in range(len(bounds) - 1):
         mine = np.sort(all_[bounds[i] : bounds[i + 1]])
         if not len(mine):
@@ -130,17 +169,27 @@ def signatures(all_: np.ndarray, bounds: np.ndarray, weight: np.ndarray, variate
         at = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
         keys, tf = mine[at], np.diff(np.r_[at, len(mine)])
         log_w = np.log(tf * weight[keys & np.uint32((1 << DF_BITS) - 1)]).astype(np.float32)
-        least = np.full(r.shape[1], np.inf, dtype=np.float32)
-        for start in range(0, len(keys), 2048):
-            k = keys[start : start + 2048]
-            row = (mix64(k.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % VARIATES
-            rr = r[row]
-            t = np.floor(log_w[start : start + 2048, None] / rr + beta[row])
-            log_a = log_c[row] - rr * (t - beta[row] + 1)
-            first = log_a.argmin(axis=0)
-            value = log_a[first, np.arange(r.shape[1])]
+        least = np.full(hashes, np.inf, dtype=np.float32)
+        for start in range(0, len(keys), step):
+            k = keys[start : start + step].astype(np.uint64)
+            mixed = mix64(k)
+            row, other = ((mixed >> np.uint64(shift)).astype(np.int64) % VARIATES for shift in (40, 10))
+            # t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1)
+            b, t, a = (x[: len(k)] for x in room)
+            np.take(beta, row, axis=0, out=b)
+            np.take(inverse, row, axis=0, out=t)
+            t *= log_w[start : start + step, None]
+            t += b
+            np.floor(t, out=t)
+            np.subtract(t, b, out=b)
+            b += 1
+            b *= np.take(r, row, axis=0, out=a)
+            np.take(log_c, other, axis=0, out=a)
+            a -= b
+            first = a.argmin(axis=0)
+            value = a[first, each]
             better = value < least
-            chosen = mix64((k[first].astype(np.uint64) << np.uint64(16)) ^ (t[first, np.arange(r.shape[1])].astype(np.int64) & 0xFFFF).astype(np.uint64))
+            chosen = mix64((k[first] << np.uint64(16)) ^ (t[first, each].astype(np.int64) & 0xFFFF).astype(np.uint64))
             least, out[i] = np.where(better, value, least), np.where(better, chosen, out[i])
     return out
 
@@ -155,7 +204,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
 
 
 def _banded(texts: DataFrame, weight) -> DataFrame:
-    """(text_key, bands, parts) of each text with a shingle: its key in each band, and the weight of each of PARTS parts of its shingles."""
+    """(text_key, bands) of each text with a shingle: its key in each band."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         variates = _variates()
@@ -167,12 +216,9 @@ def _banded(texts: DataFrame, weight) -> DataFrame:
                 for j in range(ROWS):
                     key = mix64(key * np.uint64(31) + samples[:, :, j] + np.uint64(j + 1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(some) + 1, BANDS, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64)))
-                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * PARTS + (all_ >> np.uint32(16)) % PARTS
-                parts = np.bincount(owner, weight.value[all_ & np.uint32((1 << DF_BITS) - 1)], (len(bounds) - 1) * PARTS).reshape(-1, PARTS)[some]
-                parts = pa.ListArray.from_arrays(pa.array(np.arange(0, PARTS * len(some) + 1, PARTS, dtype=np.int32)), pa.array(parts.reshape(-1).astype(np.float32)))
-                yield pa.record_batch([part.column("text_key").take(pa.array(some)), lists, parts], names=["text_key", "bands", "parts"])
+                yield pa.record_batch([part.column("text_key").take(pa.array(some)), lists], names=["text_key", "bands"])
 
-    return texts.select("text_key", "text").mapInArrow(sign, "text_key binary, bands array<long>, parts array<float>")
+    return texts.select("text_key", "text").mapInArrow(sign, "text_key binary, bands array<long>")
 
 
 def _crowded(members: DataFrame, over: int) -> DataFrame:
@@ -209,10 +255,9 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(centres, _same_bucket()).where(F.col("c") != F.col("text_key")).select("band", "key", "c", "text_key")
 
 
-def _filter(pairs: DataFrame) -> np.ndarray:
-    """A Bloom filter of the texts in ``pairs``, as FILTER_BITS bits."""
-    key = F.explode(F.array("a", "b")).alias("k")
-    spots = pairs.select(key).distinct().select(F.explode(F.array(*(_spot(F.col("k"), i) for i in range(2)))).alias("spot"))
+def _filter(members: DataFrame) -> np.ndarray:
+    """A Bloom filter of the texts in ``members``, as FILTER_BITS bits."""
+    spots = members.select("text_key").distinct().select(F.explode(F.array(*(_spot(F.col("text_key"), i) for i in range(2)))).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
     got = words.toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
@@ -224,10 +269,9 @@ def _spot(key: Column, i: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1 << FILTER_BITS)).cast("int")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, weight) -> DataFrame:
-    """``pairs`` (a, b) with their weighted Jaccard similarity."""
-    spark = texts.sparkSession
-    kept = spark.sparkContext.broadcast(_filter(pairs))
+def _sets(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(text_key, grams): the sorted shingles, each as often as it occurs, of the texts in ``members`` and a few others."""
+    kept = texts.sparkSession.sparkContext.broadcast(_filter(members))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = kept.value
@@ -240,16 +284,23 @@ def _verified(texts: DataFrame, pairs: DataFrame, weight) -> DataFrame:
                 yield pa.record_batch([part.column("text_key"), pa.array(packed, pa.binary())], names=["text_key", "grams"])
 
     grams = texts.select("text_key", "text", *(_spot(F.col("text_key"), i).alias(f"spot{i}") for i in range(2)))
-    grams = grams.mapInArrow(sets, "text_key binary, grams binary").groupBy("text_key").agg(F.first("grams").alias("grams"))
-    grams = cut(grams.select("text_key", "grams"))
-    left, right = grams.withColumnsRenamed({"text_key": "ka", "grams": "ga"}), grams.withColumnsRenamed({"text_key": "kb", "grams": "gb"})
-    # The side that is more often a centre is joined last, so that its shingles don't ride through a shuffle for each pair.
-    joined = pairs.join(right, F.col("b") == F.col("kb")).join(left, F.col("a") == F.col("ka")).select("a", "b", "ga", "gb")
+    return grams.mapInArrow(sets, "text_key binary, grams binary").groupBy("text_key").agg(F.first("grams").alias("grams"))
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, weight) -> DataFrame:
+    """``pairs`` (x, c) with their weighted Jaccard similarity.
+
+    ``c`` may stand in any share of the pairs: its shingles go to as many parts of them as there are, up to SALTS.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+    centres = salted.select("c", "salt").distinct().join(sets, F.col("c") == F.col("text_key")).select(F.col("c").alias("of"), F.col("salt").alias("part"), F.col("grams").alias("gc"))
+    joined = salted.join(sets, F.col("x") == F.col("text_key")).select("x", "c", "salt", F.col("grams").alias("gx"))
+    joined = joined.join(centres, (F.col("c") == F.col("of")) & (F.col("salt") == F.col("part"))).select("x", "c", "gx", "gc")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            similar = [weighted_jaccard(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), weight.value) for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True)]
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())], names=["a", "b", "similarity"])
+            similar = [weighted_jaccard(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), weight.value) for x, y in zip(batch.column("gx"), batch.column("gc"), strict=True)]
+            yield pa.record_batch([batch.column("x"), batch.column("c"), pa.array(similar, pa.float64())], names=["a", "b", "similarity"])
 
     return joined.mapInArrow(verify, "a binary, b binary, similarity double")
 
@@ -282,53 +333,127 @@ def _links(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     frequencies, n = _document_frequencies(texts)
     weight = spark.sparkContext.broadcast(weights(frequencies, n))
-    bands = cut(_banded(texts, weight).groupBy("text_key").agg(F.first("bands").alias("bands"), F.first("parts").alias("parts")))
+    bands = _banded(texts, weight).groupBy("text_key").agg(F.first("bands").alias("bands"))
     members = cut(bands.select("text_key", F.posexplode("bands").alias("band", "key")))
     members = cut(members.join(_crowded(members, 1), _same_bucket(), "left_semi"))
     large = cut(_popular(members).join(_crowded(members, SMALL), _same_bucket(), "left_semi"))
-    stars = cut(_stars(large))
-    pairs = cut(_full(members).union(stars.select(F.least("c", "text_key").alias("a"), F.greatest("c", "text_key").alias("b"))).distinct())
-    known = cut(_verified(texts, pairs, weight))
-    pairs = cut(_across(large, stars, known, bands))
-    if pairs.limit(1).count():
-        known = cut(known.union(_verified(texts, pairs, weight)))
-    return known.where(F.col("similarity") >= SIMILARITY)
+    pairs = _full(members).select(F.col("a").alias("x"), F.col("b").alias("c")).union(_stars(large).select("text_key", "c"))
+    sets = cut(_sets(texts, members))
+    links = cut(_verified(sets, pairs.distinct(), weight).where(F.col("similarity") >= SIMILARITY))
+    return links.union(_across(sets, large.select("text_key").distinct(), links, weight))
+
+
+def _elements(grams: np.ndarray) -> np.ndarray:
+    """Sorted shingles with repeats as different elements of a set: a shingle's hash, then which of its occurrences it is."""
+    nth = np.arange(len(grams)) - np.searchsorted(grams, grams)
+    return (grams.astype(np.uint64) << np.uint64(32)) | nth.astype(np.uint64)
 
 
-def _across(large: DataFrame, stars: DataFrame, known: DataFrame, bands: DataFrame) -> DataFrame:
-    """(a, b), once each: the pairs of members of one bucket that are of different components, not in ``known``, and that no bound rules out.
+def _weight_of(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return weight[(elements >> np.uint64(32)).astype(np.int64) & ((1 << DF_BITS) - 1)].astype(np.float64)
 
-    One less similarity is a metric, so texts whose similarities to a centre differ by more than 1 - SIMILARITY can't be similar, nor can
-    texts whose parts' lesser weights are too small a share of both. A pair that shares several buckets comes from the first.
+
+def _across(sets: DataFrame, hot: DataFrame, links: DataFrame, weight) -> DataFrame:
+    """(a, b, similarity) of all pairs of ``hot`` texts that are similar but not of one component of ``links``.
+
+    A similar pair shares weight of at least SIMILARITY times that of either text. Let all shingles stand in one order, rare ones first,
+    and a text's head be its first shingles down to where less than that share is left: then the heads of a similar pair have a shingle
+    in common. Any order is right; this one is by how many hot texts hold a shingle. Texts that share a head shingle are compared in
+    cells of bounded size where they aren't all of one component, those of the largest component only with the others.
     """
-    links = known.where(F.col("similarity") >= SIMILARITY)
+    spark = sets.sparkSession
     root = components(links) if links.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    held = cut(large.join(root, F.col("text_key") == F.col("node"), "left").select("band", "key", "text_key", F.coalesce("root", "text_key").alias("comp")))
-    sizes = held.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-    sizes = sizes.where("others > 0").select(F.col("band").alias("of"), F.col("key").alias("at"), "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
-    held = cut(held.join(sizes, _same_bucket()).drop("of", "at"))
-    some = stars.join(sizes.select("of", "at"), _same_bucket(), "left_semi")
-    like = some.withColumns({"a": F.least("c", "text_key"), "b": F.greatest("c", "text_key")}).join(known, ["a", "b"]).select("band", "key", "c", "text_key", "similarity")
-    like = like.unionByName(some.select("band", "key", "c", F.col("c").alias("text_key"), F.lit(1.0).alias("similarity")).distinct())
-    like = like.groupBy("band", "key", "text_key").agg(F.sort_array(F.collect_list(F.struct("c", "similarity"))).alias("like"))
-    seen = held.groupBy("text_key").agg(F.collect_list(F.struct("band", F.xxhash64("band", "key").alias("id"))).alias("seen"))
-    held = held.join(like, ["band", "key", "text_key"]).join(seen.join(bands.select("text_key", "parts"), "text_key"), "text_key")
-    held = held.withColumn("s0", F.col("like")[0]["similarity"]).withColumn("s1", F.element_at("like", -1)["similarity"])
-    ids = lambda what: F.transform(what, lambda x: x["id"])
-    held = cut(held.withColumn("before", ids(F.filter("seen", lambda x: x["band"] < F.col("band")))).withColumn("ids", ids("seen")).drop("like", "seen"))
-    left = held.where(F.col("comp") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
-    left = left.select("band", "key", "block", F.col("text_key").alias("x"), F.col("comp").alias("x_comp"), F.col("parts").alias("x_parts"), F.col("s0").alias("x0"), F.col("s1").alias("x1"), "before")
-    right = held.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text_key", "comp", "main", "parts", "s0", "s1", "ids")
-    right = right.withColumnsRenamed({"band": "of", "key": "at", "block": "part"})
-    slack = F.lit(1 - SIMILARITY + ROUNDING)
-    able = (F.abs(F.col("s0") - F.col("x0")) <= slack) & (F.abs(F.col("s1") - F.col("x1")) <= slack)
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    shared, both = total(F.zip_with("parts", "x_parts", lambda x, y: F.least(x, y))), total("parts") + total("x_parts")
-    fits = shared * (1 + SIMILARITY) >= both * (SIMILARITY - ROUNDING)
-    once = ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("text_key"))) & ~F.arrays_overlap("before", "ids")
-    met = left.join(right, _same_bucket() & (F.col("block") == F.col("part")) & (F.col("comp") != F.col("x_comp")) & able & once & fits)
-    return met.select(F.least("x", "text_key").alias("a"), F.greatest("x", "text_key").alias("b")).join(known, ["a", "b"], "left_anti")
+    mine = hot.join(root, F.col("text_key") == F.col("node"), "left").select(F.col("text_key").alias("hot_key"), F.coalesce("root", "text_key").alias("comp"))
+    mine = cut(sets.join(mine, F.col("text_key") == F.col("hot_key")).select("text_key", "comp", "grams"))
+
+    def held(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for grams in batch.column("grams"):
+            slots = (sorted_unique(np.frombuffer(grams.as_buffer(), np.uint32)) & np.uint32((1 << DF_BITS) - 1)).astype(np.int64)
+            yield slots, np.ones(len(slots))
+
+    rarity = spark.sparkContext.broadcast(_summed(mine.select("grams"), 1 << DF_BITS, held).astype(np.int32))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = [], []
+            for grams in batch.column("grams"):
+                elements = _elements(np.frombuffer(grams.as_buffer(), np.uint32))
+                rank = rarity.value[(elements >> np.uint64(32)).astype(np.int64) & ((1 << DF_BITS) - 1)]
+                order = np.lexsort((elements, rank))
+                w = _weight_of(elements, weight.value)[order]
+                head = order[: int(np.searchsorted(np.cumsum(w), w.sum() * (1 - SIMILARITY + ROUNDING))) + 1]
+                found.append(elements[head[rank[head] > 1]])  # no other hot text holds the rest
+                sizes.append(len(elements))
+            at = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            token = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            rows = batch.select(["text_key", "comp"]).take(pa.array(at))
+            yield pa.record_batch([pa.array(token.view(np.int64)), *rows.columns, pa.array(np.array(sizes, dtype=np.int64)[at])], names=["token", "text_key", "comp", "size"])
+
+    shared = cut(mine.mapInArrow(heads, "token long, text_key binary, comp binary, size long"))
+    each = shared.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    main = F.struct("n", "comp")
+    each = each.groupBy("token").agg(F.max_by("comp", main).alias("main"), F.sum("size").alias("all"), (F.sum("size") - F.max_by("size", main)).alias("others"))
+    blocks = lambda c, size: F.ceil(F.col(c) / size).cast("int").alias(f"{c}_blocks")
+    each = each.where("others > 0").select(F.col("token").alias("of"), "main", blocks("others", LEFT_CELL), blocks("all", RIGHT_CELL))
+    met = shared.join(each, F.col("token") == F.col("of"))
+    own = lambda blocks: F.pmod(F.xxhash64("text_key"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = met.where(F.col("comp") != F.col("main")).select("token", own("others_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(True).alias("left"), "text_key", "comp")
+    right = met.select("token", every("others_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(False).alias("left"), "text_key", "comp")
+    cells = left.union(right).withColumnRenamed("text_key", "k").join(sets, F.col("k") == F.col("text_key")).select("token", "i", "j", "left", "k", "comp", "grams")
+    cells = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return cells.mapInArrow(lambda batches: _matched(batches, weight), "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
+
+
+def _matched(batches: Iterator[pa.RecordBatch], weight) -> Iterator[pa.RecordBatch]:
+    """The links of each cell: rows of one (token, i, j), which follow each other."""
+    pending: pa.Table | None = None
+
+    def cells_of(table: pa.Table) -> np.ndarray:
+        ids = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
+        return np.flatnonzero(np.r_[True, (ids[:, 1:] != ids[:, :-1]).any(axis=0)])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if pending is None else pa.concat_tables([pending, table])
+        if not table.num_rows:
+            continue
+        starts = cells_of(table)
+        for start, stop in zip(starts[:-1], starts[1:], strict=True):
+            yield from _cell(table.slice(start, stop - start), weight.value)
+        pending = table.slice(starts[-1])
+    if pending is not None:
+        yield from _cell(pending, weight.value)
+
+
+def _cell(table: pa.Table, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+    is_left = table.column("left").to_numpy()
+    keys, comps = (np.array(table.column(c).to_pylist(), dtype=object) for c in ("k", "comp"))
+    sets = [_elements(np.frombuffer(g.as_buffer(), np.uint32)) for g in table.column("grams")]
+    left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+    if not len(left) or not len(right):
+        return
+    flat = np.concatenate([sets[k] for k in right])
+    names, where = np.unique(flat, return_inverse=True)
+    w = _weight_of(names, weight)
+    sizes = np.array([len(sets[k]) for k in right])
+    owner, each = np.repeat(np.arange(len(right)), sizes), w[where]
+    total = np.bincount(owner, each, len(right))
+    a, b, similar = [], [], []
+    for k in left:
+        at = np.searchsorted(names, sets[k])
+        hit = at < len(names)
+        hit[hit] = names[at[hit]] == sets[k][hit]
+        has = np.zeros(len(names))
+        has[at[hit]] = w[at[hit]]
+        common = np.bincount(owner, has[where], len(right))
+        jaccard = common / np.maximum(_weight_of(sets[k], weight).sum() + total - common, 1e-300)
+        for r in right[(jaccard >= SIMILARITY) & (comps[right] != comps[k])]:
+            a.append(min(keys[k], keys[r]))
+            b.append(max(keys[k], keys[r]))
+            similar.append(float(jaccard[np.searchsorted(right, r)]))
+    if a:
+        yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(similar, pa.float64())], names=["a", "b", "similarity"])
 
 
 def groups(docs: DataFrame) -> DataFrame:
