@@ -43,33 +43,51 @@ def docs(spark):
 
 
 def test_kneser_ney_equals_brute_force(spark):
-    texts = ["the cat sat on the mat", "the dog sat", "a cat!"]
+    texts = ["the cat sat on the mat", "The dog sat 19", "a cat!", "字字𝒳 cat", "a hat", "the mat, the hat", "dogs 7", "on that cat"]
     rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    codes = np.concatenate([quality._codes([t])[0] for t in texts])
-    model = quality._arrays(quality.kneser_ney(quality.ngram_counts(rows)))["en"]
-    got = quality._log_probability(codes, model)
-    counts = {4: Counter(codes.tolist())}
-    for k in (3, 2, 1):
-        counts[k] = Counter(c & ((1 << 6 * k) - 1) for c in counts[k + 1])
-
-    def prob(code, k):
-        if not k:
-            return 1 / 64
-        c = counts[k]
-        n = [sum(v == i for v in c.values()) for i in range(1, 5)]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [max(0.1, min(i - 0.1, i - (i + 1) * y * (n[i] / n[i - 1] if n[i - 1] else 1))) for i in (1, 2, 3)]
-        code &= (1 << 6 * k) - 1
-        same = {g: v for g, v in c.items() if g >> 6 == code >> 6}
-        lower = prob(code, k - 1)
-        if not same:
-            return lower
-        cut = lambda v: min(v, d[min(v, 3) - 1])
-        here = same.get(code, 0)
-        return ((here - cut(here)) if here else 0) / sum(same.values()) + sum(map(cut, same.values())) / sum(same.values()) * lower
-
-    assert np.allclose(got, [math.log(prob(int(c), 4)) for c in codes], atol=1e-4)
-    assert abs(sum(prob(int(codes[5]) >> 6 << 6 | x, 4) for x in range(64)) - 1) < 1e-9
+    models = quality._arrays(quality.kneser_ney(quality.ngram_counts(rows)))
+    folds = {r.text: r.fold for r in rows.select("text", quality._fold()).collect()}
+    assert set(folds.values()) == {0, 1} and set(models) == {("en", 0), ("en", 1)}
+    grams = lambda t: [(" " * 4 + t)[i : i + 5] for i in range(len(t))]
+    plain = lambda t: re.sub(r"\d", "0", t.lower())
+    for fold in (0, 1):
+        counts = {5: Counter(g for t in texts if folds[t] == fold for g in grams(plain(t)))}
+        for k in (4, 3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+        def prob(gram, k):
+            if not k:
+                return 1 / (len(counts[1]) + 1)
+            c = counts[k]
+            n = [sum(v == i for v in c.values()) for i in range(1, 5)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
+            d = [max(0.1, min(i - 0.1, i - (i + 1) * y * (n[i] / n[i - 1] if n[i - 1] else 1))) for i in (1, 2, 3)]
+            gram = gram[-k:]
+            same = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
+            lower = prob(gram, k - 1)
+            if not same:
+                return lower
+            cut = lambda v: min(v, d[min(v, 3) - 1])
+            here = same.get(gram, 0)
+            return ((here - cut(here)) if here else 0) / sum(same.values()) + sum(map(cut, same.values())) / sum(same.values()) * lower
+
+        for t in texts:  # of either fold: seen and unseen n-grams
+            hi, lo, _ = quality._codes([t])
+            got = quality._log_probability(hi, lo, models["en", fold])
+            assert np.allclose(got, [math.log(prob(g, 5)) for g in grams(plain(t))], atol=1e-4), t
+        alphabet = [*{g for g in counts[1]}, "\0"]
+        assert abs(sum(prob("e ca" + x, 5) for x in alphabet) - 1) < 1e-9
+
+
+def test_a_model_in_parts_gives_the_same_scores(spark, docs, monkeypatch):
+    some = docs.limit(60).select("doc_id", "text", "lang")
+    some = some.unionByName(some.limit(3))
+    key = lambda r: (str(r.doc_id), r.log_ppl or 0)
+    one = sorted(quality.assess(some).collect(), key=key)
+    monkeypatch.setattr(quality, "BROADCAST_ENTRIES", 20_000)
+    parts = sorted(quality.assess(some).collect(), key=key)
+    assert [(r.doc_id, r.n_words) for r in one] == [(r.doc_id, r.n_words) for r in parts]
+    assert np.allclose([r.log_ppl or 0 for r in one], [r.log_ppl or 0 for r in parts], atol=1e-4)
 
 
 def test_verdicts_reject_junk_and_keep_prose(spark, docs):

@@ -1,26 +1,29 @@
 """Quality rules: fixed rules on words, and perplexity under a modified Kneser-Ney model of each language.
 
-The model is over characters. A character belongs to one of 64 classes (letters without case and accents, digits, white space,
-marks, and other letters by code point), and an n-gram has up to four classes: 24 bits, kept exactly. So a language's model has at
-most 64**4 entries whatever the corpus, which is the size bound that its broadcast rests on. N-grams are counted over every whole
-text; each task first sums what it has seen, so what is shuffled grows with the number of input splits.
+The model is over characters: n-grams of up to ORDER code points, exact, but for letter case, digits and kinds of white space, which
+count as one. N-grams are counted over every whole text; each task first sums what it has seen. The model grows with the corpus as its
+n-grams do. Texts are dealt in two folds by hash, and a text is scored by the model of the other fold, so that no text vouches for
+itself. A model is kept as sorted arrays of 64-bit hashes of its n-grams, which tasks get as one broadcast of bounded size: a larger
+model is dealt in parts by the character before the last, and texts are scored once for each part; the sums are those of the whole.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, sorted_counts, text_slices
+from .common import cut, mix64, text_slices
 
-ORDER, BITS = 4, 6
-#: Model entries broadcast at once; languages whose models together are larger are scored one group after the other.
-BROADCAST_ENTRIES = 1 << 24
+#: Characters of the longest n-grams, the bits of a code point, and how many last ones the low half of an n-gram's code holds.
+ORDER, BITS, LOW = 5, 21, 3
+FOLDS = 2
+#: Model entries broadcast at once (16 bytes each); a larger model is scored in parts.
+BROADCAST_ENTRIES = 1 << 23
 #: A document is rejected if its log-perplexity (the mean negative log-probability of a word) lies further from its language's
 #: median than BAND_WIDTH times the distance from the median to the lower or upper quartile, both for a text of its number of
 #: words, and at least by BAND_LEAST.
@@ -34,43 +37,54 @@ BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long,
 
 
 @cache
-def _classes() -> np.ndarray:
-    """The class of each code point below 0x10000: 0 white space, 1-26 letters, 27 digits, 28-37 marks, 38-63 other letters."""
-    out = np.zeros(1 << 16, dtype=np.uint32)
+def _folded() -> np.ndarray:
+    """What each code point below 0x10000 counts as: its lower case if that is one character, 0 for digits, a space for white space."""
+    out = np.arange(1 << 16, dtype=np.uint64)
     for c in range(1 << 16):
-        kind = unicodedata.category(chr(c))
-        base = unicodedata.normalize("NFD", chr(c).lower())[0]
-        if "a" <= base <= "z":
-            # Accented letters tell languages and words apart, so they don't share the class of the plain letter.
-            out[c] = ord(base) - 96 if chr(c).lower() == base else 38 + ord(chr(c).lower()[0]) % 26
-        elif kind[0] in "LM":
-            out[c] = 38 + c % 26
-        elif kind[0] == "N":
-            out[c] = 27
+        low = chr(c).lower()
+        if unicodedata.category(chr(c)) == "Nd":
+            out[c] = ord("0")
         elif chr(c).isspace():
-            out[c] = 0
-        elif chr(c) in ".,;:!?":
-            out[c] = 28
-        elif chr(c) in "'\"()-":
-            out[c] = 29
-        else:
-            out[c] = 30 + c % 8
+            out[c] = 32
+        elif len(low) == 1:
+            out[c] = ord(low)
     return out
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of ORDER classes that ends at each character of all texts, and the n + 1 offsets. A text starts after white space."""
+_CHAR = (1 << BITS) - 1
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram of ORDER characters that ends at each character of all texts, as its last LOW ones and those before, and the n + 1 offsets.
+
+    A text starts after white space.
+    """
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    classes = _classes()[np.where(points < 1 << 16, points, 0x4E00 + points % 32)]
-    offsets = np.r_[0, np.cumsum(lengths)]
-    padded = np.zeros(len(classes) + (ORDER - 1) * len(texts), dtype=np.uint32)
-    where = np.arange(len(classes)) + (ORDER - 1) * np.repeat(np.arange(1, len(texts) + 1), lengths)
-    padded[where] = classes
-    out = np.zeros(len(classes), dtype=np.uint32)
+    low = _folded()[np.minimum(points, (1 << 16) - 1)]
+    chars = np.where(points < 1 << 16, low, points)
+    padded = np.full(len(chars) + (ORDER - 1) * len(texts), 32, dtype=np.uint64)
+    where = np.arange(len(chars)) + (ORDER - 1) * np.repeat(np.arange(1, len(texts) + 1), lengths)
+    padded[where] = chars
+    halves = [np.zeros(len(chars), dtype=np.uint64) for _ in range(2)]
     for back in range(ORDER):
-        out |= padded[where - back] << np.uint32(BITS * back)
-    return out, offsets
+        halves[back >= LOW] |= padded[where - back] << np.uint64(BITS * (back - LOW * (back >= LOW)))
+    return halves[1], halves[0], np.r_[0, np.cumsum(lengths)]
+
+
+def _last(hi: np.ndarray, lo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last ``k`` characters of n-grams."""
+    mask = lambda n: np.uint64((1 << BITS * n) - 1)
+    return hi & mask(max(k - LOW, 0)), lo & mask(min(k, LOW))
+
+
+def _but_last(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams without their last character."""
+    return hi >> np.uint64(BITS), (lo >> np.uint64(BITS)) | ((hi & np.uint64(_CHAR)) << np.uint64(BITS * (LOW - 1)))
+
+
+def _hashed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mix64(hi * np.uint64(0x9E3779B97F4A7C15) + lo)
 
 
 def base_measures(text: str | None) -> tuple[int, int, int, int, int, bool]:
@@ -105,214 +119,252 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int, bool]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's n-gram counts by language; at most 64**4 entries of a language are held."""
-    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    pending: dict[str, list[np.ndarray]] = {}
-    waiting = 0
-
-    def settle() -> None:
-        for lang, parts in pending.items():
-            keys, counts = sorted_counts(np.concatenate(parts))
-            if lang in held:
-                keys = np.concatenate([held[lang][0], keys])
-                counts = np.concatenate([held[lang][1], counts])
-                order = np.argsort(keys, kind="stable")
-                keys, counts = keys[order], counts[order]
-                at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                keys, counts = keys[at], np.add.reduceat(counts, at)
-            held[lang] = keys, counts
-        pending.clear()
+    """Each task's n-gram counts by language and fold, given out whenever it holds a few million."""
+    held: dict[tuple, list[tuple[np.ndarray, ...]]] = {}
+    room = 1 << 22
+
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        h, hi, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h)
+        at = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        first = order[at]
+        return h[first], hi[first], lo[first], np.add.reduceat(n[order], at)
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for (lang, fold), parts in held.items():
+            _, hi, lo, n = merged(parts)
+            for start in range(0, len(n), 100_000):
+                some = [pa.array(x[start : start + 100_000].view(np.int64)) for x in (hi, lo, n)]
+                size = len(some[0])
+                yield pa.record_batch([pa.array([lang] * size, pa.string()), pa.array([fold] * size, pa.int32()), *some], names=["lang", "fold", "hi", "lo", "n"])
+        held.clear()
 
     for batch in batches:
         for part in text_slices(batch, "text"):
-            texts, langs = part.column("text").fill_null("").to_pylist(), part.column("lang").to_pylist()
-            codes, offsets = _codes(texts)
-            for i, lang in enumerate(langs):
+            texts = part.column("text").fill_null("").to_pylist()
+            hi, lo, offsets = _codes(texts)
+            h = _hashed(hi, lo)
+            rows: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(part.column("lang").to_pylist(), part.column("fold").to_pylist(), strict=True)):
                 if offsets[i + 1] > offsets[i]:
-                    pending.setdefault(lang, []).append(codes[offsets[i] : offsets[i + 1]])
-            waiting += len(codes)
-            if waiting > 4_000_000:
-                settle()
-                waiting = 0
-    settle()
-    for lang, (keys, counts) in held.items():
-        for start in range(0, len(keys), 100_000):
-            k = keys[start : start + 100_000].astype(np.int32)
-            yield pa.record_batch([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(counts[start : start + 100_000].astype(np.int64))], names=["lang", "code", "n"])
+                    rows.setdefault(key, []).append(i)
+            for key, mine in rows.items():
+                own = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in mine])
+                held.setdefault(key, []).append(merged([(h[own], hi[own], lo[own], np.ones(len(own), dtype=np.int64))]))
+        if sum(len(x[0]) for parts in held.values() for x in parts) > room:
+            for key, parts in held.items():
+                held[key] = [merged(parts)]
+            if sum(len(x[0]) for parts in held.values() for x in parts) > room // 2:
+                yield from told()
+    yield from told()
+
+
+def _fold() -> Column:
+    """The fold of a text: equal texts share one."""
+    return F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, code, n): how often each n-gram of ORDER classes occurs in all texts of a language."""
-    partial = docs.select("text", "lang").mapInArrow(_count, "lang string, code int, n long")
-    return partial.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    """(lang, fold, hi, lo, n): how often each n-gram of ORDER characters occurs in all texts of a language and fold."""
+    partial = docs.select("text", "lang", _fold()).mapInArrow(_count, "lang string, fold int, hi long, lo long, n long")
+    return partial.groupBy("lang", "fold", "hi", "lo").agg(F.sum("n").alias("n"))
+
+
+def _same(*names: str) -> Column:
+    """Equality with the columns of the same names after an underscore; a null language equals a null one."""
+    return reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, k, code, logp, backoff): interpolated modified Kneser-Ney log-probabilities of every n-gram of k = 1..ORDER classes.
+    """(lang, fold, k, hi, lo, logp, backoff): interpolated modified Kneser-Ney log-probabilities of every n-gram of k = 1..ORDER characters.
 
-    ``backoff`` is the log-weight that the n-gram, as a context, gives to the next lower order. Orders below the highest count
-    the different classes seen before an n-gram. The discounts of one, two and three or more come from the counts of counts, as
-    in Chen and Goodman, held within 0 and the count where a small corpus gives none.
+    ``backoff`` is the log-weight that the n-gram, as a context, gives to the next lower order (k = 0: to all characters alike, unseen
+    ones included as one). Orders below the highest count the different characters seen before an n-gram. The discounts of one, two and
+    three or more come from the counts of counts, as in Chen and Goodman, held within 0 and the count where a small corpus gives none.
     """
+    mask = lambda n: F.lit((1 << BITS * n) - 1)
     grams = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        lower = (F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1))).alias("code")
-        grams[k] = grams[k + 1].groupBy("lang", lower).agg(F.count(F.lit(1)).alias("n"))
+        hi, lo = F.col("hi").bitwiseAND(mask(max(k - LOW, 0))), F.col("lo").bitwiseAND(mask(min(k, LOW)))
+        grams[k] = cut(grams[k + 1].groupBy("lang", "fold", hi.alias("hi"), lo.alias("lo")).agg(F.count(F.lit(1)).alias("n")))
     out, lower = None, None
+    before = [F.shiftright("hi", BITS).alias("_hi"), F.shiftright("lo", BITS).bitwiseOR(F.shiftleft(F.col("hi").bitwiseAND(mask(1)), BITS * (LOW - 1))).alias("_lo")]
     for k in range(1, ORDER + 1):
-        of = cut(grams[k])
-        seen = of.groupBy("lang").agg(*(F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)))
+        of = grams[k]
+        seen = of.groupBy("lang", "fold").agg(*(F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)), F.count(F.lit(1)).alias("all"))
         y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
         ratio = lambda i: F.coalesce(F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(1.0))
-        cuts = seen.select("lang", *(F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * ratio(i))).alias(f"d{i}") for i in (1, 2, 3)))
-        cuts = cuts.withColumnRenamed("lang", "of")
+        cuts = [F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * ratio(i))).alias(f"d{i}") for i in (1, 2, 3)]
+        seen = seen.select(F.col("lang").alias("_lang"), F.col("fold").alias("_fold"), "all", *cuts)
         n = F.col("n")
-        taken = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-        of = of.join(F.broadcast(cuts), F.col("lang").eqNullSafe(F.col("of"))).select("lang", "code", (n - F.least(taken, n)).alias("left"), F.least(taken, n).alias("cut"), "n")
-        context = F.shiftright("code", BITS).alias("context")
-        sums = of.groupBy("lang", context).agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
-        sums = sums.select(F.col("lang").alias("of"), "context", "total", (F.col("cuts") / F.col("total")).alias("gamma"))
-        of = of.join(sums, F.col("lang").eqNullSafe(F.col("of")) & (F.shiftright("code", BITS) == F.col("context")))
+        taken = F.least(F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3")), n)
+        # Two rows for each language, which Spark broadcasts or not by their size.
+        of = of.join(seen, _same("lang", "fold")).select("lang", "fold", "hi", "lo", (n - taken).alias("left"), taken.alias("cut"), "n", "all")
+        sums = of.groupBy("lang", "fold", *before).agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
+        sums = sums.select(F.col("lang").alias("_lang"), F.col("fold").alias("_fold"), "_hi", "_lo", "total", (F.col("cuts") / F.col("total")).alias("gamma"))
+        keyed = of.select("lang", "fold", F.col("hi").alias("own_hi"), F.col("lo").alias("own_lo"), *(c.alias(c_) for c, c_ in zip(before, ("hi", "lo"), strict=True)), "left", "all")
+        of = keyed.join(sums, _same("lang", "fold", "hi", "lo")).select("lang", "fold", F.col("own_hi").alias("hi"), F.col("own_lo").alias("lo"), "left", "total", "gamma", "all")
         if k == 1:
-            p = F.col("left") / F.col("total") + F.col("gamma") / F.lit(1 << BITS)
-            of = of.select("lang", "code", p.alias("p"))
+            p = F.col("left") / F.col("total") + F.col("gamma") / (F.col("all") + 1)
+            sums = sums.join(seen.select(F.col("_lang").alias("lang"), F.col("_fold").alias("fold"), "all"), _same("lang", "fold")).select("_lang", "_fold", "_hi", "_lo", (F.col("gamma") / (F.col("all") + 1)).alias("gamma"))
+            of = of.select("lang", "fold", "hi", "lo", p.alias("p"))
         else:
-            base = lower.select(F.col("lang").alias("low"), F.col("code").alias("short"), F.col("p").alias("q"))
-            of = of.join(base, F.col("lang").eqNullSafe(F.col("low")) & (F.col("code").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)) == F.col("short")))
-            of = of.select("lang", "code", (F.col("left") / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
-        of = cut(of)
-        entry = of.select("lang", F.lit(k).alias("k"), "code", F.log("p").alias("logp"))
-        weights = sums.select(F.col("of").alias("lang"), F.lit(k - 1).alias("k"), F.col("context").alias("code"), F.log("gamma").alias("backoff"))
-        out = (entry, weights) if out is None else (out[0].unionByName(entry), out[1].unionByName(weights))
-        lower = of
-    merged = out[0].withColumn("backoff", F.lit(None).cast("double")).unionByName(out[1].withColumn("logp", F.lit(None).cast("double")))
-    return merged.groupBy("lang", "k", "code").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+            short = [F.col("hi").bitwiseAND(mask(max(k - 1 - LOW, 0))).alias("hi"), F.col("lo").bitwiseAND(mask(min(k - 1, LOW))).alias("lo")]
+            of = of.select("lang", "fold", F.col("hi").alias("own_hi"), F.col("lo").alias("own_lo"), *short, "left", "total", "gamma")
+            base = lower.select(*(F.col(c).alias(f"_{c}") for c in ("lang", "fold", "hi", "lo")), F.col("p").alias("q"))
+            of = of.join(base, _same("lang", "fold", "hi", "lo")).select("lang", "fold", F.col("own_hi").alias("hi"), F.col("own_lo").alias("lo"), (F.col("left") / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
+        lower = cut(of)
+        entry = lower.select("lang", "fold", F.lit(k).alias("k"), "hi", "lo", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff"))
+        weights = sums.select(F.col("_lang").alias("lang"), F.col("_fold").alias("fold"), F.lit(k - 1).alias("k"), F.col("_hi").alias("hi"), F.col("_lo").alias("lo"), F.lit(None).cast("double").alias("logp"), F.log("gamma").alias("backoff"))
+        out = entry.unionByName(weights) if out is None else out.unionByName(entry).unionByName(weights)
+    return out.groupBy("lang", "fold", "k", "hi", "lo").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+
+
+class SortedHashes:
+    """A sorted array of 64-bit hashes with values, found by their leading bits and a few steps."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        slots = 1 << (64 - int(self.shift))
+        self.starts = np.r_[0, np.cumsum(np.bincount((self.keys >> self.shift).astype(np.int64), minlength=slots))].astype(np.int32)
+
+    def find(self, want: np.ndarray) -> np.ndarray:
+        """Where each of ``want`` stands, or -1."""
+        out = np.full(len(want), -1, dtype=np.int64)
+        slot = (want >> self.shift).astype(np.int64)
+        at, end = self.starts[slot], self.starts[slot + 1]
+        live = np.flatnonzero(at < end)
+        at, end, want = at[live], end[live], want[live]
+        while len(live):
+            here = self.keys[at]
+            hit = here == want
+            out[live[hit]] = at[hit]
+            go = (here < want) & (at + 1 < end)
+            live, at, end, want = live[go], at[go] + 1, end[go], want[go]
+        return out
 
 
 def _arrays(model: DataFrame) -> dict:
-    """The sorted arrays of a model that is known to be small enough: {lang: [(codes, logp, backoff) for k = 0..ORDER]}."""
-    t = model.toArrow()
-    langs = t.column("lang").to_pylist()
-    k, code = (t.column(x).to_numpy().astype(np.int64) for x in ("k", "code"))
-    values = [t.column(x).to_numpy(zero_copy_only=False).astype(np.float32) for x in ("logp", "backoff")]
-    names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-    which = np.fromiter(map(names.__getitem__, langs), dtype=np.int64, count=len(langs))
-    out = {}
-    for lang, i in names.items():
-        out[lang] = []
-        for order in range(ORDER + 1):
-            at = np.flatnonzero((which == i) & (k == order))
-            at = at[np.argsort(code[at])]
-            out[lang].append((code[at].astype(np.uint32), *(np.nan_to_num(v[at], nan=0.0) for v in values)))
-    return out
-
+    """The sorted hash arrays of a model of bounded size: {(lang, fold): [SortedHashes of k = 0..ORDER]}, values (logp, backoff)."""
 
-def _log_probability(codes: np.ndarray, model: list) -> np.ndarray:
-    """The log-probability of each code's last class after the classes before it, from the sorted arrays, backing off where unseen."""
-    out = np.zeros(len(codes), dtype=np.float32)
-    open_ = np.arange(len(codes))
-    for k in range(ORDER, 0, -1):
-        keys, logp, _ = model[k]
-        want = codes[open_] & np.uint32((1 << BITS * k) - 1)
-        at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
-        hit = keys[at] == want if len(keys) else np.zeros(len(want), bool)
-        out[open_[hit]] += logp[at[hit]]
-        open_ = open_[~hit]
-        if not len(open_):
-            return out
-        keys, _, backoff = model[k - 1]
-        want = (codes[open_] & np.uint32((1 << BITS * k) - 1)) >> np.uint32(BITS)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            out[open_] += np.where(keys[at] == want, backoff[at], 0)
-    out[open_] -= np.float32(BITS * np.log(2))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.select(["lang", "fold", "k"]).to_pandas(types_mapper=None)
+            h = _hashed(*(batch.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")))
+            values = np.stack([np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(np.float32), nan=np.float32(n)) for c, n in (("logp", 1.0), ("backoff", 0.0))], axis=1)
+            for (lang, fold, k), at in ids.groupby(["lang", "fold", "k"], dropna=False, sort=False).indices.items():
+                lang = lang if isinstance(lang, str) else None
+                yield pa.record_batch([pa.array([lang], pa.string()), pa.array([fold], pa.int32()), pa.array([k], pa.int32()), pa.array([h[at].tobytes()], pa.binary()), pa.array([values[at].tobytes()], pa.binary())], names=["lang", "fold", "k", "keys", "numbers"])
+
+    got = model.mapInArrow(pack, "lang string, fold int, k int, keys binary, numbers binary").toArrow()
+    parts: dict[tuple, list] = {}
+    for lang, fold, k, keys, numbers in zip(*(got.column(c).to_pylist() for c in ("lang", "fold", "k")), got.column("keys"), got.column("numbers"), strict=True):
+        parts.setdefault((lang, fold, k), []).append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(numbers.as_buffer(), np.float32).reshape(-1, 2)))
+    none = [(np.zeros(0, np.uint64), np.zeros((0, 2), np.float32))]
+    return {key: [SortedHashes(*(np.concatenate(x) for x in zip(*parts.get((*key, k), none), strict=True))) for k in range(ORDER + 1)] for key in {p[:2] for p in parts}}
+
+
+def _log_probability(hi: np.ndarray, lo: np.ndarray, model: list[SortedHashes]) -> np.ndarray:
+    """The log-probability of each n-gram's last character after those before it, backing off where unseen."""
+    out = np.zeros(len(hi), dtype=np.float32)
+    open_ = np.arange(len(hi))
+    for k in range(ORDER, -1, -1):
+        if k:
+            at = model[k].find(_hashed(*_last(hi[open_], lo[open_], k)))
+            value = np.where(at >= 0, model[k].values[at, 0] if len(model[k].keys) else 1.0, 1.0)
+            hit = value <= 0  # an n-gram that is known as a context only has no probability
+            out[open_[hit]] += value[hit]
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+            at = model[k - 1].find(_hashed(*_last(*_but_last(hi[open_], lo[open_]), k - 1)))
+            out[open_] += np.where(at >= 0, model[k - 1].values[at, 1] if len(model[k - 1].keys) else 0.0, 0.0)
     return out
 
 
-def measured(docs: DataFrame, models: dict) -> DataFrame:
-    """``docs`` (text, lang and more) without text, with the base measures and ``log_ppl``, the mean negative log-probability of a word.
+def measured(docs: DataFrame, models: dict, part: int = 0, parts: int = 1) -> DataFrame:
+    """``docs`` (text, lang, fold and more) without text and fold, with the base measures and ``log_p``, the log-probability of the text.
 
-    Columns must not have the names of measures.
+    ``log_p`` counts the characters after such as the part of the model holds, and is null without a model. Columns must not have the
+    names of measures.
     """
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "fold")]
     shipped = docs.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, found = shipped.value, np.zeros(1 << BITS * ORDER, dtype=np.float32)
+        models = shipped.value
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                texts, langs = part.column("text").to_pylist(), part.column("lang").to_pylist()
+            for some in text_slices(batch, "text"):
+                texts = some.column("text").to_pylist()
                 base = [base_measures(t) for t in texts]
-                codes, offsets = _codes([t or "" for t in texts])
-                total = np.zeros(len(texts))
-                for lang in dict.fromkeys(langs):
-                    rows = [i for i, x in enumerate(langs) if x == lang and offsets[i + 1] > offsets[i]]
-                    if rows and lang in models:
-                        mine = np.concatenate([codes[offsets[i] : offsets[i + 1]] for i in rows])
-                        keys = np.sort(mine)
-                        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
-                        found[keys] = _log_probability(keys, models[lang])
-                        each = found[mine]
-                        starts = np.r_[0, np.cumsum([offsets[i + 1] - offsets[i] for i in rows])[:-1]]
-                        total[rows] = np.add.reduceat(each.astype(np.float64), starts)
-                n_words = np.array([b[0] for b in base], dtype=np.int64)
-                ppl = pa.array(-total / np.maximum(n_words, 1), mask=n_words == 0)
+                hi, lo, offsets = _codes([t or "" for t in texts])
+                total, known = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
+                rows: dict[tuple, list[int]] = {}
+                for i, (lang, fold) in enumerate(zip(some.column("lang").to_pylist(), some.column("fold").to_pylist(), strict=True)):
+                    if (lang, (fold + 1) % FOLDS) in models and offsets[i + 1] > offsets[i]:
+                        rows.setdefault((lang, (fold + 1) % FOLDS), []).append(i)
+                for key, mine in rows.items():
+                    own = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in mine])
+                    owner = np.repeat(mine, offsets[np.array(mine) + 1] - offsets[mine])
+                    if parts > 1:
+                        here = ((lo[own] >> np.uint64(BITS)) & np.uint64(_CHAR)) % np.uint64(parts) == part
+                        own, owner = own[here], owner[here]
+                    total += np.bincount(owner, _log_probability(hi[own], lo[own], models[key]), len(texts))
+                    known[mine] = True
                 columns = [pa.array(x) for x in zip(*base, strict=True)]
-                yield pa.record_batch([*(part.column(c) for c in rest), *columns, ppl], names=[*rest, *(x.split()[0] for x in BASE_SCHEMA.split(", ")), "log_ppl"])
+                yield pa.record_batch([*(some.column(c) for c in rest), *columns, pa.array(total, mask=~known)], names=[*rest, *(x.split()[0] for x in BASE_SCHEMA.split(", ")), "log_p"])
 
     schema = docs.select(*rest).schema
-    for x in (*BASE_SCHEMA.split(", "), "log_ppl double"):
+    for x in (*BASE_SCHEMA.split(", "), "log_p double"):
         schema = schema.add(*x.split())
     return docs.mapInArrow(score, schema)
 
 
-def _model(docs: DataFrame) -> tuple[DataFrame, list[list]]:
-    """The model of all languages, and the languages in groups whose models can be broadcast together."""
+def _model(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The model of all languages and folds, and in how many parts it is scored."""
     model = cut(kneser_ney(cut(ngram_counts(docs))))
-    groups: list[list] = [[]]
-    room = BROADCAST_ENTRIES
-    for row in model.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").toLocalIterator():
-        if groups[-1] and row["n"] > room:
-            groups.append([])
-            room = BROADCAST_ENTRIES
-        groups[-1].append(row["lang"])
-        room -= row["n"]
-    return model, groups
-
-
-def _scored(docs: DataFrame, model: DataFrame, groups: list[list]) -> DataFrame:
-    """``measured`` with each language's model; one pass over ``docs`` for each group."""
-
-    def among(langs: list):
-        named = F.col("lang").isin([x for x in langs if x is not None])
-        return F.coalesce(named, F.lit(None in langs))
-
-    out = None
-    for i, group in enumerate(groups):
-        others = [x for g in groups[1:] for x in g]
-        some = docs.where(among(group)) if i else docs.where(~among(others)) if others else docs  # the first takes languages without a model, too
-        some = measured(some, _arrays(model.where(among(group))))
-        out = some if out is None else out.unionByName(some)
-    return out
+    return model, max(1, -(-model.count() // BROADCAST_ENTRIES))
+
+
+def _scored(docs: DataFrame, model: DataFrame, parts: int) -> DataFrame:
+    """``docs`` (text, lang and more) without text, with the base measures and ``log_ppl``, the mean negative log-probability of a word."""
+    # The character that decides an entry's part: that before an n-gram's last, and the last of a context. Single characters are in all.
+    before = F.shiftright("lo", BITS).bitwiseAND(F.lit(_CHAR)) % parts
+    last = F.col("lo").bitwiseAND(F.lit(_CHAR)) % parts
+    some = lambda i: model.where((F.col("k") < 2) | (before == i) | (last == i)) if parts > 1 else model
+    key = [F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")] if parts > 1 else []
+    rows = measured(docs.select("*", _fold(), *key), _arrays(some(0)), 0, parts)
+    if parts > 1:
+        # One sum of each text for each part but the first.
+        texts = docs.select("text", "lang", _fold(), *key)
+        more = reduce(DataFrame.unionByName, (measured(texts, _arrays(some(i)), i, parts).select("lang", "text_key", F.lit(i).alias("part"), "log_p") for i in range(1, parts)))
+        more = more.groupBy("lang", "text_key", "part").agg(F.first("log_p").alias("log_p")).groupBy("lang", "text_key").agg(F.sum("log_p").alias("more"))
+        rows = rows.join(more.withColumnsRenamed({"lang": "_lang", "text_key": "_text_key"}), _same("lang", "text_key"), "left")
+        rows = rows.withColumn("log_p", F.col("log_p") + F.coalesce("more", F.lit(0.0))).drop("_lang", "_text_key", "text_key", "more")
+    return rows.withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("log_p") / F.col("n_words"))).drop("log_p")
 
 
 def _bands(scored: DataFrame) -> DataFrame:
-    """(of, mid, below, above): each language's median of log_ppl, and how far a text of one word may stray below and above it."""
+    """(_lang, mid, below, above): each language's median of log_ppl, and how far a text of one word may stray below and above it."""
     good = scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull())
-    mid = cut(good.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("mid")))
+    mid = cut(good.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("mid"))).withColumnRenamed("lang", "_lang")
     # The mean of n words strays with 1 / sqrt(n), so quartiles are taken of what is scaled by sqrt(n).
     strays = (F.col("log_ppl") - F.col("mid")) * F.sqrt("n_words")
-    good = good.select("lang", "log_ppl", "n_words").join(F.broadcast(mid.withColumnRenamed("lang", "of")), F.col("lang").eqNullSafe(F.col("of")))
+    good = good.select("lang", "log_ppl", "n_words").join(mid, _same("lang"))
     bands = good.groupBy("lang").agg(F.first("mid").alias("mid"), F.percentile_approx(strays, [0.25, 0.75], 10_000).alias("q"))
-    return cut(bands.select(F.col("lang").alias("of"), "mid", (F.abs(F.col("q")[0]) * BAND_WIDTH).alias("below"), (F.abs(F.col("q")[1]) * BAND_WIDTH).alias("above")))
+    return cut(bands.select(F.col("lang").alias("_lang"), "mid", (F.abs(F.col("q")[0]) * BAND_WIDTH).alias("below"), (F.abs(F.col("q")[1]) * BAND_WIDTH).alias("above")))
 
 
 def _judged(scored: DataFrame, bands: DataFrame) -> DataFrame:
-    """``scored`` with ``kept``."""
+    """``scored`` with ``kept``; a text that no model scores has nothing against it."""
     width = lambda c: F.greatest(F.lit(BAND_LEAST), F.col(c) / F.sqrt("n_words"))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("mid") - width("below"), F.col("mid") + width("above")), F.lit(False))
-    # One row for each language that has a model: as few as the groups of languages that were listed.
-    joined = scored.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("of")), "left")
+    inside = F.coalesce(F.col("log_ppl").between(F.col("mid") - width("below"), F.col("mid") + width("above")), F.lit(True))
+    # One row for each language, which Spark broadcasts or not by its size.
+    joined = scored.join(bands, _same("lang"), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & inside)
 
 
@@ -321,7 +373,7 @@ def assess(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ppl, kept: one row per
     input row, repeated rows included. A null or empty text has no words, null log_ppl and fails; a null lang is a language of its
-    own. The band of a language comes from the median and quartiles of log_ppl over all its documents that pass the fixed rules
+    own. Where the other fold has no text of a language, log_ppl is null and the fixed rules decide. The band of a language comes from the median and quartiles of log_ppl over all its documents that pass the fixed rules
     (see BAND_WIDTH); a text whose log_ppl lies below or above it is rejected. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
@@ -336,7 +388,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select("text", "lang")
-    model, groups = _model(rows)
-    bands = _bands(cut(_scored(rows, model, groups)))
+    model, parts = _model(rows)
+    bands = _bands(cut(_scored(rows, model, parts)))
     whole = docs.select(docs["text"], docs["lang"], *(docs[c].alias(n) for c, n in names.items()))
-    return _judged(_scored(whole, model, groups), bands).where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
+    return _judged(_scored(whole, model, parts), bands).where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
