@@ -27,7 +27,7 @@ BROADCAST_ENTRIES = 1 << 23
 #: A document is rejected if its log-perplexity (the mean negative log-probability of a word) lies further from its language's
 #: median than BAND_WIDTH times the distance from the median to the lower or upper quartile, both for a text of its number of
 #: words, and at least by BAND_LEAST.
-BAND_WIDTH, BAND_LEAST = 8.0, 0.5
+BAND_WIDTH, BAND_LEAST = 5.0, 0.5
 #: Rules on words.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
