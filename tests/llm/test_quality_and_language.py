@@ -48,11 +48,11 @@ def test_kneser_ney_equals_brute_force(spark):
     models = quality._arrays(quality.kneser_ney(quality.ngram_counts(rows)))
     folds = {r.text: r.fold for r in rows.select("text", quality._fold()).collect()}
     assert set(folds.values()) == {0, 1} and set(models) == {("en", 0), ("en", 1)}
-    grams = lambda t: [(" " * 4 + t)[i : i + 5] for i in range(len(t))]
+    grams = lambda t: [(" " * (quality.ORDER - 1) + t)[i : i + quality.ORDER] for i in range(len(t))]
     plain = lambda t: re.sub(r"\d", "0", t.lower())
     for fold in (0, 1):
-        counts = {5: Counter(g for t in texts if folds[t] == fold for g in grams(plain(t)))}
-        for k in (4, 3, 2, 1):
+        counts = {quality.ORDER: Counter(g for t in texts if folds[t] == fold for g in grams(plain(t)))}
+        for k in range(quality.ORDER - 1, 0, -1):
             counts[k] = Counter(g[1:] for g in counts[k + 1])
 
         def prob(gram, k):
@@ -74,9 +74,9 @@ def test_kneser_ney_equals_brute_force(spark):
         for t in texts:  # of either fold: seen and unseen n-grams
             hi, lo, _ = quality._codes([t])
             got = quality._log_probability(hi, lo, models["en", fold])
-            assert np.allclose(got, [math.log(prob(g, 5)) for g in grams(plain(t))], atol=1e-4), t
+            assert np.allclose(got, [math.log(prob(g, quality.ORDER)) for g in grams(plain(t))], atol=1e-4), t
         alphabet = [*{g for g in counts[1]}, "\0"]
-        assert abs(sum(prob("e ca" + x, 5) for x in alphabet) - 1) < 1e-9
+        assert abs(sum(prob("e ca"[1 - quality.ORDER :] + x, quality.ORDER) for x in alphabet) - 1) < 1e-9
 
 
 def test_a_model_in_parts_gives_the_same_scores(spark, docs, monkeypatch):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut, mix64, text_slices
 
 #: Characters of the longest n-grams, the bits of a code point, and how many last ones the low half of an n-gram's code holds.
-ORDER, BITS, LOW = 5, 21, 3
+ORDER, BITS, LOW = 4, 21, 3
 FOLDS = 2
 #: Model entries broadcast at once (16 bytes each); a larger model is scored in parts.
 BROADCAST_ENTRIES = 1 << 23
