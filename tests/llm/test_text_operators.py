@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import math
 import re
 
 import numpy as np
@@ -36,21 +37,71 @@ def test_guess_costs_are_minimal():
     assert cost("password") < cost("password1987") < cost("xK8#vQ2!pL9z") and cost("xK8#vQ2!pL9z") > 20
 
     def brute(text):
-        best, known = float("inf"), secrets._segments(text)
-        n = len(text)
-        import math
-
+        best, n = float("inf"), len(text)
+        known = {}
+        for i in range(n):
+            for j, c in secrets._Segments(text, secrets._RANK).at(i):
+                known[i, j] = min(c, known.get((i, j), float("inf")))
         for cuts in itertools.product((0, 1), repeat=n - 1):
             at = [0, *[i + 1 for i, c in enumerate(cuts) if c], n]
-            total = 0.0
-            for a, b in zip(at[:-1], at[1:]):
-                options = [c for s, c in known[b] if s == a] + [(b - a) * math.log10(secrets._alphabet(text))]
-                total += min(options)
-            best = min(best, total + math.log10(math.factorial(len(at) - 1)))
+            total = sum(min(known.get((a, b), float("inf")), (b - a) * math.log10(secrets._alphabet(text))) for a, b in zip(at[:-1], at[1:]))
+            best = min(best, total + secrets.NEXT * (len(at) - 2))
         return best
 
-    for text in ("pass99x", "abcq1", "1999-01-01", "aaab", "Love12", "qwez"):
+    for text in ("pass99x", "abcq1", "1999-01-01", "aaab", "Love12", "qwez", "ababab1", "zzzpass", "qazxcv12", "helloo", "passsssword"):
         assert abs(cost(text) - brute(text)) < 1e-9, text
+        for enough in (1, 3, 6, 20):
+            assert (cost(text, enough=enough) >= enough) == (cost(text) >= enough)
+
+
+def test_segments_are_found_whole():
+    found = {(i, j) for t in ["xpassword"] for i in range(len(t)) for j, _ in secrets._Segments(t, secrets._RANK).at(i)}
+    assert (1, 9) in found and (1, 5) in found
+    for text, whole in (("x" + "-" * 193, (1, 194)), ("9qwertyuiop", (1, 11)), ("Zabcdefgh", (1, 9)), ("1abcabcabc", (1, 10)), ("x19870412", (1, 9))):
+        assert any((i, j) == whole for i in range(len(text)) for j, _ in secrets._Segments(text, secrets._RANK).at(i)), text
+    assert secrets.guess_cost("-" * 193) < 5 and secrets.guess_cost("ab" * 5_000) < 9
+
+
+def test_values_end_where_their_quotes_or_words_do():
+    def values(text):
+        return [text[a:b] for k, a, b in secrets.scan(text) if k == "guess"]
+
+    assert values("pwd: xKqWzRtYpLmNbVcd") == ["xKqWzRtYpLmNbVcd"] and values("the passphrase is abqdkfuwhxzmqpoe.") == ["abqdkfuwhxzmqpoe"]
+    assert values("password: Xy7$k(9Qz!pLm2") == ["Xy7$k(9Qz!pLm2"] and values("secret = 'a b[c]{d} Zq9!x' end") == ["a b[c]{d} Zq9!x"]
+    assert values("http://h/?token=Zx81kkqPq91&user=1") == ["Zx81kkqPq91"] and values('{"password":"Zx81kkqPq91","u":1}') == ["Zx81kkqPq91"]
+    assert values("password: password1") == [] and values("secret: " + "-" * 193) == [] and values("token: 'short'") == []
+
+
+def test_words_are_learned_from_all_texts(spark):
+    texts = [("the elephant password is kqzvwxjhtbfg",), ("an Elephant again, elephant2",), ("kqzvwx " * 2,), (None,)] * 2
+    ranks = secrets.learned_words(spark.createDataFrame(texts, "text string"))
+    assert ranks["elephant"] == 1 and ranks["password"] == 1 and "kqzvwxjhtbfg" not in ranks and ranks["kqzvwx"] == 2 and "again" not in ranks
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ranks = secrets.learned_words(docs)
+    common = [w for w, r in sorted(ranks.items(), key=lambda x: x[1]) if len(w) >= 6][:200]
+    assert sum(secrets.guess_cost(w + "1", ranks) < secrets.LEAST_GUESSES for w in common) == len(common) == 200
+
+
+def test_base_columns_equal_patterns_and_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    got = {r.doc_id: r for r in secrets.secrets(spark.read.parquet(path)).collect()}
+    assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    rows = duckdb.sql(f"""SELECT doc_id, coalesce(text, '') AS text,
+        len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: len(x) >= 8)) AS n_assign,
+        len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 16)) AS n_access,
+        len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: len(x) >= 32)) AS n_hex FROM '{path}'""").fetchall()
+    assert len(rows) == len(got) and sum(r[2] + r[3] + r[4] for r in rows) > 20
+    for doc_id, text, *counts in rows:
+        spans = [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 8]
+        spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        spans.sort(key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        r = got[doc_id]
+        assert [r.n_assign, r.n_access, r.n_hex] == counts and r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and s[:5] != "guess"] == [s for s in listed.split(",") if s]
 
 
 def test_secret_rows(odd):
@@ -58,6 +109,7 @@ def test_secret_rows(odd):
     none = hashlib.sha256(b"").hexdigest()
     assert len(got) == len(ODD) and all(r.base_sha256 == none and r.spans == "" for r in got)
     assert sorted(map(str, (r.text for r in secrets.redacted(odd).collect()))) == sorted(str(r[1]) for r in ODD)
+    assert secrets.secrets(odd.limit(0)).count() == 0 and secrets.redacted(odd.limit(0)).columns == odd.columns
 
 
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body class="x"><div id="cookie-notice">we use cookies a lot of them really</div><nav><ul><li><a href="/a">home of the long menu</a></li></ul></nav>
@@ -80,6 +132,45 @@ def test_pages_by_consensus(spark):
     assert got[90] == [""] and got[91] == [""] and got[92] == ["just text < 3 <b>"] and got[93] == ["no such path here"] * 2 and got[94] == ["deep"]
 
 
+def test_a_layout_word_does_not_drop_the_article(spark):
+    body = "".join(f"<p>Paragraph {k} of the text goes on and on for a while.</p>" for k in range(6))
+    want = "\n".join(["Title", *(f"Paragraph {k} of the text goes on and on for a while." for k in range(6))])
+    comments = "<div id='comments'><article class='comment'>" + "<p>I say a lot more than the writer did, and then some more of it.</p>" * 9 + "</article></div>"
+    for name in ("has-sidebar", "no-sidebar", "side-by-side", "header-fixed", "comments-open", "sidebar", "widget-area", "Header", "comments"):
+        for inner in ("<div>{}</div>", "<article>{}</article>", "{}"):
+            page = f"<html><body><nav>menu of it</nav><div class='{name}'>{inner.format('<h1>Title</h1>' + body)}<div class='sidebar'><p>popular things</p></div></div><div class='footer'>foot</div></body></html>"
+            assert html.extract(page, None) == want, (name, inner)
+    for article in ("<article>{}</article>", "<div class='post'>{}</div>"):
+        page = f"<body>{article.format('<h1>Title</h1>' + body)}{comments}</body>"
+        assert html.extract(page, None) == want, article
+
+
+def test_the_consensus_decides_where_a_page_alone_would_not(spark):
+    # One page has more prose in a box that no name gives away than in its text; the others of its host tell which is which.
+    def page(text, box):
+        return f"<body><div class='a{{}}'><p>{text}</p></div><div class='b'><p>{box}</p></div></body>"
+
+    rows = [(i, f"http://h/{i}", page(f"the story number {i} goes on for a long while here", "about us")) for i in range(6)]
+    odd = page("short one", "about us and all of our very many long and interesting things")
+    rows += [(6, "http://h/6", odd), (7, "http://alone/", odd)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[6] == "short one" and got[7].startswith("about us and all") and got[0] == "the story number 0 goes on for a long while here"
+    assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    deep = "".join(f"<div>words of level {k}" for k in range(20_000))
+    began = time.process_time()
+    text = html.extract(deep, None)
+    assert time.process_time() - began < 5 and "words of level 19999" in text
+    spans = "<span>" * 20_000 + "".join(f"<div>x{k}</p></b>" for k in range(2_000))
+    began = time.process_time()
+    html.extract(spans, None)
+    assert time.process_time() - began < 5
+
+
 def tiny():
     words = ["a", "b", "ab", "ba", "aba", "▁", "▁a", "▁ab", "bb"]
     scores = [-5.0, -6.0, -4.0, -4.5, -7.0, -3.0, -2.0, -2.5, -9.0]

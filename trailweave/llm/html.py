@@ -4,10 +4,14 @@ Every page is cut into blocks of text, each under a path of containers: tags wit
 template share paths. A page scores each container path by the prose below it, less what lies in links. Spark sums the scores of all
 pages of a host; the path with the most wins, and every page of the host is cut again, keeping the blocks below the winning path. A
 page without that path takes its own best. Scores are summed before the shuffle by host and path; pages never meet in one task.
+
+What is boilerplate by its element is dropped. What is so only by words in its class or id is dropped unless it holds most of the page's
+prose: then the words name the layout around the main text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -27,147 +31,220 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("nav header footer aside form menu dialog button select option input textarea script style noscript template iframe svg math head title object embed applet canvas audio video map xmp noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CONTAINERS = frozenset("html body article main section div td table tbody tr center blockquote td li".split())
-#: Words in a class or id that tell boilerplate.
+#: Words in a class or id that tell boilerplate; of these, words of readers' comments.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|footer|foot|sidebar|side|aside|widget\w*|"
-    r"comments?|commentlist|respond|replies|disqus|discussion|share\w*|social|sharing|related|recommend\w*|newsletter|subscribe|signup|login|pagination|pager|tags|tagcloud|toolbar|skip|hidden|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|footer|foot|sidebar|side|aside|widget\w*|"
+    r"comments?|commentlist|respond|replies|disqus|discussion|share\w*|social|sharing|related|recommend\w*|newsletter|subscribe|signup|login|pagination|pager|tags|tagcloud|toolbar|skip|hidden|copyright|legal|disclaimer)(?:$|[_-])",
     re.ASCII | re.IGNORECASE,
 )
+COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|respond|replies|disqus|discussion)(?:$|[_-])", re.ASCII | re.IGNORECASE)
+#: Names that say how a page is laid out, not what an element holds.
+LAYOUT = re.compile(r"^(?:has|no|with|without|is|hide|show|hides|shows|enable|disable|supports?|js|page|layout|body|site)[_-]|by-side|[_-](?:open|opened|closed|enabled|disabled|fixed|sticky|on|off|visible|layout|active|page)$", re.ASCII | re.IGNORECASE)
+#: An element that holds more than this share of a page's prose isn't boilerplate by its name.
+MOST = 0.5
+#: Names of container paths are kept to about so many characters; the start of a longer one is hashed.
+NAME = 400
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_WALLS = frozenset("article section div main body table ul ol dl blockquote td th nav aside footer header form".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
-def _step(tag: str, rest: str) -> tuple[str, bool]:
-    """A container's part of a path: its tag and classes without digits; and if it is boilerplate."""
+def _step(tag: str, rest: str) -> tuple[str, bool, bool, bool]:
+    """A container's part of a path: its tag and classes without digits; if it is boilerplate as an element, if by name, and if it names comments."""
     if not rest.strip(" /"):
-        return tag, tag in DROPPED
+        return tag, tag in DROPPED, False, False
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)}
-    names = found.get("class", "") + " " + found.get("id", "")
-    split = re.sub(r"([a-z])([A-Z])", r"\1-\2", names)
-    bad = tag in DROPPED or found.get("role", "").lower() in _ROLES or (tag not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(split)))
-    bad = bad or bool(re.search(r"(?:^|[\s\"'])hidden(?:$|[\s=/])", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "=", rest))) or "display:none" in found.get("style", "").replace(" ", "").lower()
+    names = re.sub(r"([a-z])([A-Z])", r"\1-\2", found.get("class", "") + " " + found.get("id", "")).split()
+    told = [x for x in names if BOILERPLATE.search(x) and not LAYOUT.search(x)] if tag not in ("html", "body", "article", "main") else []
+    hard = tag in DROPPED or found.get("role", "").lower() in _ROLES
+    hard = hard or bool(re.search(r"(?:^|[\s\"'])hidden(?:$|[\s=/])", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "=", rest))) or "display:none" in found.get("style", "").replace(" ", "").lower()
     classes = ".".join(sorted({re.sub(r"\d+", "", x) for x in found.get("class", "").split()} - {""}))
-    return (f"{tag}.{classes}" if classes else tag), bad
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """(path of containers, text, characters in links, dropped?) of each block of a page, in page order."""
-    out: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, str | None, bool]] = []  # tag, step if it is a container, boilerplate
-    pieces: list[str] = []
-    linked, links = 0, 0
-    bad = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
-            if text:
-                out.append((tuple(s for _, s, _ in stack if s), text, linked, bad > 0))
-            pieces.clear()
-        linked = 0
-
-    def close(upto: int) -> None:
-        nonlocal bad, links
-        while len(stack) > upto:
-            tag, _, boiler = stack.pop()
-            bad -= boiler
-            links -= tag == "a"
-
-    at, n = 0, len(page)
-    while at < n:
-        lt = page.find("<", at)
-        if lt < 0:
-            pieces.append(page[at:])
-            break
-        if lt > at:
-            pieces.append(page[at:lt])
-            linked += (lt - at) * (links > 0)
-        if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
-            continue
-        if page.startswith(("<!", "<?"), lt):
-            end = page.find(">", lt)
-            at = n if end < 0 else end + 1
-            continue
-        m = _TAG.match(page, lt) or _LOOSE_TAG.match(page, lt)
-        if not m:
-            if page.startswith("</", lt):  # a bogus comment
+    return (f"{tag}.{classes}" if classes else tag), hard, bool(told), any(COMMENTS.search(x) for x in told)
+
+
+class Page:
+    """A page's blocks of text in order, each below a node of the tree of container paths."""
+
+    def __init__(self, page: str) -> None:
+        #: Of each node its parent, step and depth; node 0 is the page.
+        self.parent, self.step, self.depth = [0], [""], [0]
+        #: (node, text, prose: characters less those in links twice, named: the innermost element that is
+        #: boilerplate by name, or -1, is it in boilerplate by element?)
+        self.blocks: list[tuple[int, str, int, int, bool]] = []
+        #: Of each element that is boilerplate by name: the one around it, if it names comments, and if it holds a title or the like.
+        self.named: list[list] = []
+        self._read(page)
+        self.kept = self._kept()
+
+    def _read(self, page: str) -> None:
+        children: dict[tuple[int, str], int] = {}
+        # tag, node, hard, named element
+        stack: list[tuple[str, int, bool, int]] = []
+        counts: dict[str, int] = {}
+        pieces: list[str] = []
+        linked, links, hard = 0, 0, 0
+
+        def flush() -> None:
+            nonlocal linked
+            if pieces:
+                text = " ".join(html.unescape("".join(pieces)).split())
+                if text:
+                    top = stack[-1] if stack else ("", 0, False, -1)
+                    self.blocks.append((top[1], text, max(0, len(text) - 2 * linked), top[3], hard > 0))
+                pieces.clear()
+            linked = 0
+
+        def close(upto: int) -> None:
+            nonlocal hard, links
+            while len(stack) > upto:
+                tag, _, boiler, _ = stack.pop()
+                counts[tag] -= 1
+                hard -= boiler
+                links -= tag == "a"
+
+        at, n = 0, len(page)
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0:
+                pieces.append(page[at:])
+                break
+            if lt > at:
+                pieces.append(page[at:lt])
+                linked += (lt - at) * (links > 0)
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+                continue
+            if page.startswith(("<!", "<?"), lt):
                 end = page.find(">", lt)
                 at = n if end < 0 else end + 1
-            else:
-                pieces.append("<")
-                at = lt + 1
-            continue
-        at, tag, rest = m.end(), m[2].lower(), m[3]
-        if tag not in INLINE:
-            flush()
-        elif tag == "br":
-            pieces.append(" ")
-        if m[1]:
-            if any(t == tag for t, _, _ in stack):
-                upto = len(stack) - 1
-                while stack[upto][0] != tag:
-                    upto -= 1
-                # An inline end tag doesn't reach through a block.
-                if tag not in INLINE or all(t in INLINE for t, _, _ in stack[upto:]):
-                    close(upto)
-            continue
-        if tag in RAW and not rest.rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(page, at)
-            at = n if not end else page.find(">", end.start()) + 1 or n
-            continue
-        if tag in VOID or rest.rstrip().endswith("/") and tag not in CLOSES_P:
-            continue
-        if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            ends = {"p"} if tag in CLOSES_P else {"td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}.get(tag, {tag})
-            walls = {"article", "section", "div", "main", "body", "table", "ul", "ol", "dl", "blockquote", "td", "th", "nav", "aside", "footer", "header", "form"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] in walls:
-                    break
-        step, boiler = _step(tag, rest)
-        stack.append((tag, step if tag in CONTAINERS or boiler and tag not in INLINE else None, boiler))
-        bad += boiler
-        links += tag == "a"
-    flush()
-    return out
-
-
-def scores(cutting: list[tuple[tuple[str, ...], str, int, bool]]) -> dict[str, float]:
-    """The score of each container path of a page: its prose, and what of it lies right below, so that the closest container wins.
-
-    Elements that name the main text count more; a page's own boilerplate doesn't count.
-    """
-    out: dict[str, float] = {}
-    for path, text, linked, dropped in cutting:
-        prose = max(0, len(text) - 2 * linked)
-        if dropped or not prose:
-            continue
-        for depth in range(1, len(path) + 1):
-            share = 0.75 ** (len(path) - depth)
-            tag, _, classes = path[depth - 1].partition(".")
-            named = 4.0 if tag in ("article", "main") else 2.0 if re.search(r"article|content|entry|post|story|body-?text|main", classes) else 0.5 if tag in ("html", "body") else 1.0
-            key = "/".join(path[:depth])
-            out[key] = out.get(key, 0.0) + prose * share * named
-    return out
+                continue
+            m = _TAG.match(page, lt) or _LOOSE_TAG.match(page, lt)
+            if not m:
+                if page.startswith("</", lt):  # a bogus comment
+                    end = page.find(">", lt)
+                    at = n if end < 0 else end + 1
+                else:
+                    pieces.append("<")
+                    at = lt + 1
+                continue
+            at, tag, rest = m.end(), m[2].lower(), m[3]
+            if tag not in INLINE:
+                flush()
+            elif tag == "br":
+                pieces.append(" ")
+            if m[1]:
+                if counts.get(tag):
+                    upto = len(stack) - 1
+                    while stack[upto][0] != tag:
+                        upto -= 1
+                    # An inline end tag doesn't reach through a block.
+                    if tag not in INLINE or all(x[0] in INLINE for x in stack[upto:]):
+                        close(upto)
+                continue
+            if tag in RAW and not rest.rstrip().endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(page, at)
+                at = n if not end else page.find(">", end.start()) + 1 or n
+                continue
+            if tag in VOID or rest.rstrip().endswith("/") and tag not in CLOSES_P:
+                continue
+            if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                ends = {"p"} if tag in CLOSES_P else {"td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}.get(tag, {tag})
+                if any(counts.get(x) for x in ends):
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k][0] in ends:
+                            close(k)
+                            break
+                        if stack[k][0] in _WALLS:
+                            break
+            step, boiler, by_name, comments = _step(tag, rest)
+            node, named = (stack[-1][1], stack[-1][3]) if stack else (0, -1)
+            if tag in CONTAINERS or (boiler or by_name) and tag not in INLINE:
+                if (node, step) not in children:
+                    children[node, step] = len(self.parent)
+                    self.parent.append(node)
+                    self.step.append(step)
+                    self.depth.append(self.depth[node] + 1)
+                node = children[node, step]
+            if tag in ("h1", "main") and named >= 0:
+                self.named[named][2] = True
+            if by_name and not boiler:
+                self.named.append([named, comments, False])
+                named = len(self.named) - 1
+            stack.append((tag, node, boiler, named))
+            counts[tag] = counts.get(tag, 0) + 1
+            hard += boiler
+            links += tag == "a"
+        flush()
+
+    def _kept(self) -> list[bool]:
+        """Which blocks aren't in boilerplate."""
+        prose = [0] * len(self.named)
+        total = 0
+        for _, _, size, named, hard in self.blocks:
+            total += size * (not hard)
+            if named >= 0 and not hard:
+                prose[named] += size
+        for k in range(len(self.named) - 1, -1, -1):
+            outer, _, titled = self.named[k]
+            if outer >= 0:
+                prose[outer] += prose[k]
+                self.named[outer][2] |= titled
+        dropped = []
+        for k, (outer, comments, titled) in enumerate(self.named):
+            main = prose[k] > MOST * total and (titled or not comments)
+            dropped.append(not main or outer >= 0 and dropped[outer])
+        return [not hard and (named < 0 or not dropped[named]) for _, _, _, named, hard in self.blocks]
+
+    def names(self) -> list[str]:
+        """The name of each node: its steps from the page on; the start of a long one as a hash."""
+        out = [""]
+        for k in range(1, len(self.parent)):
+            start = out[self.parent[k]]
+            if len(start) > NAME:
+                start = "#" + hashlib.md5(start.encode("utf-8", "surrogatepass")).hexdigest()
+            out.append(f"{start}/{self.step[k]}" if start else self.step[k])
+        return out
+
+    def scores(self) -> list[float]:
+        """The score of each container: its prose, and more so what of it lies right below, so that the closest container wins.
+
+        Elements that name the main text count more; a page's own boilerplate doesn't count.
+        """
+        sums = [0.0] * len(self.parent)
+        for (node, _, prose, _, _), kept in zip(self.blocks, self.kept, strict=True):
+            sums[node] += prose * kept
+        for k in range(len(self.parent) - 1, 0, -1):
+            sums[self.parent[k]] += 0.75 * sums[k]
+        for k in range(1, len(self.parent)):
+            tag, _, classes = self.step[k].partition(".")
+            sums[k] *= 4.0 if tag in ("article", "main") else 2.0 if re.search(r"article|content|entry|post|story|body-?text|main", classes) else 0.5 if tag in ("html", "body") else 1.0
+        return sums
+
+    def below(self, node_name: str | None) -> str | None:
+        """The kept blocks below the container of that name, one a line; None if there are none."""
+        inside = [name == node_name for name in self.names()]
+        if node_name is None or not any(inside):
+            return None
+        for k in range(1, len(inside)):
+            inside[k] = inside[k] or inside[self.parent[k]]
+        found = [text for (node, text, _, _, _), kept in zip(self.blocks, self.kept, strict=True) if kept and inside[node]]
+        return "\n".join(found) if found else None
 
 
 def extract(page: str | None, consensus: str | None) -> str:
     """The main text of a page: its kept blocks below the consensus path, or below its own best where it has no such path."""
     if not page:
         return ""
-    cutting = blocks(page)
-    path = tuple(consensus.split("/")) if consensus else ()
-    if not path or not any(p[: len(path)] == path and not dropped for p, _, _, dropped in cutting):
-        own = scores(cutting)
-        path = tuple(max(sorted(own), key=own.get).split("/")) if own else ()
-    return "\n".join(text for p, text, _, dropped in cutting if not dropped and p[: len(path)] == path)
+    cut_ = Page(page)
+    found = cut_.below(consensus)
+    if found is None:
+        scores, names = cut_.scores()[1:], cut_.names()[1:]
+        top = max(scores, default=0.0)
+        found = cut_.below(min(n for n, s in zip(names, scores, strict=True) if s == top) if top > 0 else "")
+    return found or ""
 
 
 def host(url: Column) -> Column:
@@ -179,16 +256,20 @@ def consensus_paths(pages: DataFrame) -> DataFrame:
     """(host, path): of each host the container path with the largest sum of scores; ties to the deeper, then the first in order."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], tuple[float, int]] = {}
+        sums: dict[tuple[str, str], tuple[float, int]] = {}  # votes, depth
         for batch in batches:
             for part in text_slices(batch, "html"):
                 for name, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    own = scores(blocks(page)) if page else {}
-                    top = max(own.values(), default=0)
-                    for path, value in own.items():
-                        # A page has one vote to share, so that long pages don't outvote many others.
-                        s, c = sums.get((name, path), (0.0, 0))
-                        sums[name, path] = s + value / top, c + 1
+                    if not page:
+                        continue
+                    cut_ = Page(page)
+                    own = cut_.scores()
+                    top = max(own[1:], default=0.0)
+                    for path, depth, value in zip(cut_.names()[1:], cut_.depth[1:], own[1:], strict=True):
+                        if value > 0:
+                            # A page has one vote to share, so that long pages don't outvote many others.
+                            s, _ = sums.get((name, path), (0.0, 0))
+                            sums[name, path] = s + value / top, depth
             if len(sums) > 100_000:
                 yield told(sums)
                 sums = {}
@@ -196,11 +277,11 @@ def consensus_paths(pages: DataFrame) -> DataFrame:
             yield told(sums)
 
     def told(sums: dict) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums]), pa.array([round(v[0] * 1e6) for v in sums.values()], pa.int64())], names=["host", "path", "votes"])
+        return pa.record_batch([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums]), pa.array([v[1] for v in sums.values()], pa.int32()), pa.array([round(v[0] * 1e6) for v in sums.values()], pa.int64())], names=["host", "path", "depth", "votes"])
 
-    partial = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes long")
-    total = partial.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    rank = F.struct("votes", F.size(F.split("path", "/")).alias("depth"), "path")
+    partial = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, depth int, votes long")
+    total = partial.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.max("depth").alias("depth"))
+    rank = F.struct("votes", "depth", "path")
     return total.groupBy("host").agg(F.max_by("path", rank).alias("path"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import text_slices
-from .html import blocks
+from .html import Page
 
 DATE = "2024-01-01T00:00:00Z"
 #: Columns of a response; ``block`` is the HTTP message, ``headers`` the record's WARC header lines, its version line first.
@@ -86,7 +86,7 @@ def fields(lines: str) -> tuple[str, list[tuple[str, str]]]:
 
 def plain_text(page: str) -> str:
     """The visible text of a page: all its blocks, menus included, one a line."""
-    return "\n".join(text for _, text, _, _ in blocks(page))
+    return "\n".join(block[1] for block in Page(page).blocks)
 
 
 def derive(record: dict) -> list[dict]:
