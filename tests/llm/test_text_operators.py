@@ -219,6 +219,42 @@ def test_pieces_round_trip(spark, odd):
     assert {(r.doc_id, r.text) for r in back} == {(r.doc_id, r.text) for r in docs.collect()}
 
 
+def test_registered_columns_equal_brute_force(spark, tmp_path):
+    """Rows by rank and digests, from the search by hand over the model's own pieces."""
+    p = pieces.Pieces.load(open(pieces.MODEL, "rb").read())
+
+    def brute(text, n):
+        # All segmentations of each word, merged into the text's n best.
+        best = [(0.0, ())]
+        for word in pieces._WORD.findall("▁" + text.replace(" ", "▁")):
+            ways = {0: [(0.0, ())]}
+            for j in range(1, len(word) + 1):
+                found = [(s + score, i + got) for a, score, got in p._ends(word)[j] for s, i in ways[a]]
+                ways[j] = sorted(found, key=lambda x: -x[0])[:n]
+            best = sorted([(s + t, i + k) for s, i in best for t, k in ways[len(word)]], key=lambda x: -x[0])[:n]
+        return best
+
+    texts = ["the quick brown fox", "Überraschung für é字", "a", "", None, "x" * 700 + " tail", "the quick brown fox"]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, rank string")
+    rows = {}
+    for r in pieces.ranked(docs, 4).collect():
+        rows.setdefault(r.doc_id, []).append((r.rank, r.score, r.ids))
+    assert set(rows) == {0, 1, 2, 5, 6}
+    for i in (0, 1, 2, 6):
+        want = brute(texts[i], 4)
+        assert [r for r, _, _ in rows[i]] == list(range(1, len(want) + 1)) and np.allclose([s for _, s, _ in rows[i]], [s for s, _ in want])
+        assert all(p.decode(ids) == texts[i] and math.isclose(score, sum(dict((q[0], q[1]) for q in p.known.values()).get(x, 0) for x in ids), abs_tol=1e-6) for _, score, ids in rows[i] if not any(x in p.of_byte for x in ids))
+    got = {r.doc_id: r for r in pieces.segmentations(docs, n=4).collect()}
+    digest = lambda ids: hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest()
+    for i, found in rows.items():
+        assert got[i].ids_sha256 == digest(found[0][2]) and got[i].n_pieces == len(found[0][2]) and got[i].best_score == found[0][1]
+        assert (got[i].second_sha256, got[i].second_score) == ((digest(found[1][2]), found[1][1]) if len(found) > 1 else (None, None)) and got[i].round_trip
+    assert (got[3].n_pieces, got[3].best_score, got[3].second_score, got[3].ids_sha256) == (0, 0.0, None, digest([])) and got[4][1:] == (None,) * 6
+    both = {r.doc_id: (r.ids, r.other_ids) for r in pieces.encoded(docs.withColumn("lang", docs.rank).withColumn("source", docs.rank)).collect()}
+    assert all(both[i][0] == f[0][2] and both[i][1] == (f[1][2] if len(f) > 1 else None) for i, f in rows.items()) and both[3] == ([], None) and both[4] == (None, None)
+    assert pieces.segmentations(docs.limit(0)).count() == 0 and pieces.ranked(docs.limit(0)).count() == 0
+
+
 def test_token_files_are_counted_across_blocks(spark, odd, tmp_path):
     import base64
 

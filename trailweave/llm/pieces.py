@@ -19,7 +19,8 @@ from math import inf
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import mix64, text_slices
 
@@ -29,6 +30,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by a worker; then it starts afresh.
 REMEMBERED = 700_000
+#: Longer words aren't remembered.
+REMEMBERED_WORD = 256
 #: Words of up to so many characters are searched many at once.
 LONG_WORD = 48
 #: Segmentations asked for.
@@ -135,7 +138,8 @@ class Pieces:
                 self.remembered.clear()
             best = self.n_best(word, 2)
             found = (best[0][0], array("i", best[0][1]).tobytes(), best[0][0] - best[1][0] if len(best) > 1 else inf)
-            self.remembered[word] = found
+            if len(word) <= REMEMBERED_WORD:
+                self.remembered[word] = found
         return found
 
     def learn(self, texts: list[str]) -> None:
@@ -325,54 +329,91 @@ def _pieces(model: bytes) -> Pieces:
     return _loaded[key]
 
 
-def _each(docs: DataFrame, model_path: str, n: int, make, schema: str) -> DataFrame:
+_BEST = ArrayType(StructType().add("score", "double").add("ids", "binary"))
+
+
+def n_best(docs: DataFrame, n: int = BEST, model_path: str = MODEL, check: bool = False) -> DataFrame:
+    """``docs`` (text and more) with ``best`` in place of ``text``: the ``n`` best segmentations of every whole text, best first.
+
+    Each is (score, ids), ids as 32-bit little-endian numbers; there are fewer where a text has fewer. With ``check``, ``round_trip``
+    tells if decoding each of them gives the text back. An empty text has none; a null one has null in both columns. Rows stay as they
+    are, repeated ones included; an empty table gives an empty result. Columns must not be called ``best`` or ``round_trip``.
+    """
+    rest = [c for c in docs.columns if c != "text"]
     with open(model_path, "rb") as f:  # a tokenizer's file, which is installed with the driver; tasks get its bytes
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shipped.value)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                pieces.learn(part.column("text").to_pylist())
-                yield make(pieces, part, [pieces.encode(t, n) if t is not None else None for t in part.column("text").to_pylist()])
+                texts = part.column("text").to_pylist()
+                pieces.learn(texts)
+                found = [None if t is None else pieces.encode(t, n) for t in texts]
+                columns = [*(part.column(c) for c in rest), pa.array([None if x is None else [{"score": s, "ids": i} for s, i in x] for x in found], kind)]
+                if check:
+                    columns.append(pa.array([None if x is None else all(pieces.decode(i) == t for _, i in x) for x, t in zip(found, texts, strict=True)], pa.bool_()))
+                yield pa.record_batch(columns, names=[*rest, "best", *["round_trip"] * check])
+
+    schema = docs.select(*rest).schema.add("best", _BEST)
+    return docs.mapInArrow(run, schema.add("round_trip", "boolean") if check else schema)
 
-    return docs.mapInArrow(run, schema)
+
+def ranked(docs: DataFrame, n: int = BEST, model_path: str = MODEL) -> DataFrame:
+    """doc_id, rank (from 1), score, ids (array<int>): one row for each of the ``n`` best segmentations of every text of ``docs`` (doc_id, text)."""
+    found = n_best(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, model_path)
+    found = found.select("doc_id", F.posexplode("best").alias("at", "one"))
+    return found.select("doc_id", (F.col("at") + 1).alias("rank"), F.col("one.score").alias("score"), _numbers(F.col("one.ids")).alias("ids"))
+
+
+def _numbers(ids: Column) -> Column:
+    """32-bit little-endian numbers as an array; every id is below 2**24."""
+    digits = F.hex(ids)
+    number = lambda k: F.conv(F.concat(*(F.substring(digits, k * 8 + 1 + 2 * b, 2) for b in (2, 1, 0))), 16, 10).cast("int")
+    return F.when(F.length(ids) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.length(ids) / 4 - 1, F.lit(0)).cast("int")), number))
 
 
 def segmentations(docs: DataFrame, model_path: str = MODEL, n: int = BEST) -> DataFrame:
     """The ``n`` best segmentations of every whole text of ``docs`` (doc_id, text), digested.
 
-    Returns doc_id, n_pieces, best_score, second_score (null if there is no other segmentation), ids_sha256 (of the best ids as
-    32-bit little-endian numbers), round_trip (does decoding give the text back?): one row per input row, repeated rows included.
+    Returns doc_id, n_pieces, best_score, second_score and second_sha256 (null if there is no other segmentation), ids_sha256 (of the best
+    ids as 32-bit little-endian numbers), round_trip (does decoding give the text back?): one row per input row, repeated rows included.
     An empty text has no pieces; a null one has null in all but doc_id. An empty table gives an empty result; other columns are ignored.
     """
-
-    def digest(pieces: Pieces, part: pa.RecordBatch, found: list) -> pa.RecordBatch:
-        rows = []
-        for text, best in zip(part.column("text").to_pylist(), found, strict=True):
-            if best is None:
-                rows.append((None,) * 5)
-                continue
-            ids = best[0][1] if best else b""
-            rows.append((len(ids) // 4, best[0][0] if best else 0.0, best[1][0] if len(best) > 1 else None, hashlib.sha256(ids).hexdigest(), pieces.decode(ids) == text))
-        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.bool_())
-        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-        return pa.record_batch([part.column("doc_id"), *columns], names=["doc_id", "n_pieces", "best_score", "second_score", "ids_sha256", "round_trip"])
-
-    schema = "doc_id long, n_pieces long, best_score double, second_score double, ids_sha256 string, round_trip boolean"
-    return _each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model_path, n, digest, schema)
+    found = n_best(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, model_path, check=True)
+    at = lambda k, what: F.get(F.col("best"), F.lit(k))[what]
+    some = F.col("best").isNotNull()
+    ids = F.when(some, F.coalesce(at(0, "ids"), F.lit(b"")))
+    return found.select(
+        "doc_id", (F.length(ids) / 4).cast("long").alias("n_pieces"), F.when(some, F.coalesce(at(0, "score"), F.lit(0.0))).alias("best_score"), at(1, "score").alias("second_score"),
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2(at(1, "ids"), 256).alias("second_sha256"), "round_trip",
+    )
 
 
 def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """doc_id, lang, source, n_pieces, ids: the best segmentation of every text; a null text has null ids."""
+    """doc_id, lang, source, n_pieces, ids, other_ids: the best segmentation of every text, and the second best for training on both.
+
+    A null text has null ids; a text without another segmentation has null other_ids.
+    """
+    rest = ("doc_id", "lang", "source")
+    with open(model_path, "rb") as f:
+        shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def ids(_: Pieces, part: pa.RecordBatch, found: list) -> pa.RecordBatch:
-        lists = [None if best is None else np.frombuffer(best[0][1], dtype=np.int32) if best else np.zeros(0, np.int32) for best in found]
-        n = pa.array([None if x is None else len(x) for x in lists], pa.int64())
-        return pa.record_batch([part.column("doc_id"), part.column("lang"), part.column("source"), n, pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "lang", "source", "n_pieces", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(shipped.value)
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                pieces.learn(texts)
+                found = [None if t is None else pieces.encode(t, 2) for t in texts]
+                lists = [None if x is None else np.frombuffer(x[0][1], dtype=np.int32) if x else np.zeros(0, np.int32) for x in found]
+                other = [np.frombuffer(x[1][1], dtype=np.int32) if x and len(x) > 1 else None for x in found]
+                n = pa.array([None if x is None else len(x) for x in lists], pa.int64())
+                yield pa.record_batch([*(part.column(c) for c in rest), n, *(pa.array(x, pa.list_(pa.int32())) for x in (lists, other))], names=[*rest, "n_pieces", "ids", "other_ids"])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
-    return _each(columns, model_path, 1, ids, "doc_id long, lang string, source string, n_pieces long, ids array<int>")
+    return columns.mapInArrow(run, "doc_id long, lang string, source string, n_pieces long, ids array<int>, other_ids array<int>")
 
 
 def decoded(encodings: DataFrame, model_path: str = MODEL) -> DataFrame:
