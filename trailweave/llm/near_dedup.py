@@ -36,7 +36,7 @@ VARIATES = 1 << 14
 #: Buckets of up to so many texts are matched in full; larger ones by their centres and rarest shingles, which loses none either.
 SMALL = 6
 #: Texts that share a rare shingle are compared in cells of about so many shingles a side, each in a task's memory.
-LEFT_CELL, RIGHT_CELL = 1 << 20, 1 << 22
+LEFT_CELL, RIGHT_CELL = 1 << 18, 1 << 20
 #: A text's pairs are dealt in so many parts, so that a popular member isn't one task.
 SALTS = 256
 #: What rounding may add to a bound.

@@ -29,7 +29,7 @@ SPACE = "▁"
 #: What a character costs that no piece holds, below the least score of a piece.
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by a worker; then it starts afresh.
-REMEMBERED = 700_000
+REMEMBERED = 200_000
 #: Longer words aren't remembered.
 REMEMBERED_WORD = 256
 #: Words of up to so many characters are searched many at once.

@@ -119,9 +119,9 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int, bool]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's n-gram counts by language and fold, given out whenever it holds a few million."""
+    """Each task's n-gram counts by language and fold, given out whenever it holds half a million."""
     held: dict[tuple, list[tuple[np.ndarray, ...]]] = {}
-    room = 1 << 22
+    room = 1 << 20
 
     def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         h, hi, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))

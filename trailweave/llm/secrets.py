@@ -226,7 +226,7 @@ def learned_words(docs: DataFrame) -> dict[str, int]:
                         for a, b in reversed([*_values(low)]):
                             low = low[:a] + " " + low[b:]
                     seen.update(_LETTERS.findall(low))
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 yield told()
         yield told()
 
