@@ -8,9 +8,9 @@ meet in that band's bucket, and pairs are verified by the weighted Jaccard simil
 
 Equal texts are one text from the start. Frequencies and min-hash counts are kept by hash in tables of fixed size, and so are the
 random variates, which bounds all broadcasts. A bucket never gives all its pairs. Buckets of up to SMALL texts are matched in full. In
-larger ones texts first meet the two most popular members; what these links leave in different components is then joined exactly by
-its rarest shingles: two texts that are similar enough share one of the shingles that make up the first 1 - SIMILARITY of either's
-weight, rarest first. So classes are those of all pairs that share a bucket, whatever its size, and only links leave the comparison.
+larger ones texts first meet the two most popular members; what these links leave in different components is then joined exactly:
+where it fits into one cell all at once, else by its rarest shingles, as two texts that are similar enough share one of the shingles
+that make up the first 1 - SIMILARITY of either's weight, rarest first. So classes are those of all pairs that share a bucket, whatever its size, and only links leave the comparison.
 """
 
 from __future__ import annotations
@@ -333,14 +333,14 @@ def _links(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     frequencies, n = _document_frequencies(texts)
     weight = spark.sparkContext.broadcast(weights(frequencies, n))
-    bands = _banded(texts, weight).groupBy("text_key").agg(F.first("bands").alias("bands"))
-    members = cut(bands.select("text_key", F.posexplode("bands").alias("band", "key")))
+    bands = cut(_banded(texts, weight).groupBy("text_key").agg(F.first("bands").alias("bands")))
+    members = bands.select("text_key", F.posexplode("bands").alias("band", "key"))
     members = cut(members.join(_crowded(members, 1), _same_bucket(), "left_semi"))
     large = cut(_popular(members).join(_crowded(members, SMALL), _same_bucket(), "left_semi"))
     pairs = _full(members).select(F.col("a").alias("x"), F.col("b").alias("c")).union(_stars(large).select("text_key", "c"))
     sets = cut(_sets(texts, members))
     links = cut(_verified(sets, pairs.distinct(), weight).where(F.col("similarity") >= SIMILARITY))
-    return links.union(_across(sets, large.select("text_key").distinct(), links, weight))
+    return links.union(_across(sets, large, links, weight))
 
 
 def _elements(grams: np.ndarray) -> np.ndarray:
@@ -353,25 +353,58 @@ def _weight_of(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return weight[(elements >> np.uint64(32)).astype(np.int64) & ((1 << DF_BITS) - 1)].astype(np.float64)
 
 
-def _across(sets: DataFrame, hot: DataFrame, links: DataFrame, weight) -> DataFrame:
-    """(a, b, similarity) of all pairs of ``hot`` texts that are similar but not of one component of ``links``.
+def _across(sets: DataFrame, large: DataFrame, links: DataFrame, weight) -> DataFrame:
+    """(a, b, similarity) of all similar pairs of one family but not of one component of ``links``; a family is what large buckets join.
+
+    A family whose texts fit into one cell is compared there, each text of the largest component with those of others only.
+    In a larger one, pairs are found by their rarest shingles.
+    """
+    root = components(links) if links.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    first = large.groupBy("band", "key").agg(F.min("text_key").alias("first")).withColumnsRenamed({"band": "of", "key": "at"})
+    chained = cut(large.join(first, _same_bucket()).where(F.col("text_key") != F.col("first")).select(F.col("first").alias("a"), F.col("text_key").alias("b")).distinct())
+    if not chained.limit(1).count():
+        return links.limit(0)
+    mine = components(chained).select(F.col("node").alias("hot_key"), F.col("root").alias("family"))
+    mine = mine.join(root, F.col("hot_key") == F.col("node"), "left").select("hot_key", "family", F.coalesce("root", "hot_key").alias("comp"))
+    mine = sets.join(mine, F.col("text_key") == F.col("hot_key")).select("text_key", "family", "comp", "grams", (F.length("grams") / 4).cast("long").alias("size"))
+    mine = cut(mine)
+    families = mine.groupBy("family").agg(F.sum("size").alias("all")).select(F.col("family").alias("name"), (F.col("all") <= RIGHT_CELL).alias("whole"))
+    mine = mine.join(families, F.col("family") == F.col("name")).drop("name")
+    shared = mine.where("whole").select(F.xxhash64("family").alias("token"), "text_key", "comp", "size")
+    wide = families.where("NOT whole").limit(1).count()
+    if wide:
+        mine = cut(mine.where("NOT whole").select("text_key", "comp", "grams"))
+        shared = shared.unionByName(_heads(mine, weight))
+    shared = cut(shared)
+    each = shared.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    main = F.struct("n", "comp")
+    each = each.groupBy("token").agg(F.max_by("comp", main).alias("main"), F.sum("size").alias("all"), (F.sum("size") - F.max_by("size", main)).alias("others"))
+    blocks = lambda c, size: F.ceil(F.col(c) / size).cast("int").alias(f"{c}_blocks")
+    each = each.where("others > 0").select(F.col("token").alias("of"), "main", blocks("others", LEFT_CELL), blocks("all", RIGHT_CELL))
+    met = shared.join(each, F.col("token") == F.col("of"))
+    own = lambda blocks: F.pmod(F.xxhash64("text_key"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = met.where(F.col("comp") != F.col("main")).select("token", own("others_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(True).alias("left"), "text_key", "comp")
+    right = met.select("token", every("others_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(False).alias("left"), "text_key", "comp")
+    cells = left.union(right).withColumnRenamed("text_key", "k").join(sets, F.col("k") == F.col("text_key")).select("token", "i", "j", "left", "k", "comp", "grams")
+    cells = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return cells.mapInArrow(lambda batches: _matched(batches, weight), "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
+
+
+def _heads(mine: DataFrame, weight) -> DataFrame:
+    """(token, text_key, comp, size): the shingles of each text's head, but for those that no other text of ``mine`` holds.
 
     A similar pair shares weight of at least SIMILARITY times that of either text. Let all shingles stand in one order, rare ones first,
     and a text's head be its first shingles down to where less than that share is left: then the heads of a similar pair have a shingle
-    in common. Any order is right; this one is by how many hot texts hold a shingle. Texts that share a head shingle are compared in
-    cells of bounded size where they aren't all of one component, those of the largest component only with the others.
+    in common. Any order is right; this one is by how many of these texts hold a shingle.
     """
-    spark = sets.sparkSession
-    root = components(links) if links.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    mine = hot.join(root, F.col("text_key") == F.col("node"), "left").select(F.col("text_key").alias("hot_key"), F.coalesce("root", "text_key").alias("comp"))
-    mine = cut(sets.join(mine, F.col("text_key") == F.col("hot_key")).select("text_key", "comp", "grams"))
 
     def held(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for grams in batch.column("grams"):
             slots = (sorted_unique(np.frombuffer(grams.as_buffer(), np.uint32)) & np.uint32((1 << DF_BITS) - 1)).astype(np.int64)
             yield slots, np.ones(len(slots))
 
-    rarity = spark.sparkContext.broadcast(_summed(mine.select("grams"), 1 << DF_BITS, held).astype(np.int32))
+    rarity = mine.sparkSession.sparkContext.broadcast(_summed(mine.select("grams"), 1 << DF_BITS, held).astype(np.int32))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,20 +422,7 @@ def _across(sets: DataFrame, hot: DataFrame, links: DataFrame, weight) -> DataFr
             rows = batch.select(["text_key", "comp"]).take(pa.array(at))
             yield pa.record_batch([pa.array(token.view(np.int64)), *rows.columns, pa.array(np.array(sizes, dtype=np.int64)[at])], names=["token", "text_key", "comp", "size"])
 
-    shared = cut(mine.mapInArrow(heads, "token long, text_key binary, comp binary, size long"))
-    each = shared.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    main = F.struct("n", "comp")
-    each = each.groupBy("token").agg(F.max_by("comp", main).alias("main"), F.sum("size").alias("all"), (F.sum("size") - F.max_by("size", main)).alias("others"))
-    blocks = lambda c, size: F.ceil(F.col(c) / size).cast("int").alias(f"{c}_blocks")
-    each = each.where("others > 0").select(F.col("token").alias("of"), "main", blocks("others", LEFT_CELL), blocks("all", RIGHT_CELL))
-    met = shared.join(each, F.col("token") == F.col("of"))
-    own = lambda blocks: F.pmod(F.xxhash64("text_key"), F.col(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    left = met.where(F.col("comp") != F.col("main")).select("token", own("others_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(True).alias("left"), "text_key", "comp")
-    right = met.select("token", every("others_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(False).alias("left"), "text_key", "comp")
-    cells = left.union(right).withColumnRenamed("text_key", "k").join(sets, F.col("k") == F.col("text_key")).select("token", "i", "j", "left", "k", "comp", "grams")
-    cells = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return cells.mapInArrow(lambda batches: _matched(batches, weight), "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
+    return mine.mapInArrow(heads, "token long, text_key binary, comp binary, size long")
 
 
 def _matched(batches: Iterator[pa.RecordBatch], weight) -> Iterator[pa.RecordBatch]:
