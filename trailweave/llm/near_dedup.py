@@ -39,6 +39,8 @@ SMALL = 6
 LEFT_CELL, RIGHT_CELL = 1 << 18, 1 << 20
 #: A text's pairs are dealt in so many parts, so that a popular member isn't one task.
 SALTS = 256
+#: Edges of a partition where components are sought.
+EDGES = 100_000
 #: What rounding may add to a bound.
 ROUNDING = 1e-6
 #: Bits of the filter that keeps texts without a candidate from being shuffled; it never loses one that has.
@@ -223,7 +225,7 @@ def _banded(texts: DataFrame, weight) -> DataFrame:
 
 def _crowded(members: DataFrame, over: int) -> DataFrame:
     """(of, at, n): the buckets with more than ``over`` members."""
-    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("text_key").alias("least"), F.max("text_key").alias("most"))
+    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
     return sizes.where(F.col("n") > over).withColumnsRenamed({"band": "of", "key": "at"})
 
 
@@ -308,18 +310,21 @@ def _verified(sets: DataFrame, pairs: DataFrame, weight) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b): the least node of its component.
 
-    Alternates the large-star and small-star steps until nothing changes; each step is one aggregation and one join.
+    Alternates the large-star and small-star steps until nothing changes; each step is one aggregation and one join. Edges are held in
+    as many partitions as their number asks for, so that a few of them aren't dealt over all of the cluster.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    parts = 1 + edges.count() // EDGES
+    edges = edges.coalesce(parts)
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
+        large = large.where(F.col("u") != F.col("v")).coalesce(parts).distinct().coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of")
         small = large.join(least, F.col("u") == F.col("of"))
-        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        after = cut(small)
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
+        after = cut(small.coalesce(parts).distinct().coalesce(parts))
         # Done once every node hangs on one root and no root hangs on another.
         tangled = after.groupBy("u").count().where("count > 1").limit(1).count() or after.join(after.select(F.col("u").alias("w")).distinct(), F.col("v") == F.col("w"), "left_semi").limit(1).count()
         edges = after
