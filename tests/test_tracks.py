@@ -192,11 +192,14 @@ def test_gaps_are_bridged_through_tunnels(spark):
 def test_roads_prefer_arterials(spark):
     nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.01), (2, 0.004, 0.0), (3, 0.004, 0.01)], "id long, lat double, lon double")
     edges = spark.createDataFrame([(0, 1, 7), (0, 2, 1), (2, 3, 1), (1, 3, 1)], "a long, b long, kind int")
-    route = N.route_via(N.drive(nodes, edges, emphasis=4.0), [(0.0, 0.0), (0.01, 0.0)])
-    assert len(route) == 4
-    assert len(N.route_via(N.drive(nodes, edges, emphasis=0.0), [(0.0, 0.0), (0.01, 0.0)])) == 2
-    with pytest.raises(N.RouteError):
-        N.route_via(N.drive(nodes, edges), [(0.0, 0.0), (5.0, 5.0)])
+    stops = [(1, 0, 0.0, 0.0, 0.0), (1, 1, 0.01, 0.0, 0.0), (2, 0, 0.0, 0.0, 0.0), (3, 0, 0.0, 0.0, 0.0), (3, 1, 5.0, 5.0, 0.0), (4, 0, 0.0, 0.0, 0.0), (4, 1, 0.0, 1e-5, 0.0), (5, 0, 0.0, 0.0, 0.0), (5, 1, 0.0, 0.004, 0.0), (5, 2, 0.01, 0.0, 0.0), (6, 0, 0.0, 0.0, 0.0), (6, 1, 0.5, 0.5, 0.0)]
+    stops = spark.createDataFrame(stops, "request long, turn int, lon double, lat double, guide double")
+    far = spark.createDataFrame([(7, 0.5, 0.5), (8, 0.5, 0.51)], "id long, lat double, lon double"), spark.createDataFrame([(7, 8, 1)], "a long, b long, kind int")
+    nodes, edges = nodes.union(far[0]), edges.union(far[1])
+    got = {r.request: r for r in N.routed(stops, N.drive(nodes, edges, emphasis=4.0)).collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "ok", 2: "stops", 3: "off_network", 4: "one_spot", 5: "ok", 6: "no_path"}
+    assert [(p.lon, p.lat) for p in got[1].shape] == [(0.0, 0.0), (0.0, 0.004), (0.01, 0.004), (0.01, 0.0)] == [(p.lon, p.lat) for p in got[5].shape] and got[5].legs == 2 and got[6].shape is None
+    assert len({r.request: r for r in N.routed(stops, N.drive(nodes, edges, emphasis=0.0)).collect()}[1].shape) == 2
 
 
 def test_rides_between_stations_are_averaged(spark):

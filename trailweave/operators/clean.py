@@ -8,6 +8,7 @@ wrong again, until none is. So a segment of any length is spread over many tasks
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 import numpy as np
@@ -37,32 +38,31 @@ def _against(q: str = "q") -> Column:
 def _fold(chunk: pd.DataFrame) -> pd.DataFrame:
     """Flags of one chunk's points in order, from the clean point that it inherits."""
     chunk = chunk.sort_values("seq", kind="stable")
-    lat, lon, ts = (chunk[c].to_numpy(dtype=float) for c in ("lat", "lon", "ts_ms"))
-    flags, ceiling = chunk["flag"].to_numpy().copy(), float(chunk["ceiling"].iloc[0])
+    flags, ceiling, least = chunk["flag"].tolist(), float(chunk["ceiling"].iloc[0]), JITTER_M
     has, *last = (chunk[c].iloc[0] for c in ("has", "in_lat", "in_lon", "in_ts"))
-    last = last if has else None
-    rad = np.radians
-    for i in range(len(chunk)):
+    p_lat, p_lon, p_ts = map(float, last) if has else (math.nan,) * 3
+    sin, radians = math.sin, math.radians
+    for i, (lat, lon, ts) in enumerate(zip(*(chunk[c].tolist() for c in ("lat", "lon", "ts_ms")), strict=True)):
         if flags[i] == INVALID:
             continue
-        here, flag = (lat[i], lon[i], ts[i]), 0
-        if last is not None:
-            seconds = (here[2] - last[2]) / 1000  # nan if either is undated
-            if here[:2] == tuple(last[:2]) and (here[2] == last[2] or (np.isnan(here[2]) and np.isnan(last[2]))):
+        flag = 0
+        if has:
+            seconds = (ts - p_ts) / 1000  # nan if either is undated
+            if lat == p_lat and lon == p_lon and (ts == p_ts or (ts != ts and p_ts != p_ts)):
                 flag = DUPLICATE
             elif seconds < 0:
                 flag = TIME
             elif seconds == seconds:
-                a = np.sin(rad(here[0] - last[0]) / 2) ** 2 + np.cos(rad(last[0])) * np.cos(rad(here[0])) * np.sin(rad(here[1] - last[1]) / 2) ** 2
-                metres = 2 * 6_371_000.0 * np.arcsin(min(1.0, np.sqrt(a)))
+                a = sin(radians(lat - p_lat) / 2) ** 2 + math.cos(radians(p_lat)) * math.cos(radians(lat)) * sin(radians(lon - p_lon) / 2) ** 2
+                metres = 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(a)))
                 if seconds == 0:
-                    flag = TIME if metres > JITTER_M else 0
+                    flag = TIME if metres > least else 0
                 elif metres / seconds > ceiling:
                     flag = SPEED
         flags[i] = flag
         if not flag:
-            last = here
-    return chunk.assign(flag=flags)
+            has, p_lat, p_lon, p_ts = True, lat, lon, ts
+    return chunk.assign(flag=np.array(flags, dtype=np.int32))
 
 
 def clean(points: DataFrame, ceilings: Mapping[str, float] | None = None, default: float = DEFAULT_CEILING, chunk: int = CHUNK) -> DataFrame:
@@ -88,7 +88,6 @@ def clean(points: DataFrame, ceilings: Mapping[str, float] | None = None, defaul
 
 def _folded(points: DataFrame) -> DataFrame:
     """(segment_id, seq, flag) by rounds over chunks."""
-    points = cut(points)
     state = points.select("segment_id", "chunk").distinct().withColumn("inherits", F.lit(None).cast("struct<lat:double,lon:double,ts:double>"))
     done, todo = None, cut(state)
     while True:
@@ -104,7 +103,7 @@ def _folded(points: DataFrame) -> DataFrame:
         before = Window.partitionBy("segment_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         now = ends.select("segment_id", "chunk", F.last("hands", ignorenulls=True).over(before).alias("inherits"))
         wrong = now.join(state.withColumnRenamed("inherits", "was"), ["segment_id", "chunk"]).where(~F.col("inherits").eqNullSafe(F.col("was")))
-        todo, state = cut(wrong.drop("was")), cut(now)
+        todo, state = cut(wrong.drop("was")), now
         if not todo.limit(1).count():
             return done.select("segment_id", "seq", "flag")
 

@@ -6,15 +6,15 @@ weights and components. Routes between many pairs are found at once, by rounds t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import BUS_KIND, KINDS_OF_TYPE, M_PER_DEG, class_cost, corridor_factor
 from ..session import cut
 from .joins import around, cell, pairs_within
 
 GAP_FACTOR, GAP_SLACK, TRANSFER_PENALTY = 4.0, 3e-3, 2e-3
-#: Rounds after which a route search gives up: a route has fewer edges.
-ROUNDS = 10_000
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -117,7 +117,8 @@ def build(nodes: DataFrame, edges: DataFrame, snap_m: float = 200.0, transfer_m:
     Longitudes shrink by the cosine of the mean latitude. Nodes within ``transfer_m`` that no edge joins are joined by a transfer,
     whose flat penalty makes a route stay on its track where it can. Components count tracks only.
     """
-    kept = cut(located(nodes, edges if "kind" in edges.columns else edges.withColumn("kind", F.lit(0))).where("a <> b").dropDuplicates(["a", "b"]))
+    edges = edges if "kind" in edges.columns else edges.withColumn("kind", F.lit(0))
+    kept = cut(located(nodes, edges.where("a <> b").groupBy("a", "b").agg(F.max("kind").alias("kind"))))
     used = cut(used_nodes(nodes.dropDuplicates(["id"]), kept))
     cos = max(0.1, used.agg(F.cos(F.radians(F.avg("lat")))).first()[0] or 1.0)
     placed = used.withColumns({"x": F.col("lon") * cos, "y": F.col("lat")})
@@ -201,7 +202,7 @@ def routes(pairs: DataFrame, graph: Graph, budget: Column | None = None) -> Data
     found = found.withColumn("straight", F.hypot(F.col("sx") - F.col("dx"), F.col("sy") - F.col("dy"))).groupBy("src", "dst").agg(F.max(budget).alias("most"))
     state = found.select("src", "dst", F.col("src").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("turn"), F.array("src").alias("path"), "most")
     state = cut(state)
-    for turn in range(1, ROUNDS):
+    for turn in itertools.count(1):  # ends: costs grow, and budgets bound them
         goal = state.where("node = dst").select("src", "dst", F.col("cost").alias("goal"))
         ahead = state.where((F.col("turn") == turn - 1) & (F.col("node") != F.col("dst"))).join(graph.arcs, F.col("node") == F.col("u"))
         ahead = ahead.select("src", "dst", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.lit(turn).alias("turn"), F.concat("path", F.array("v")).alias("path"), "most").where("cost <= most")
@@ -223,42 +224,37 @@ def path_lengths(found: DataFrame, graph: Graph) -> DataFrame:
     return found.join(line, ["src", "dst"])
 
 
-class RouteError(ValueError):
-    """Why a route can't be had."""
-
-
-def route_via(graph: Graph, waypoints: list[tuple[float, float]], guide: list[tuple[float, float]] | None = None) -> list[tuple[float, float]]:
-    """The (lon, lat) of the route through ``waypoints`` (lon, lat), given by hand: one route, so its answer comes to the driver."""
-    import math
-
-    spark = graph.nodes.sparkSession
-    if graph.empty:
-        raise RouteError("there are no roads here yet: fetch them first")
-    if len(waypoints) < 2:
-        raise RouteError("a route needs two points or more")
-    spots = spark.createDataFrame([(i, float(lon), float(lat)) for i, (lon, lat) in enumerate(waypoints)], "key long, lon double, lat double")
-    near = anchors(spots, graph).groupBy("key").agg(F.min(F.struct("d2", "node")).alias("m")).select("key", "m.node")
-    got = {r["key"]: r["node"] for r in near.collect()}  # one row for each waypoint
-    if len(got) < len(waypoints):
-        raise RouteError("a point is too far from any road")
-    stops = [got[i] for i in range(len(waypoints)) if not i or got[i] != got[i - 1]]
-    if len(stops) < 2:
-        raise RouteError("the points meet the same spot of the road: move them apart")
-    length = 0.0
-    if guide and len(guide) >= 2:
-        cos = max(0.1, math.cos(math.radians(sum(p[1] for p in guide) / len(guide))))
-        length = sum(math.hypot((b[0] - a[0]) * cos, b[1] - a[1]) for a, b in zip(guide[:-1], guide[1:], strict=True))
-    legs = spark.createDataFrame(sorted(set(zip(stops[:-1], stops[1:], strict=True))), "src long, dst long")
-    found = path_lengths(routes(legs, graph, 12 * F.col("straight") + 30 * length + 0.6), graph)
-    shapes = {(r["src"], r["dst"]): r["shape"] for r in found.select("src", "dst", "shape").collect()}  # the legs of one route
-    out: list[tuple[float, float]] = []
-    for leg in zip(stops[:-1], stops[1:], strict=True):
-        if leg not in shapes:
-            raise RouteError("no road leads from one point to the next: add a point between or fetch more")
-        out += [(p["lon"], p["lat"]) for p in shapes[leg] if not out or out[-1] != (p["lon"], p["lat"])]
-    if len(out) < 2:
-        raise RouteError("the route is too short")
-    return out
+#: Slack of a route through stops: by the straight line, by the length of its guide, and in any case, in degrees.
+VIA_FACTOR, VIA_GUIDE, VIA_SLACK = 12, 30, 0.6
+
+
+def routed(stops: DataFrame, graph: Graph) -> DataFrame:
+    """(request, status, legs, shape): the routes of any number of requests, each through its ``stops`` (request, turn, lon, lat, guide).
+
+    ``guide`` is the length in degrees of the line that the request follows, 0 without one. ``status`` is ok; stops, if there are fewer
+    than two; off_network, if one is beyond the snap radius; one_spot, if all meet the same node; no_path, if a leg has no route within
+    its budget. ``shape`` is the (lon, lat) of an ok route, null otherwise. All legs of all requests are searched together.
+    """
+    spots = stops.select(F.struct("request", "turn").alias("key"), "lon", "lat")
+    near = anchors(spots, graph).groupBy("key").agg(F.min(F.struct("d2", "node")).alias("m")).select("key.request", "key.turn", "m.node")
+    on = cut(stops.select("request", "turn", "guide").join(near, ["request", "turn"], "left"))
+    legs = on.withColumn("src", F.lag("node").over(Window.partitionBy("request").orderBy("turn"))).where("src <> node")
+    at = graph.nodes.select(F.col("id"), "x", "y")
+    ends = legs.select("request", "turn", "guide", "src", F.col("node").alias("dst"))
+    for end in ("src", "dst"):
+        ends = ends.join(at.select(F.col("id").alias(end), F.col("x").alias(f"{end}_x"), F.col("y").alias(f"{end}_y")), end)
+    straight = F.hypot(F.col("src_x") - F.col("dst_x"), F.col("src_y") - F.col("dst_y"))
+    ends = cut(ends.select("request", "turn", "src", "dst", (VIA_FACTOR * straight + VIA_GUIDE * F.col("guide") + VIA_SLACK).alias("most")))
+    found = path_lengths(routes(ends.select("src", "dst", "most"), graph, F.col("most")), graph).select("src", "dst", "cost", "shape")
+    ways = ends.join(found, ["src", "dst"]).where("cost <= most").select("request", "turn", "shape")
+    ways = ways.groupBy("request").agg(F.count(F.lit(1)).alias("found"), F.sort_array(F.collect_list(F.struct("turn", "shape"))).alias("ways"))
+    # A leg starts where the one before it ends.
+    whole = F.aggregate("ways", F.array().cast("array<struct<lon:double,lat:double>>"), lambda s, w: F.concat(s, F.when(F.size(s) == 0, w["shape"]).otherwise(F.slice(w["shape"], 2, F.greatest(F.size(w["shape"]) - 1, F.lit(0))))))
+    of = on.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.count("node").alias("near"))
+    of = of.join(ends.groupBy("request").agg(F.count(F.lit(1)).alias("legs")), "request", "left").join(ways.select("request", "found", whole.alias("line")), "request", "left")
+    of = of.withColumns({"legs": F.coalesce("legs", F.lit(0)), "found": F.coalesce("found", F.lit(0))})
+    status = F.when(F.col("n") < 2, "stops").when(F.col("near") < F.col("n"), "off_network").when(F.col("legs") == 0, "one_spot").when(F.col("found") < F.col("legs"), "no_path").otherwise("ok")
+    return of.select("request", status.alias("status"), "legs", F.when(status == "ok", F.col("line")).alias("shape"))
 
 
 def kind_sets() -> dict[tuple[int, ...], list[str]]:

@@ -93,7 +93,7 @@ def pins(visits: DataFrame, box: tuple[float, float, float, float], since: int |
     return loose.select(columns).unionByName(merged.select(columns)).unionByName(clustered.select(columns))
 
 
-def thin(rows: DataFrame, limit: int, span: float, levels: int = 20) -> DataFrame:
+def thin(rows: DataFrame, limit: int, span: float) -> DataFrame:
     """At most ``limit`` rows (id, ts_ms, lat, lon, …): the most recent of each cell of a grid on the world, coarsened until it fits.
 
     The grid has cells of 360 / 2**k degrees, k from floor(log2(360 / span * 256)) down to 0. One pass counts the cells of all k.
@@ -104,7 +104,7 @@ def thin(rows: DataFrame, limit: int, span: float, levels: int = 20) -> DataFram
     if rows.limit(limit + 1).count() <= limit:
         return rows
     first = max(0, math.floor(math.log2(360 / max(span, 1e-9) * 256)))
-    steps = list(range(first, max(-1, first - levels), -1))
+    steps = list(range(first, -1, -1))
     here = lambda k: F.struct(F.floor(F.col("lat") * (2.0**k / 360)), F.floor(F.col("lon") * (2.0**k / 360)))
     each = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), here(k).alias("c")) for k in steps))).alias("s")).select("s.k", "s.c").distinct()
     fits = [r["k"] for r in each.groupBy("k").count().where(F.col("count") <= limit).collect()]
@@ -161,6 +161,11 @@ def year_counts(rows: DataFrame, ts: str = "ts_ms", timezone: str = "UTC") -> Da
     return rows.where(F.col(ts).isNotNull()).groupBy(year.alias("year")).agg(F.count(F.lit(1)).alias("n")).orderBy("year")
 
 
+def distinct_places(visits: DataFrame) -> DataFrame:
+    """One row: how many different names visits have, and how many different places those with a name belong to."""
+    return visits.where("name <> ''").agg(F.countDistinct("name").alias("names"), F.countDistinct("place_id").alias("places"))
+
+
 def top_places(visits: DataFrame, places: DataFrame, limit: int = 12) -> DataFrame:
     """The places with the most visits: explicit ones by id, others by name; ties by name in code point order."""
     merged = visits.join(places.select(F.col("id").alias("place_id"), F.col("name").alias("own")), "place_id").groupBy("place_id").agg(F.max("own").alias("name"), F.count(F.lit(1)).alias("visits"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))

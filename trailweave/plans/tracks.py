@@ -38,7 +38,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name, ts_ms, lat, lon, place_id)"""
     e, u = F.col("event_id"), F.col("user_id")
-    return events(spark, sf_dir).where("event_type IN ('view', 'click')").select(
+    return events(spark, sf_dir).select(
         e.alias("id"),
         F.when(e % 13 != 0, F.concat(F.lit("P"), (u % 20).cast("string"))).alias("name"),
         F.when(e % 17 != 0, F.col("ms")).alias("ts_ms"),
@@ -71,5 +71,5 @@ wpt AS (
          (user_id % 20)::DOUBLE / 2 + (event_id * 37 % 100)::DOUBLE / 20000 AS lat,
          (user_id % 20)::DOUBLE / 4 + (event_id * 53 % 100)::DOUBLE / 20000 AS lon,
          CASE WHEN event_id % 11 = 0 THEN user_id % 5 END AS place_id
-  FROM ev WHERE event_type IN ('view', 'click')
+  FROM ev
 )"""

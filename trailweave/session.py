@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,5 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in ``spark.checkpoint.dir``, so that loops don't grow plans and lost executors lose nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "trailweave-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "trailweave-checkpoints"))
     return df.checkpoint(eager=True)
