@@ -201,7 +201,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         # Two rows for each language, which Spark broadcasts or not by their size.
         of = of.join(seen, _same("lang", "fold")).select("lang", "fold", "hi", "lo", (n - taken).alias("left"), taken.alias("cut"), "n", "all")
         sums = of.groupBy("lang", "fold", *before).agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
-        sums = sums.select(F.col("lang").alias("_lang"), F.col("fold").alias("_fold"), "_hi", "_lo", "total", (F.col("cuts") / F.col("total")).alias("gamma"))
+        sums = cut(sums.select(F.col("lang").alias("_lang"), F.col("fold").alias("_fold"), "_hi", "_lo", "total", (F.col("cuts") / F.col("total")).alias("gamma")))
         keyed = of.select("lang", "fold", F.col("hi").alias("own_hi"), F.col("lo").alias("own_lo"), *(c.alias(c_) for c, c_ in zip(before, ("hi", "lo"), strict=True)), "left", "all")
         of = keyed.join(sums, _same("lang", "fold", "hi", "lo")).select("lang", "fold", F.col("own_hi").alias("hi"), F.col("own_lo").alias("lo"), "left", "total", "gamma", "all")
         if k == 1:
