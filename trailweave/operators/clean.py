@@ -9,10 +9,9 @@ wrong again, until none is. So a segment of any length is spread over many tasks
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import DEFAULT_CEILING, haversine_m, speed_ceiling, valid_position
@@ -35,34 +34,39 @@ def _against(q: str = "q") -> Column:
     return F.when(F.col(q).isNull(), 0).when(same, DUPLICATE).when(seconds.isNull(), 0).otherwise(dated)
 
 
-def _fold(chunk: pd.DataFrame) -> pd.DataFrame:
-    """Flags of one chunk's points in order, from the clean point that it inherits."""
-    chunk = chunk.sort_values("seq", kind="stable")
-    flags, ceiling, least = chunk["flag"].tolist(), float(chunk["ceiling"].iloc[0]), JITTER_M
-    has, *last = (chunk[c].iloc[0] for c in ("has", "in_lat", "in_lon", "in_ts"))
-    p_lat, p_lon, p_ts = map(float, last) if has else (math.nan,) * 3
-    sin, radians = math.sin, math.radians
-    for i, (lat, lon, ts) in enumerate(zip(*(chunk[c].tolist() for c in ("lat", "lon", "ts_ms")), strict=True)):
-        if flags[i] == INVALID:
-            continue
-        flag = 0
-        if has:
-            seconds = (ts - p_ts) / 1000  # nan if either is undated
-            if lat == p_lat and lon == p_lon and (ts == p_ts or (ts != ts and p_ts != p_ts)):
-                flag = DUPLICATE
-            elif seconds < 0:
-                flag = TIME
-            elif seconds == seconds:
-                a = sin(radians(lat - p_lat) / 2) ** 2 + math.cos(radians(p_lat)) * math.cos(radians(lat)) * sin(radians(lon - p_lon) / 2) ** 2
-                metres = 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(a)))
-                if seconds == 0:
-                    flag = TIME if metres > least else 0
-                elif metres / seconds > ceiling:
-                    flag = SPEED
-        flags[i] = flag
-        if not flag:
-            has, p_lat, p_lon, p_ts = True, lat, lon, ts
-    return chunk.assign(flag=np.array(flags, dtype=np.int32))
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Flags of points that come chunk by chunk and in order, each chunk from the clean point that it inherits; only the last clean point is held."""
+    sin, cos, radians, least = math.sin, math.cos, math.radians, JITTER_M
+    chunk, has, p_lat, p_lon, p_ts = None, False, math.nan, math.nan, math.nan
+    for batch in batches:
+        flags: list[int] = []
+        values = (batch.column(c).to_pylist() for c in ("segment_id", "chunk", "lat", "lon", "ts_ms", "flag", "ceiling", "has", "in_lat", "in_lon", "in_ts"))
+        for segment, part, lat, lon, ts, flag, ceiling, in_has, in_lat, in_lon, in_ts in zip(*values, strict=True):
+            if (segment, part) != chunk:
+                chunk, has, p_lat, p_lon, p_ts = (segment, part), in_has, in_lat, in_lon, in_ts
+            if flag == INVALID:
+                flags.append(flag)
+                continue
+            flag = 0
+            if has:
+                if lat == p_lat and lon == p_lon and ts == p_ts:  # two undated points are equal, too
+                    flag = DUPLICATE
+                elif ts is not None and p_ts is not None:
+                    seconds = (ts - p_ts) / 1000
+                    if seconds < 0:
+                        flag = TIME
+                    else:
+                        a = sin(radians(lat - p_lat) / 2) ** 2 + cos(radians(p_lat)) * cos(radians(lat)) * sin(radians(lon - p_lon) / 2) ** 2
+                        metres = 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(a)))
+                        if seconds == 0:
+                            flag = TIME if metres > least else 0
+                        elif metres / seconds > ceiling:
+                            flag = SPEED
+            flags.append(flag)
+            if not flag:
+                has, p_lat, p_lon, p_ts = True, lat, lon, ts
+        kept = batch.select(["segment_id", "chunk", "seq", "ts_ms", "lat", "lon"])
+        yield pa.record_batch([*kept.columns, pa.array(flags, pa.int32())], names=[*kept.schema.names, "flag"])
 
 
 def clean(points: DataFrame, ceilings: Mapping[str, float] | None = None, default: float = DEFAULT_CEILING, chunk: int = CHUNK) -> DataFrame:
@@ -95,8 +99,10 @@ def _folded(points: DataFrame) -> DataFrame:
             "segment_id", "chunk", "seq", F.col("ts_ms").cast("double").alias("ts_ms"), "lat", "lon", "ceiling", "flag",
             F.col("inherits").isNotNull().alias("has"), F.col("inherits.lat").alias("in_lat"), F.col("inherits.lon").alias("in_lon"), F.col("inherits.ts").alias("in_ts"),
         )
-        folded = given.groupBy("segment_id", "chunk").applyInPandas(_fold, given.schema)
-        kept = folded.select("segment_id", "chunk", "seq", "flag", F.when(F.col("flag") == 0, F.struct("lat", "lon", F.nanvl("ts_ms", F.lit(None).cast("double")).alias("ts"))).alias("at"))
+        # Many chunks stream through a task, one after the other.
+        given = given.repartition("segment_id", "chunk").sortWithinPartitions("segment_id", "chunk", "seq")
+        folded = given.mapInArrow(_fold, given.select("segment_id", "chunk", "seq", "ts_ms", "lat", "lon", "flag").schema)
+        kept = folded.select("segment_id", "chunk", "seq", "flag", F.when(F.col("flag") == 0, F.struct("lat", "lon", F.col("ts_ms").alias("ts"))).alias("at"))
         done = cut(kept if done is None else done.join(todo, ["segment_id", "chunk"], "left_anti").unionByName(kept))
         # What each chunk hands on is its last clean point; what it inherits, the last handed on before it.
         ends = done.groupBy("segment_id", "chunk").agg(F.max_by(F.col("at"), F.when(F.col("at").isNotNull(), F.col("seq"))).alias("hands"))
