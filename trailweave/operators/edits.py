@@ -94,7 +94,7 @@ def baked(points: DataFrame, overlay: DataFrame) -> DataFrame:
 
 
 def replaced(overlay: DataFrame, edits: DataFrame) -> DataFrame:
-    """``overlay`` with the rows of the segments in ``edits`` replaced by these; segments left with fewer than two points are refused elsewhere."""
+    """``overlay`` with the rows of the segments in ``edits`` replaced by these; ``drafts.saved`` refuses what leaves too few points."""
     return overlay.join(edits.select("segment_id").distinct(), "segment_id", "left_anti").unionByName(valid_overlay(edits))
 
 

@@ -263,3 +263,60 @@ def kind_sets() -> dict[tuple[int, ...], list[str]]:
     for type_, kinds in KINDS_OF_TYPE.items():
         out.setdefault(kinds, []).append(type_)
     return out
+
+
+def coverage_boxes(coverage: DataFrame, category: str) -> DataFrame:
+    """The fetched boxes of one layer, the latest first."""
+    return coverage.where(F.col("category") == category).orderBy(F.desc("fetched_at_ms"), "min_lat", "min_lon", "max_lat", "max_lon")
+
+
+def cleared(nodes: DataFrame, edges: DataFrame, coverage: DataFrame, matched: DataFrame, keep_matched: bool = False) -> tuple[DataFrame, ...]:
+    """The four tables of a network emptied; with ``keep_matched`` lines matched before are still drawn."""
+    return nodes.limit(0), edges.limit(0), coverage.limit(0), matched if keep_matched else matched.limit(0)
+
+
+def fetched(edges: DataFrame, coverage: DataFrame) -> bool:
+    """If anything has been fetched into a network, be it an empty region."""
+    return bool(edges.limit(1).count() or coverage.limit(1).count())
+
+
+def _chords(line: Column) -> Column:
+    """A line of (lon, lat) as an array of (p, q), one for each two vertices in turn; a lone vertex is one of itself."""
+    n = F.size(line)
+    return F.when(n > 1, F.zip_with(F.slice(line, 1, F.greatest(n - 1, F.lit(0))), F.slice(line, 2, F.greatest(n - 1, F.lit(0))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))).when(n == 1, F.transform(line, lambda p: F.struct(p.alias("p"), p.alias("q"))))
+
+
+def line_distance(lon: Column, lat: Column, line: Column, cos: Column) -> Column:
+    """How far a position lies from a line (array of lon, lat), in degrees of latitude; longitudes shrink by ``cos``. Null without a line."""
+    gaps = F.transform(_chords(line), lambda c: segment_distance(lon * cos, lat, c["p"]["lon"] * cos, c["p"]["lat"], c["q"]["lon"] * cos, c["q"]["lat"])[0])
+    return F.sqrt(F.array_min(gaps))
+
+
+def line_cos(line: Column) -> Column:
+    """The cosine of a line's mean latitude, 0.1 at least."""
+    mean = F.aggregate(line, F.lit(0.0), lambda s, p: s + p["lat"]) / F.size(line)
+    return F.greatest(F.lit(0.1), F.cos(F.radians(mean)))
+
+
+def line_length(line: Column) -> Column:
+    """The length of a line (array of lon, lat) in degrees of latitude; 0 for fewer than two vertices."""
+    cos = line_cos(line)
+    steps = F.transform(_chords(line), lambda c: F.hypot((c["q"]["lon"] - c["p"]["lon"]) * cos, c["q"]["lat"] - c["p"]["lat"]))
+    return F.coalesce(F.aggregate(steps, F.lit(0.0), lambda s, d: s + d), F.lit(0.0))
+
+
+def via_turns(stops: DataFrame, vias: DataFrame) -> DataFrame:
+    """(request, lon, lat, turn): where each new stop of a request goes: half a turn after the start of the leg that it lies nearest to.
+
+    ``stops``: (request, turn, lon, lat), whole turns in order; ``vias``: (request, lon, lat), one a request. Nearness is on the plane
+    of a web map, and the first of equally near legs takes the stop. Requests of fewer than two stops take it at their end.
+    """
+    up = lambda lat: F.log(F.tan(F.radians(45 + F.col(lat) / 2)))
+    w = Window.partitionBy("request").orderBy("turn")
+    at = stops.select("request", "turn", F.radians("lon").alias("x"), up("lat").alias("y"))
+    legs = at.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w), "last": F.max("turn").over(Window.partitionBy("request"))})
+    new = vias.select("request", "lon", "lat", F.radians("lon").alias("px"), up("lat").alias("py"))
+    d2 = segment_distance(*(F.col(c) for c in ("px", "py", "x", "y", "nx", "ny")))[0]
+    met = new.join(legs, "request", "left").withColumn("d2", F.when(F.col("nx").isNotNull(), d2))
+    best = met.groupBy("request", "lon", "lat").agg(F.min_by("turn", F.when(F.col("d2").isNotNull(), F.struct("d2", "turn"))).alias("leg"), F.max("last").alias("last"))
+    return best.select("request", "lon", "lat", (F.coalesce("leg", "last", F.lit(0)) + F.lit(0.5)).alias("turn"))

@@ -153,3 +153,15 @@ def summary(files: DataFrame, tracks: DataFrame, segments: DataFrame, visits: Da
     for name, table in (("files", files), ("tracks", tracks), ("visits", visits)):
         of = of.join(table.agg(F.count(F.lit(1)).alias(name)), how="cross")  # one row each
     return of
+
+
+def of_visible_types(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """Drawn ``rows`` (type, …) whose category is switched on; ``categories``: (name, visible). Rows drawn once are filtered, not asked for anew."""
+    return rows.join(F.broadcast(categories.where("visible").select(F.col("name").alias("type")).distinct()), "type", "left_semi")
+
+
+def dataset_stats(files: DataFrame, tracks: DataFrame, segments: DataFrame, visits: DataFrame, places: DataFrame) -> dict[str, DataFrame]:
+    """All that describes a dataset: one row of totals, visits by year, and the places with the most visits."""
+    from .places import distinct_places, top_places, year_counts
+
+    return {"summary": summary(files, tracks, segments, visits), "places": distinct_places(visits), "years": year_counts(visits), "top_places": top_places(visits, places)}
