@@ -169,13 +169,14 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 def hex_color(color: Column) -> Column:
     """A colour given as hex or hsl(h, s%, l%), as # and six hex digits; grey for anything else."""
-    part = lambda i: F.regexp_extract(color, r"(?i)^hsl\(\s*([\d.]+)\s*,\s*([\d.]+)%\s*,\s*([\d.]+)%\s*\)$", i).try_cast("double")
+    n = r"(\d+\.?\d*|\.\d+)"
+    part = lambda i: F.regexp_extract(color, rf"(?i)^hsl\(\s*{n}\s*,\s*{n}%\s*,\s*{n}%\s*\)$", i).try_cast("double")
     h, s, l = part(1), part(2) / 100, part(3) / 100
     # A channel is the lightness less or plus the chroma, by how far the hue is from the channel's own.
     chroma = s * F.least(l, 1 - l)
 
-    def channel(n: int) -> Column:
-        k = F.pmod(h / 30 + n, F.lit(12.0))
+    def channel(turn: int) -> Column:
+        k = F.pmod(h / 30 + turn, F.lit(12.0))
         v = l - chroma * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))
         return F.lower(F.lpad(F.hex(F.floor(v * 255 + 0.5).cast("long")), 2, "0"))
 

@@ -13,23 +13,6 @@ from . import edits as E
 from .clean import segment_rollup
 from .geometry import detail_levels
 
-#: A shared number gives so many consecutive ids a task of their own when ids are numbered.
-BLOCK = 4096
-
-
-def numbered(ids: DataFrame, key: str, first: int, name: str = "new_id") -> DataFrame:
-    """``ids`` (distinct whole numbers ``key``) with ``name``, counting from ``first`` in order of ``key``.
-
-    Ids are ranked within blocks of BLOCK neighbours; only the blocks' sizes are summed in one window.
-    """
-    block = F.floor(F.col(key) / BLOCK)
-    sizes = ids.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = sizes.select("block", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("block").orderBy(key))
-    return ids.withColumn("block", block).join(start, "block").withColumn(name, (F.col("before") + rank - 1 + first).cast("long")).drop("block", "before")
-
-
 def drafts(overlay: DataFrame) -> DataFrame:
     """(segment_id): the segments with a draft, each once."""
     return overlay.select("segment_id").distinct()
@@ -126,7 +109,7 @@ def typed_split(points: DataFrame, overlay: DataFrame, segments: DataFrame, cuts
         .when(F.coalesce("there", F.lit(0)) == 0, "point").when(F.least("low", "high") < 2, "short").otherwise("split")
     )
     asked = asked.withColumn("status", verdict)
-    made = numbered(asked.where("status = 'split'").select("segment_id", "at", "first_type", "second_type", "old_type"), "segment_id", first_new_id)
+    made = E.numbered(asked.where("status = 'split'").select("segment_id", "at", "first_type", "second_type", "old_type"), "segment_id", first_new_id)
     done = made.select("segment_id")
     met = whole.join(made.select("segment_id", "at", "new_id"), "segment_id")
     half = F.explode(F.array_compact(F.array(F.when(F.col("seq") <= F.col("at"), F.col("segment_id")), F.when(F.col("seq") >= F.col("at"), F.col("new_id")))))

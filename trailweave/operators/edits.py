@@ -14,6 +14,21 @@ from .geometry import cumulative_m
 from .joins import neighbours_in_time
 
 WINDOW_MS = 24 * 3600 * 1000
+#: Ids are numbered by blocks of so many neighbours.
+BLOCK = 4096
+
+
+def numbered(ids: DataFrame, key: str, first: int, name: str = "new_id") -> DataFrame:
+    """``ids`` (distinct whole numbers ``key``) with ``name``, counting from ``first`` in order of ``key``.
+
+    Ids are ranked within blocks of BLOCK neighbours; only the blocks' sizes are summed in one window.
+    """
+    block = F.floor(F.col(key) / BLOCK)
+    sizes = ids.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = sizes.select("block", before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy(key))
+    return ids.withColumn("block", block).join(start, "block").withColumn(name, (F.col("before") + rank - 1 + first).cast("long")).drop("block", "before")
 
 
 def valid_overlay(overlay: DataFrame) -> DataFrame:
@@ -118,7 +133,8 @@ def split(points: DataFrame, cuts: DataFrame, first_new_id: int) -> DataFrame:
     met = points.join(at, "segment_id")
     ok = (F.col("flag") == 0) & F.col("lat").isNotNull()
     sound = met.groupBy("segment_id", "at").agg(F.count(F.when(ok & (F.col("seq") <= F.col("at")), 1)).alias("a"), F.count(F.when(ok & (F.col("seq") >= F.col("at")), 1)).alias("b"), F.count(F.when(F.col("seq") == F.col("at"), 1)).alias("c"))
-    sound = sound.where("a >= 2 AND b >= 2 AND c > 0").select("segment_id", "at", (F.row_number().over(Window.orderBy("segment_id")) - 1 + first_new_id).cast("long").alias("new_id"))
+    sound = sound.where("a >= 2 AND b >= 2 AND c > 0").select("segment_id", "at")
+    sound = numbered(sound, "segment_id", first_new_id)
     met = points.join(sound, "segment_id")
     halves = met.where(F.col("seq") <= F.col("at")).select(points.columns).unionByName(met.where(F.col("seq") >= F.col("at")).withColumn("segment_id", F.col("new_id")).select(points.columns))
     seq = F.row_number().over(Window.partitionBy("segment_id").orderBy("seq")) - 1

@@ -207,3 +207,15 @@ def track_as_visit(points: DataFrame, segment: DataFrame, place_id: int, visit_i
     ok = points.where((F.col("flag") == 0) & F.col("lat").isNotNull())
     mean = ok.groupBy("segment_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     return segment.join(mean, "segment_id").select(F.lit(visit_id).cast("long").alias("id"), F.lit(None).cast("string").alias("name"), F.col("start_ts_ms").alias("ts_ms"), "lat", "lon", F.lit(place_id).cast("long").alias("place_id"))
+
+
+def tracks_as_visits(points: DataFrame, segments: DataFrame, first_id: int) -> DataFrame:
+    """(segment_id, id, name, ts_ms, lat, lon, place_id): a visit for every one of ``segments`` (segment_id, start_ts_ms, place_id) that
+    has a clean point: the mean of these at the track's start. Ids count from ``first_id`` in order of segment_id.
+    """
+    from .edits import numbered
+
+    ok = points.where((F.col("flag") == 0) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    mean = ok.groupBy("segment_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    rows = numbered(segments.join(mean, "segment_id"), "segment_id", first_id, "id")
+    return rows.select("segment_id", "id", F.lit(None).cast("string").alias("name"), F.col("start_ts_ms").alias("ts_ms"), "lat", "lon", "place_id")

@@ -464,35 +464,6 @@ def ceilings_and_levels(spark, d):
 # ---- sequential algorithms: rows only here, tested against brute force
 
 
-@query()
-def simplify_levels(spark, d):
-    return G.detail_levels(_flagged(spark, d)).select("segment_id", "detail", "point_count", G.to_geojson(F.col("coords")).alias("geojson"))
-
-
-@query()
-def decimated_lines(spark, d):
-    lines = G.polylines(_flagged(spark, d))
-    return lines.select("segment_id", F.size("coords").alias("before"), F.size(G.decimated(F.col("coords"), F.lit(5))).alias("after"), F.round(G.arc_length(F.col("coords")), 6).alias("length"))
-
-
-@query()
-def viewport_draw(spark, d):
-    p = cut(_flagged(spark, d))
-    segments = cut(_segments(spark, d))
-    drawn = V.draw(V.Viewport(zoom=10, max_points=2000, max_segments=100), segments, _categories(spark), cut(G.detail_levels(p)))
-    return drawn.rows.select("id", "type", "start_ts_ms", "point_count", F.lit(drawn.stride).alias("stride"), F.lit(drawn.level).alias("level"))
-
-
-@query()
-def greedy_clusters(spark, d):
-    return P.clusters(T.waypoints(spark, d).where("place_id IS NULL"))
-
-
-@query()
-def viewport_pins(spark, d):
-    return P.thin(P.pins(T.waypoints(spark, d), (0.0, 0.0, 5.0, 3.0)), 50, 5.0)
-
-
 def _town(spark, d):
     """A grid of track around the made-up points, with a kind for each row."""
     at = spark.range(13 * 18).select("id", (F.floor(F.col("id") / 18) / 100 + 10).alias("lat"), (F.col("id") % 18 / 100 + 20).cast("double").alias("lon"))
