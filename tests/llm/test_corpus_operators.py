@@ -101,6 +101,22 @@ def test_recall_and_few_candidates(spark):
     assert neighbours.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_recall_over_many_shards_and_odd_vectors(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    want = nearest_brute([(r.vec_id, r.embedding) for r in df.collect()], 20)
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 200)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 7)  # queries stream through each tree in many turns
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(want) and all(len(v) == len(set(v)) == 20 for v in got.values())
+    recall = np.mean([len(set(got[q]) & {i for i, _ in want[q]}) / 20 for q in want])
+    assert recall >= 0.95, recall
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (None, [3.0, 0.0]), (1, [2.0, 0.0, 0.0]), (2, [3.0, 0.0]), (20, [5.0])], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(odd, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in rows] == [(0, 1, 2, 3.0), (0, 2, None, 3.0)]
+
+
 def shingle_sets(texts):
     out = []
     for t in texts:

@@ -1,13 +1,16 @@
 """Approximate nearest neighbours: a vantage-point tree for each shard, pruned by a relaxed triangle inequality.
 
-Every vector belongs to one shard of about SHARD_ROWS rows and every query to one block of about BLOCK_ROWS rows, both by a hash of
-the row. Each pair of shard and block is one group: its task builds the shard's tree and sends the whole block down. A query's
+Every vector belongs to one shard of about SHARD_ROWS rows, by a hash of the row, and goes there once; a query goes to every shard. In a
+shard's task its rows come first and make a tree, once; the queries stream through it, BLOCK_ROWS at most at a time. A query's
 nearest of each shard then meet in one sort by query. Largest inner products become smallest distances when each vector of norm r
 gets one more component sqrt(R**2 - r**2), R being the largest norm, and each query a zero.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -101,34 +104,55 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = F
     base = cut(base.where(usable(F.col("v"))).select(F.monotonically_increasing_id().alias("uid"), "id", "v", "asks", F.size("v").alias("dim")))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     n, asking, radius = base.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1)), F.max(norm)).first()
-    shards, blocks, most = max(1, -(-n // SHARD_ROWS)), max(1, -(-asking // BLOCK_ROWS)), radius or 0.0
-    part = lambda m: F.pmod(F.xxhash64("uid"), F.lit(m)).cast("int")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = base.select("uid", "id", "v", "dim", part(shards).alias("shard")).withColumn("block", each(blocks))
-    asked = base.where("asks").select("uid", "id", "v", "dim", part(blocks).alias("block")).withColumn("shard", each(shards))
-
-    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"uid": [], "query_id": [], "vec_id": [], "other": [], "score": []}
-        if left.num_rows and right.num_rows:
-            x, q = _matrix(left.column("v")), _matrix(right.column("v"))
-            uid, query_uid = left.column("uid").to_numpy(), right.column("uid").to_numpy()
-            more = np.sqrt(np.maximum(most - np.einsum("ij,ij->i", x, x), 0))
-            tree = VantagePointTree(np.c_[x, more])
-            order = np.argsort(uid)
-            at = np.minimum(np.searchsorted(uid[order], query_uid), len(uid) - 1)
-            own = np.where(uid[order][at] == query_uid, order[at], -1)
-            # Distances in units of the largest norm: the slack for ties stands well above rounding.
-            who, row = tree.search(np.c_[q, np.zeros(len(q))], k, factor, own, slack=1e-7 * max(1.0, np.sqrt(most)))
-            score = np.concatenate([(q[who[i : i + 65536]] * x[row[i : i + 65536]]).sum(axis=1) for i in range(0, len(who), 65536)] or [np.zeros(0)])
-            ids = left.column("id").to_pandas().astype("Int64").fillna(np.iinfo(np.int64).max).to_numpy(dtype=np.int64)
-            order = np.lexsort((uid[row], ids[row], -score, who))
-            start = np.flatnonzero(np.r_[True, who[order][1:] != who[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-            rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
-            order = order[rank < k]
-            out = {"uid": query_uid[who[order]], "query_id": right.column("id").take(pa.array(who[order])), "vec_id": left.column("id").take(pa.array(row[order])), "other": uid[row[order]], "score": score[order]}
-        return pa.table({name: pa.chunked_array(x.chunks, pa.int64()) if isinstance(x, pa.ChunkedArray) else pa.array(x, pa.float64() if name == "score" else pa.int64()) for name, x in out.items()})
-
-    keys = ["shard", "block", "dim"]
-    some = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "uid long, query_id long, vec_id long, other long, score double")
+    shards, most = max(1, -(-n // SHARD_ROWS)), radius or 0.0
+    if not asking:
+        return base.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    shard = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
+    rows = base.select("uid", "id", "v", "dim", shard.alias("shard"), F.lit(False).alias("query"))
+    asked = base.where("asks").select("uid", "id", "v", "dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"))
+
+    def search(uid: np.ndarray, ids: np.ndarray, x: np.ndarray, tree: VantagePointTree, asked: pa.Table) -> pa.RecordBatch:
+        """The nearest of a shard's rows (sorted by uid) to some queries."""
+        q, query_uid = _matrix(asked.column("v")), asked.column("uid").to_numpy()
+        at = np.minimum(np.searchsorted(uid, query_uid), len(uid) - 1)
+        own = np.where(uid[at] == query_uid, at, -1)
+        # Distances in units of the largest norm: the slack for ties stands well above rounding.
+        who, row = tree.search(np.c_[q, np.zeros(len(q))], k, factor, own, slack=1e-7 * max(1.0, np.sqrt(most)))
+        score = np.concatenate([(q[who[i : i + 65536]] * x[row[i : i + 65536]]).sum(axis=1) for i in range(0, len(who), 65536)] or [np.zeros(0)])
+        null = np.iinfo(np.int64).max
+        order = np.lexsort((uid[row], ids[row], -score, who))
+        start = np.flatnonzero(np.r_[True, who[order][1:] != who[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+        order = order[rank < k]
+        query_id = asked.column("id").combine_chunks().take(pa.array(who[order]))
+        vec_id = pa.array(ids[row[order]], pa.int64(), mask=ids[row[order]] == null)
+        return pa.RecordBatch.from_arrays([pa.array(query_uid[who[order]], pa.int64()), query_id, vec_id, pa.array(uid[row[order]], pa.int64()), pa.array(score[order], pa.float64())], ["uid", "query_id", "vec_id", "other", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shard by shard: its rows come first and make a tree, through which its queries stream."""
+        key, held, built = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            marks = [table.column(c).to_numpy() for c in ("shard", "dim", "query")]
+            turn = np.any([m[1:] != m[:-1] for m in marks], axis=0)
+            for a, b in itertools.pairwise(np.r_[0, np.flatnonzero(turn) + 1, len(table)].tolist()):
+                of = marks[0][a], marks[1][a]
+                if of != key:
+                    key, held, built = of, [], None
+                if not marks[2][a]:
+                    held.append(table.slice(a, b - a))
+                    continue
+                if built is None and held:
+                    mine, held = pa.concat_tables(held), []
+                    x = _matrix(mine.column("v"))
+                    more = np.sqrt(np.maximum(most - np.einsum("ij,ij->i", x, x), 0))
+                    ids = mine.column("id").to_pandas().astype("Int64").fillna(np.iinfo(np.int64).max).to_numpy(dtype=np.int64)
+                    built = mine.column("uid").to_numpy(), ids, x, VantagePointTree(np.c_[x, more])
+                for i in range(a, b if built else a, BLOCK_ROWS):
+                    yield search(*built, table.slice(i, min(BLOCK_ROWS, b - i)))
+
+    # A row goes to its shard once; a query to every shard. Only a shard's rows and one batch of queries are held at a time.
+    dealt = rows.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "query", "uid")
+    some = dealt.mapInArrow(run, "uid long, query_id long, vec_id long, other long, score double")
     first = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "other")
     return some.select("*", F.row_number().over(first).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
