@@ -130,3 +130,26 @@ def test_every_query_has_a_name_and_oracles_match_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_store_adds_without_rewriting_and_compacts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    place = lambda *rows: spark.createDataFrame(rows, "id long, name string")
+    assert store.read("places").count() == 0 and store.compact() is None
+    store.append("places", place((1, "a")))
+    store.append("places", place((2, "b")))
+    assert {tuple(r) for r in store.read("places").collect()} == {(1, "a"), (2, "b")}
+    assert [r[0] for r in spark.read.parquet(str(tmp_path / "store" / "v2" / "places")).select("id").collect()] == [2]
+    store.compact()
+    assert store.versions() == {"places": [3]} and store.read("places").count() == 2
+    store.commit(places=place((5, "e")))
+    store.append("places", place((6, "f")))
+    assert store.versions() == {"places": [4, 5]} and sorted(r.id for r in store.read("places").collect()) == [5, 6]
+    with pytest.raises(ValueError):
+        store.commit(add={"places": place((7, "g"))}, places=place((7, "g")))
+    for ms in (1.0, 2.0):
+        store.log_performance("q", ms, "", 0)
+    assert [r.ms for r in store.recent_performance().collect()] == [2.0, 1.0]
+    # Logs from before additions have no word on them.
+    spark.createDataFrame([(9, "visits", 1)], "version long, name string, schema_version int").write.mode("append").parquet(str(tmp_path / "store" / "log"))
+    assert store.versions()["visits"] == [9]

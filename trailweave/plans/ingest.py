@@ -79,15 +79,16 @@ def import_files(store: Store, files: DataFrame, settings: Settings | None = Non
     listed = docs.join(file_ids, "path").join(counts, "file_id", "left").join(n_tracks, "file_id", "left").join(n_visits, "file_id", "left").withColumn("status", status)
     listed = gpx.weeks(listed).fillna(0, ["track_count", "segment_count", "point_count", "visit_count"])
     listed = listed.select(F.col("file_id").alias("id"), "path", "file_hash", "size", "status", "error", "iso_year", "iso_week", "track_count", "segment_count", "point_count", "visit_count")
-    add = lambda t, new: old[t].unionByName(new.select(*old[t].columns))
     kept_files = old["files"].join(docs.select("file_hash"), "file_hash", "left_anti").select(*old["files"].columns)
-    tables = {
-        "files": kept_files.unionByName(listed), "tracks": add("tracks", tracks.join(track_ids, ["path", "track_no"]).select(F.col("track_id").alias("id"), "file_id", F.col("track_name").alias("name"), "type")),
-        "segments": add("segments", segments), "points": add("points", points), "levels": add("levels", detail_levels(points)),
-        "visits": add("visits", visits), "categories": seeded_categories(segments, old["categories"]),
+    # Small tables are written whole; others grow by what is new, unless windows of what was there go.
+    whole = {"files": kept_files.unionByName(listed), "categories": seeded_categories(segments, old["categories"])}
+    new = {
+        "tracks": tracks.join(track_ids, ["path", "track_no"]).select(F.col("track_id").alias("id"), "file_id", F.col("track_name").alias("name"), "type"),
+        "segments": segments, "points": points, "levels": detail_levels(points), "visits": visits,
     }
     if overwrite:
-        tables |= {t: old[t] for t in ("matched", "overlay", "places")}
-    store.commit(**tables)
+        whole |= {t: old[t].unionByName(rows.select(*old[t].columns)) for t, rows in new.items()} | {t: old[t] for t in ("matched", "overlay", "places")}
+        new = {}
+    store.commit(add=new, **whole)
     s = segments.agg(F.count(F.lit(1)), F.coalesce(F.sum("point_count"), F.lit(0)), F.coalesce(F.sum(F.col("point_count") - F.col("clean_point_count")), F.lit(0))).first()
     return Imported(good.count(), total - docs.count(), bad.count(), tracks.count(), s[0], s[1], visits.count(), s[2])

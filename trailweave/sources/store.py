@@ -1,7 +1,8 @@
-"""A store of tables: Parquet snapshots, each commit a new set, and a settings file.
+"""A store of tables: Parquet files by commit, a log of what each commit replaces or adds to, and a settings file.
 
-A commit writes the tables that changed below a new version and, last, a row of the log, which is itself a table that Spark appends to;
-readers take the newest logged version of each table. A commit that fails before its row leaves what was there. One writer at a time.
+A commit writes the rows it brings below a new version and, last, its rows of the log, which is itself a table that Spark appends to. A
+table is its newest replacement and what was added since, so what a commit costs follows what it brings, not what is there. A commit
+that fails before its log leaves what was there. One writer at a time; ``compact`` makes many small additions one.
 """
 
 from __future__ import annotations
@@ -44,37 +45,51 @@ class Store:
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.schema("version long, name string, schema_version int").parquet(f"{self.root}/log")
+            return self.spark.read.schema("version long, name string, schema_version int, adds boolean").parquet(f"{self.root}/log")
         except AnalysisException:
             return None
 
-    def versions(self) -> dict[str, int]:
-        """The newest version of each table."""
+    def versions(self) -> dict[str, list[int]]:
+        """The versions that make up each table: its newest replacement, and those that added to it since."""
         log = self._log()
-        return {} if log is None else {r["name"]: r["version"] for r in log.groupBy("name").agg(F.max("version").alias("version")).collect()}
+        if log is None:
+            return {}
+        # A log has a row for each commit and table; older ones don't say that they replace.
+        whole = F.max(F.when(~F.coalesce("adds", F.lit(False)), F.col("version")))
+        since = log.join(log.groupBy("name").agg(F.coalesce(whole, F.lit(0)).alias("whole")), "name").where("version >= whole")
+        return {r["name"]: r["parts"] for r in since.groupBy("name").agg(F.sort_array(F.collect_set("version")).alias("parts")).collect()}
 
     def read(self, name: str) -> DataFrame:
-        """A table as last committed, empty if it never was. Columns added since are null in older snapshots."""
-        version = self.versions().get(name)
+        """A table as last committed, empty if it never was. Columns added since are null in older files."""
+        parts = self.versions().get(name)
         schema = TABLES[name]
-        if version is None:
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/v{version}/{name}")
-
-    def commit(self, **tables: DataFrame) -> int:
-        """Write ``tables`` as one new version; all or nothing is seen."""
-        version = max(self.versions().values(), default=0) + 1
-        for name, df in tables.items():
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/v{v}/{name}" for v in parts))
+
+    def commit(self, add: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
+        """Replace ``tables`` and add the rows of ``add`` (by table) to others, as one new version; all or nothing is seen."""
+        add = add or {}
+        if both := add.keys() & tables.keys():
+            raise ValueError(f"both replaced and added to: {sorted(both)}")
+        version = max((v for parts in self.versions().values() for v in parts), default=0) + 1
+        for name, df in {**tables, **add}.items():
             rows = df.select(*(F.col(c).cast(t).alias(c) for c, t in self.spark.createDataFrame([], TABLES[name]).dtypes))
             if by := CLUSTERED.get(name):
                 rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
             rows.write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
-        log = [(version, name, SCHEMA_VERSION) for name in tables]
-        self.spark.createDataFrame(log, "version long, name string, schema_version int").coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        log = [(version, name, SCHEMA_VERSION, name in add) for name in (*tables, *add)]
+        self.spark.createDataFrame(log, "version long, name string, schema_version int, adds boolean").coalesce(1).write.mode("append").parquet(f"{self.root}/log")
         return version
 
     def append(self, name: str, rows: DataFrame) -> int:
-        return self.commit(**{name: self.read(name).unionByName(rows)})
+        return self.commit(add={name: rows})
+
+    def compact(self, *names: str) -> int | None:
+        """Write each of ``names`` (all tables by default) that has additions as one replacement, clustered anew."""
+        parts = self.versions()
+        many = [n for n in (names or parts) if len(parts.get(n, ())) > 1]
+        return self.commit(**{n: self.read(n) for n in many}) if many else None
 
     def log_performance(self, name: str, ms: float, detail: str, at_ms: int) -> int:
         old = self.read("performance")

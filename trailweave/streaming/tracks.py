@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,7 +49,9 @@ def cleaned(points: DataFrame, default: float = DEFAULT_CEILING) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         chunk = pd.concat(list(frames)).sort_values("seq", kind="stable").reset_index(drop=True)
         has, lat, lon, ts = (True, *state.get) if state.exists else (False, 0.0, 0.0, float("nan"))
-        done = _fold(chunk.assign(has=has, in_lat=lat, in_lon=lon, in_ts=ts))
+        rows = chunk.assign(chunk=0, has=has, in_lat=lat, in_lon=lon, in_ts=ts)
+        # Undated points are NaN in pandas and null in Arrow.
+        done = pa.Table.from_batches(_fold(iter([pa.RecordBatch.from_pandas(rows, preserve_index=False)]))).to_pandas()
         clean = done[done["flag"] == 0]
         if len(clean):
             state.update(tuple(float(clean[c].iloc[-1]) for c in ("lat", "lon", "ts_ms")))
