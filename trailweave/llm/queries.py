@@ -75,6 +75,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentations(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import drawn
+
+    return drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The pages' template, by its own marks: blocks are what stands between the tags of headings and paragraphs inside the article.
 _ARTICLE_BLOCKS = r"""
 WITH parts AS (
@@ -91,5 +97,28 @@ FROM cuts
 """
 
 
+#: CRC-32 by a table of bytes over the hexadecimal digits of each different n-gram.
+_RESAMPLING = r"""
+WITH codes AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS code),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dn AS (SELECT doc_id, len(w) AS n_words, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM d),
+bn AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM b),
+grams AS (SELECT gram, hex(encode(gram)) AS x FROM (SELECT gram FROM dn UNION SELECT gram FROM bn)),
+hashed AS (SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substring(x, 2 * i + 1, 2) AS BIGINT))),
+             lambda c, y: xor(code[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM grams, codes),
+s AS (SELECT bucket, count(*) AS n FROM dn JOIN hashed USING (gram) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bn JOIN hashed USING (gram) GROUP BY bucket),
+gains AS (SELECT r.bucket, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+          FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+sums AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM dn JOIN hashed USING (gram) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substring(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN sums USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN r <= 25 * (SELECT count(*) FROM ranked) // 100 THEN CAST(r AS BIGINT) END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_html_text": _ARTICLE_BLOCKS}
+    return {"op9_html_text": _ARTICLE_BLOCKS, "op11_resampling": _RESAMPLING}
