@@ -81,6 +81,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergences
+
+    return divergences(table(spark, sf_dir, "documents"))
+
+
 #: The pages' template, by its own marks: blocks are what stands between the tags of headings and paragraphs inside the article.
 _ARTICLE_BLOCKS = r"""
 WITH parts AS (
@@ -120,5 +126,27 @@ FROM scored LEFT JOIN ranked USING (doc_id)
 """
 
 
+#: Every group's share of every kept term, then sums over pairs of sources and the terms above the language's share.
+_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+occ AS (SELECT lang, source, id, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+n AS (SELECT lang, source, term, count(*) AS n FROM occ JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+total AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 1)) // (total + v) AS p
+      FROM g JOIN kept USING (lang) JOIN total USING (lang, source) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // ((SELECT sum(total) FROM total t WHERE t.lang = p.lang) + any_value(v)) AS q FROM p JOIN v USING (lang) GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_html_text": _ARTICLE_BLOCKS, "op11_resampling": _RESAMPLING}
+    return {"op9_html_text": _ARTICLE_BLOCKS, "op11_resampling": _RESAMPLING, "op12_divergence": _DIVERGENCE}
