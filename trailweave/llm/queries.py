@@ -87,6 +87,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_trees import classified
+
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: The pages' template, by its own marks: blocks are what stands between the tags of headings and paragraphs inside the article.
 _ARTICLE_BLOCKS = r"""
 WITH parts AS (
