@@ -28,7 +28,7 @@ TERMS = 200
 #: Bytes of the first prefix, and how much deeper a branch with too many counters is cut each time.
 PREFIX, DEEPER = 2, 1
 #: Counters that one group merges, and those that a task holds before it lets its tries go.
-MERGED, HELD = 1 << 20, 1 << 21
+MERGED, HELD = 1 << 19, 1 << 20
 #: Groups (language, source) whose totals one walk of the tries takes along; a language with more has a walk of its own.
 WALKED = 1 << 16
 #: Cells of one block of the counts of a branch's terms by sources.
