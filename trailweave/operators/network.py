@@ -1,17 +1,16 @@
 """Transport networks: regions, graphs, components, anchors and routes, all as tables.
 
 A network is nodes (id, lat, lon) and undirected edges (a, b, kind) with a < b, in any number. A graph adds projected coordinates,
-weights and components. Routes between many pairs are found at once, by rounds that extend every pair's frontier by one edge.
+weights and components. Routes between many pairs are found at once (``routing``).
 """
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import BUS_KIND, KINDS_OF_TYPE, M_PER_DEG, class_cost, corridor_factor
 from ..session import cut
+from . import routing
 from .joins import around, cell, pairs_within
 
 GAP_FACTOR, GAP_SLACK, TRANSFER_PENALTY = 4.0, 3e-3, 2e-3
@@ -192,26 +191,13 @@ def anchors(spots: DataFrame, graph: Graph, scale: float = 1.0) -> DataFrame:
 def routes(pairs: DataFrame, graph: Graph, budget: Column | None = None) -> DataFrame:
     """(src, dst, path, cost): the cheapest path of every pair (src, dst and more) within its budget; pairs without one are left out.
 
-    ``budget`` is a column of ``pairs`` with ``straight`` (the ends' distance); four times that and some slack by default. A round
-    extends all frontiers by one arc, keeps of each pair and node the cheapest arrival, ties by the lesser path, and drops what
-    exceeds the budget or what its destination has been reached for at less. Frontiers stay small, as budgets bound them.
+    ``budget`` is a column of ``pairs`` with ``straight`` (the ends' distance); four times that and some slack by default.
     """
     at = graph.nodes.select("id", "x", "y")
     budget = budget if budget is not None else GAP_FACTOR * F.col("straight") + GAP_SLACK
     found = pairs.join(at.select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy")), "src").join(at.select(F.col("id").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy")), "dst")
-    found = found.withColumn("straight", F.hypot(F.col("sx") - F.col("dx"), F.col("sy") - F.col("dy"))).groupBy("src", "dst").agg(F.max(budget).alias("most"))
-    state = found.select("src", "dst", F.col("src").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("turn"), F.array("src").alias("path"), "most")
-    state = cut(state)
-    for turn in itertools.count(1):  # ends: costs grow, and budgets bound them
-        goal = state.where("node = dst").select("src", "dst", F.col("cost").alias("goal"))
-        ahead = state.where((F.col("turn") == turn - 1) & (F.col("node") != F.col("dst"))).join(graph.arcs, F.col("node") == F.col("u"))
-        ahead = ahead.select("src", "dst", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.lit(turn).alias("turn"), F.concat("path", F.array("v")).alias("path"), "most").where("cost <= most")
-        ahead = ahead.join(goal, ["src", "dst"], "left").where(F.col("goal").isNull() | (F.col("cost") < F.col("goal"))).select(*state.columns)
-        best = state.unionByName(ahead).groupBy("src", "dst", "node").agg(F.min(F.struct("cost", "turn", "path", "most")).alias("m"))
-        state = cut(best.select("src", "dst", "node", "m.cost", "m.turn", "m.path", "m.most"))
-        if not state.where(F.col("turn") == turn).limit(1).count():
-            break
-    return state.where("node = dst").select("src", "dst", "path", "cost")
+    found = found.withColumn("straight", F.hypot(F.col("sx") - F.col("dx"), F.col("sy") - F.col("dy"))).groupBy("src", "dst", "sx", "sy", "dx", "dy").agg(F.max(budget).alias("most"))
+    return routing.routes(found, at, graph.arcs)
 
 
 def path_lengths(found: DataFrame, graph: Graph) -> DataFrame:

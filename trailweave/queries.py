@@ -438,6 +438,32 @@ def shortest_path(spark, d):
     return N.routes(pairs, graph, F.lit(1000.0)).select("dst", F.round("cost", 9).alias("cost"))
 
 
+_LATTICE = """
+cells AS (SELECT l_orderkey % 10000 AS id, (1 + count(*) % 7) / 128.0::DOUBLE AS east, (1 + CAST(sum(l_quantity) AS BIGINT) % 7) / 128.0::DOUBLE AS north FROM lineitem GROUP BY 1),
+ways AS (SELECT c.id AS a, n.id AS b, c.east AS w FROM cells c JOIN cells n ON n.id = c.id + 1 WHERE c.id % 100 < 99 UNION ALL SELECT c.id, n.id, c.north FROM cells c JOIN cells n ON n.id = c.id + 100),
+arc AS (SELECT a, b, w FROM ways UNION ALL SELECT b, a, w FROM ways),
+ask AS (SELECT DISTINCT src, dst, 2 * sqrt(pow(src % 100 - dst % 100, 2) + pow(src // 100 - dst // 100, 2)) / 128.0::DOUBLE + 4 / 128.0::DOUBLE AS most FROM (
+  SELECT s_suppkey * 97 % 10000 AS src, (s_suppkey * 97 + s_suppkey % 11 + s_nationkey % 9 * 100) % 10000 AS dst FROM supplier) WHERE src IN (SELECT id FROM cells) AND dst IN (SELECT id FROM cells)),
+go AS (SELECT src, dst, most, src AS node, 0.0::DOUBLE AS cost, 0 AS arcs FROM ask UNION ALL
+  SELECT src, dst, most, b, min(cost + w), arcs + 1 FROM go JOIN arc ON a = node WHERE cost + w <= most GROUP BY src, dst, most, b, arcs)"""
+
+
+@query("SELECT src, dst, cost, min(arcs) AS arcs FROM (SELECT *, min(cost) OVER (PARTITION BY src, dst) AS least FROM go WHERE node = dst) WHERE cost = least GROUP BY ALL", views=_LATTICE, recursive=True)
+def routes_on_lattice(spark, d):
+    """Routes between suppliers' cells on a lattice of order keys, whose steps cost what the orders of a cell say; sums of 128ths are exact."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_orderkey") % 10000).alias("id"))
+    step = lambda c: (1 + c % 7) / F.lit(128.0)
+    cells = cut(li.agg(step(F.count(F.lit(1))).alias("east"), step(F.sum("l_quantity").cast("long")).alias("north")))
+    there = cells.select(F.col("id").alias("b"))
+    ways = cells.where("id % 100 < 99").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.col("east").alias("w")).union(cells.select("id", F.col("id") + 100, "north")).join(there, "b", "left_semi")
+    arcs = cut(ways.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(ways.select("b", "a", "w")))
+    nodes = cells.select("id", (F.col("id") % 100 / F.lit(128.0)).alias("x"), (F.floor(F.col("id") / 100) / F.lit(128.0)).alias("y"))
+    src, key = F.col("s_suppkey") * 97, F.col("s_suppkey")
+    asked = spark.read.parquet(f"{d}/supplier.parquet").select((src % 10000).alias("src"), ((src + key % 11 + F.col("s_nationkey") % 9 * 100) % 10000).alias("dst")).distinct()
+    found = N.routes(asked, N.Graph(nodes, ways, arcs, 1.0, 1.0), 2 * F.col("straight") + 4 / 128)
+    return found.select("src", "dst", "cost", (F.size("path") - 1).alias("arcs"))
+
+
 # ---- scalars
 
 
