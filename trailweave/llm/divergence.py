@@ -29,6 +29,8 @@ TERMS = 200
 PREFIX, DEEPER = 2, 1
 #: Counters that one group merges, and those that a task holds before it lets its tries go.
 MERGED, HELD = 1 << 19, 1 << 20
+#: Prefixes to be cut deeper that every task gets; of more, each task gets those that it needs, by a shuffle.
+SENT = 100_000
 #: Groups (language, source) whose totals one walk of the tries takes along; a language with more has a walk of its own.
 WALKED = 1 << 16
 #: Cells of one block of the counts of a branch's terms by sources.
@@ -260,9 +262,11 @@ def kept_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
         # a single leaf no longer than its prefix can't be cut; it has a counter for each task and source
         large = sizes.filter((F.col("counters") > MERGED) & ((F.col("leaves") > 1) | (F.col("bytes") > F.length("prefix")))).select("lang", "prefix")
         large = cut(large)
-        if large.isEmpty():
+        n_large = large.count()
+        if not n_large:
             ready.append(whole)
             break
+        large = F.broadcast(large) if n_large <= SENT else large  # else all branches would be shuffled for it
         ready.append(whole.join(large, ["lang", "prefix"], "left_anti"))
         paths.append(fresh_path(spark, "tries"))
         names = [x.split(" ")[0] for x in _BRANCH.split(", ")]
