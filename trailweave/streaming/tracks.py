@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from ..operators.clean import INVALID, _fold
 from ..plans.ingest import import_files
 from ..sources import gpx
 from ..sources.store import Settings, Store
+from .live import observed
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -27,16 +29,22 @@ def arriving(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame
 def import_stream(files: DataFrame, store: Store, checkpoint: str, settings: Settings | None = None, overwrite=None):
     """Import a stream's files batch by batch, all that are there, then stop. Content seen before is skipped by its hash.
 
+    Batches observe ``files`` (their number and bytes), and each is a row of the store's performance log, with what it imported; a ``live.Recorder`` sees both the
+    stream's start and end and the batches between.
+
     A batch that is run again after a failure finds its files imported and changes nothing. ``overwrite`` (a function of a batch)
     gives the windows that late or overlapping exports replace.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
         rows = rows.persist()
-        import_files(store, rows, settings, overwrite(rows) if overwrite else None)
+        start = time.time()
+        got = import_files(store, rows, settings, overwrite(rows) if overwrite else None)
+        detail = f"files={got.files} skipped={got.skipped} failed={got.failed} points={got.points}"
+        store.log_performance("import", (time.time() - start) * 1000, detail, int(start * 1000))
         rows.unpersist()
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return observed(files, "files", bytes=F.sum("size")).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def cleaned(points: DataFrame, default: float = DEFAULT_CEILING) -> DataFrame:
