@@ -182,3 +182,20 @@ def hex_color(color: Column) -> Column:
 
     made = F.concat(F.lit("#"), channel(0), channel(8), channel(4))
     return F.when(color.rlike("(?i)^#[0-9a-f]{6}$"), color).otherwise(F.coalesce(made, F.lit("#888888")))
+
+
+def hilbert(lat: Column, lon: Column, bits: int = 16) -> Column:
+    """The place of a position on a Hilbert curve through the cells of ``bits`` halvings of the globe each way: near numbers are near positions."""
+    n = 1 << bits
+    cell = lambda value, low, span: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((value - low) / span * n))).cast("long")
+
+    def step(at: Column, side: Column) -> Column:
+        x, y = at["x"], at["y"]
+        right, up = x.bitwiseAND(side) > 0, y.bitwiseAND(side) > 0
+        quarter = F.when(right & up, 2).when(right, 3).when(up, 1).otherwise(0)
+        turned = lambda own, other: F.when(up, own).when(right, n - 1 - other).otherwise(other)
+        return F.struct(turned(x, y).alias("x"), turned(y, x).alias("y"), (at["d"] + side * side * quarter).alias("d"))
+
+    start = F.struct(cell(lon, -180.0, 360.0).alias("x"), cell(lat, -90.0, 180.0).alias("y"), F.lit(0).cast("long").alias("d"))
+    sides = F.array(*(F.lit(1 << k).cast("long") for k in reversed(range(bits))))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.aggregate(sides, start, step, lambda at: at["d"]))

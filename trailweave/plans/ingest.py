@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import IGNORED_TYPES, category_color
 from ..operators import clean as cleaning
-from ..operators.edits import cleared_windows
 from ..operators.geometry import detail_levels
 from ..operators.places import pruned
 from ..session import cut
 from ..sources import gpx
-from ..sources.store import Settings, Store
+from ..sources.store import Settings, Store, between
 
 
 @dataclass(frozen=True)
@@ -36,25 +36,89 @@ def seeded_categories(types: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.unionByName(rows)
 
 
+def _within(column: str, windows: list[tuple[int, int]]) -> Column:
+    """If a time lies within one of the windows, both ends included; windows that aren't ones hold nothing."""
+    hit = F.lit(False)
+    for a, b in windows:
+        hit = hit | F.col(column).between(a, b)
+    return F.coalesce(hit, F.lit(False))
+
+
+def merged_windows(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The windows that have an end not before their start, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for a, b in windows if a is not None and b is not None and a <= b):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def cleared(store: Store, windows: list[tuple[int, int]]) -> dict[str, tuple[DataFrame, list[str]]]:
+    """By table, (rows, paths): what the files that hold rows of the windows keep, and these files, for ``Store.commit``.
+
+    Segments go that start within a window, with their points, levels, matched lines and overlays, and visits within it; tracks and files that
+    are left with nothing go, others have their counts anew; places without visits go. ``files`` and ``places`` are whole tables.
+    """
+    windows = merged_windows(windows)
+    if not windows:
+        return {}
+    met = lambda column: functools.reduce(lambda x, y: x | y, (between(column, a, b) for a, b in windows))
+    segments, segment_files = store.meeting("segments", met("start_ts_ms"))
+    visits, visit_files = store.meeting("visits", met("ts_ms"))
+    gone = cut(segments.where(_within("start_ts_ms", windows)).select("id", "track_id", "file_id"))
+    gone_visits = cut(visits.where(_within("ts_ms", windows)).select("id", "file_id", "place_id"))
+    out = {"segments": (segments.where(~_within("start_ts_ms", windows)), segment_files), "visits": (visits.where(~_within("ts_ms", windows)), visit_files)}
+    ids = gone.select("id")
+    for name in ("points", "levels", "matched", "overlay"):
+        rows, paths = store.holding(name, "segment_id", ids)
+        out[name] = (rows.join(ids.withColumnRenamed("id", "segment_id"), "segment_id", "left_anti"), paths)
+    left = store.read("segments").join(ids, "id", "left_anti")
+    left_visits = store.read("visits").join(gone_visits.select("id"), "id", "left_anti")
+    lost = cut(gone.select(F.col("track_id").alias("id")).distinct().join(left.select(F.col("track_id").alias("id")), "id", "left_anti"))
+    tracks, track_files = store.holding("tracks", "id", lost)
+    out["tracks"] = (tracks.join(lost, "id", "left_anti"), track_files)
+    files = store.read("files")
+    touched = gone.select("file_id").union(gone_visits.select("file_id")).distinct()
+    counts = left.join(touched, "file_id", "left_semi").groupBy("file_id").agg(F.countDistinct("track_id").alias("tracks"), F.count(F.lit(1)).alias("segments"), F.sum("point_count").alias("points"))
+    n_visits = left_visits.join(touched, "file_id", "left_semi").groupBy("file_id").agg(F.count(F.lit(1)).alias("visits"))
+    now = touched.join(counts, "file_id", "left").join(n_visits, "file_id", "left").where("segments > 0 OR visits > 0").fillna(0, ["tracks", "segments", "points", "visits"])
+    anew = {"track_count": "tracks", "segment_count": "segments", "point_count": "points", "visit_count": "visits"}
+    kept = files.join(touched.withColumnRenamed("file_id", "id"), "id", "left_anti")
+    changed = files.join(now.withColumnRenamed("file_id", "id"), "id").select(*(F.col(anew[c]).alias(c) if c in anew else F.col(c) for c in files.columns))
+    out["files"] = (cut(kept.select(*files.columns).unionByName(changed)), [])
+    if gone_visits.where("place_id IS NOT NULL").limit(1).count():
+        out["places"] = (cut(pruned(store.read("places"), left_visits)), [])
+    return out
+
+
+def clear_windows(store: Store, windows: list[tuple[int, int]]) -> int | None:
+    """Take what lies within windows of time out of ``store``, rewriting only the files that hold it; the new version, if anything was there."""
+    out = cleared(store, windows)
+    if not out:
+        return None
+    whole = {t: out.pop(t)[0] for t in ("files", "places") if t in out}
+    return store.commit(instead=out, **whole)
+
+
+def spans(files: DataFrame) -> list[tuple[int, int]]:
+    """The windows of time that ``files`` (columns of gpx.read) cover: each file's first to last time. Files that fail or have no times cover nothing."""
+    rows = gpx.spans(gpx.parsed(files).where("error IS NULL")).where("start_ms IS NOT NULL")
+    return merged_windows([tuple(r) for r in rows.select("start_ms", "end_ms").distinct().collect()])
+
+
 def import_files(store: Store, files: DataFrame, settings: Settings | None = None, overwrite: list[tuple[int, int]] | None = None) -> Imported:
     """Import ``files`` (columns of gpx.read) into ``store``. Content that was imported is skipped; what fails is recorded, alone.
 
     ``overwrite``: windows of time (ms, both ends included) whose segments and visits the new files replace.
     """
     settings = settings or Settings()
-    old = {t: store.read(t) for t in ("files", "tracks", "segments", "points", "levels", "matched", "overlay", "visits", "places", "categories")}
-    if overwrite:
-        segments, visits = cleared_windows(old["segments"], old["visits"], overwrite)
-        gone = old["segments"].select(F.col("id").alias("segment_id")).join(segments.select(F.col("id").alias("segment_id")), "segment_id", "left_anti")
-        for t in ("points", "levels", "matched", "overlay"):
-            old[t] = old[t].join(gone, "segment_id", "left_anti")
-        old |= {"segments": segments, "visits": visits, "places": pruned(old["places"], visits)}
-        old["tracks"] = old["tracks"].join(segments.select(F.col("track_id").alias("id")), "id", "left_semi")
-        alive = segments.select("file_id").union(visits.select("file_id")).distinct().withColumnRenamed("file_id", "id")
-        old["files"] = old["files"].join(alive, "id", "left_semi")
+    instead = cleared(store, overwrite) if overwrite else {}
+    known_files, known_categories = instead["files"][0] if "files" in instead else store.read("files"), store.read("categories")
     total = files.count()
-    docs = cut(gpx.parsed(gpx.unseen(files, old["files"])))
-    next_id = lambda t: (old[t].agg(F.max("id")).first()[0] or 0) + 1
+    docs = cut(gpx.parsed(gpx.unseen(files, known_files)))
+    next_id = lambda t: store.highest(t) + 1
     good, bad = docs.where("error IS NULL"), docs.where("error IS NOT NULL")
     file_ids = cut(gpx.numbered(docs, ["path"], "file_id", next_id("files")))
     tracks = gpx.tracks(good).join(file_ids, "path")
@@ -79,16 +143,17 @@ def import_files(store: Store, files: DataFrame, settings: Settings | None = Non
     listed = docs.join(file_ids, "path").join(counts, "file_id", "left").join(n_tracks, "file_id", "left").join(n_visits, "file_id", "left").withColumn("status", status)
     listed = gpx.weeks(listed).fillna(0, ["track_count", "segment_count", "point_count", "visit_count"])
     listed = listed.select(F.col("file_id").alias("id"), "path", "file_hash", "size", "status", "error", "iso_year", "iso_week", "track_count", "segment_count", "point_count", "visit_count")
-    kept_files = old["files"].join(docs.select("file_hash"), "file_hash", "left_anti").select(*old["files"].columns)
-    # Small tables are written whole; others grow by what is new, unless windows of what was there go.
-    whole = {"files": kept_files.unionByName(listed), "categories": seeded_categories(segments, old["categories"])}
+    kept_files = known_files.join(docs.select("file_hash"), "file_hash", "left_anti").select(*known_files.columns)
+    # The lists of files and of categories are written whole; other tables grow by what is new, and lose what a window takes.
+    whole = {"files": kept_files.unionByName(listed), "categories": seeded_categories(segments, known_categories)}
+    if "places" in instead:
+        whole["places"] = instead["places"][0]
+    levels = cut(detail_levels(points))  # the clustering samples it before it is written
     new = {
         "tracks": tracks.join(track_ids, ["path", "track_no"]).select(F.col("track_id").alias("id"), "file_id", F.col("track_name").alias("name"), "type"),
-        "segments": segments, "points": points, "levels": detail_levels(points), "visits": visits,
+        "segments": segments, "points": points, "levels": levels, "visits": visits,
     }
-    if overwrite:
-        whole |= {t: old[t].unionByName(rows.select(*old[t].columns)) for t, rows in new.items()} | {t: old[t] for t in ("matched", "overlay", "places")}
-        new = {}
-    store.commit(add=new, **whole)
+    store.commit(add=new, instead={t: v for t, v in instead.items() if t not in whole}, **whole)
     s = segments.agg(F.count(F.lit(1)), F.coalesce(F.sum("point_count"), F.lit(0)), F.coalesce(F.sum(F.col("point_count") - F.col("clean_point_count")), F.lit(0))).first()
-    return Imported(good.count(), total - docs.count(), bad.count(), tracks.count(), s[0], s[1], visits.count(), s[2])
+    n = docs.agg(F.count(F.lit(1)), F.count("error")).first()
+    return Imported(n[0] - n[1], total - n[0], n[1], track_ids.count(), s[0], s[1], visits.count(), s[2])

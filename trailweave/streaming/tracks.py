@@ -33,13 +33,13 @@ def import_stream(files: DataFrame, store: Store, checkpoint: str, settings: Set
     stream's start and end and the batches between.
 
     A batch that is run again after a failure finds its files imported and changes nothing. ``overwrite`` (a function of a batch)
-    gives the windows that late or overlapping exports replace.
+    gives the windows that late or overlapping exports replace: ``ingest.spans`` for what each file covers, of files not seen before.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
         rows = rows.persist()
         start = time.time()
-        got = import_files(store, rows, settings, overwrite(rows) if overwrite else None)
+        got = import_files(store, rows, settings, overwrite(gpx.unseen(rows, store.read("files"))) if overwrite else None)
         detail = f"files={got.files} skipped={got.skipped} failed={got.failed} points={got.points}"
         store.log_performance("import", (time.time() - start) * 1000, detail, int(start * 1000))
         rows.unpersist()
