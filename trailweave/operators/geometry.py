@@ -16,27 +16,44 @@ COORDS = "array<float>"
 SAMPLE_SPACING, MOST_SAMPLES, SMOOTHING = 4.5e-4, 500, 2
 
 
-def simplify(xy: np.ndarray, tolerance: float) -> np.ndarray:
-    """Indices that Douglas-Peucker keeps of an (n, 2) line: both ends, and of each span the vertex farthest from its chord, if
-    farther than ``tolerance``; the first of equally far ones. Distance is to the chord itself, not to its line.
+def importance(xy: np.ndarray, cuts: np.ndarray, least: float) -> np.ndarray:
+    """The squared tolerance below which Douglas-Peucker keeps each vertex of many lines; 0 where that is not beyond ``least``, infinity at ends.
+
+    ``xy`` holds the lines one after the other, ``cuts`` their n + 1 bounds. A span is split at the vertex farthest from its chord (to the chord itself, not to its
+    line; the first of equally far ones), whatever the tolerance, so a vertex is kept below the least distance on its way from the whole line. All
+    open spans of all lines are split in one round.
     """
-    n = len(xy)
-    keep = np.zeros(n, dtype=bool)
-    keep[[0, -1]] = n > 0
-    spans = [(0, n - 1)] if n > 2 else []
-    while spans:
-        a, b = spans.pop()
-        chord, off = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
-        length2 = float(chord @ chord)
-        t = np.clip(off @ chord / length2, 0, 1) if length2 else np.zeros(len(off))
-        gap = off - t[:, None] * chord
-        d2 = np.einsum("ij,ij->i", gap, gap)
-        k = int(d2.argmax())
-        if d2[k] > tolerance * tolerance:
-            m = a + 1 + k
-            keep[m] = True
-            spans += [s for s in ((a, m), (m, b)) if s[1] - s[0] > 1]
-    return np.flatnonzero(keep)
+    out = np.zeros(len(xy))
+    first, last = cuts[:-1][np.diff(cuts) > 0], cuts[1:][np.diff(cuts) > 0] - 1
+    out[first] = out[last] = np.inf
+    a, b, above = first, last, np.full(len(first), np.inf)
+    while True:
+        open_ = b - a > 1
+        a, b, above = a[open_], b[open_], above[open_]
+        if not len(a):
+            return out
+        n = b - a - 1
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        span = np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(span)) - starts[span] + a[span] + 1
+        cx, cy = (xy[b] - xy[a]).T
+        length2 = cx * cx + cy * cy
+        ox, oy = (xy[at] - xy[a][span]).T
+        t = np.clip(np.divide(ox * cx[span] + oy * cy[span], length2[span], out=np.zeros(len(span)), where=length2[span] > 0), 0, 1)
+        gx, gy = ox - t * cx[span], oy - t * cy[span]
+        d2 = gx * gx + gy * gy
+        most = np.maximum.reduceat(d2, starts)
+        hits = np.flatnonzero(d2 == most[span])
+        m = at[hits[np.searchsorted(span[hits], np.arange(len(a)))]]
+        kept = most > least * least
+        a, b, m, above = a[kept], b[kept], m[kept], np.minimum(above, most)[kept]
+        out[m] = above
+        a, b, above = np.concatenate([a, m]), np.concatenate([m, b]), np.concatenate([above, above])
+
+
+def simplify(xy: np.ndarray, tolerance: float) -> np.ndarray:
+    """Indices that Douglas-Peucker keeps of an (n, 2) line: both ends, and what lies farther than ``tolerance`` from the chord of its span."""
+    return np.flatnonzero(importance(np.asarray(xy, dtype=np.float64), np.array([0, len(xy)]), tolerance) > tolerance * tolerance)
 
 
 def parts(coords: np.ndarray) -> list[np.ndarray]:
@@ -64,6 +81,27 @@ def simplified(coords: Column, tolerance: float) -> Column:
     return run(coords)
 
 
+def simplified_at(coords: Column, tolerances: tuple[float, ...]) -> Column:
+    """``coords`` simplified within each part, at each tolerance: an array of lines."""
+
+    @F.pandas_udf(f"array<{COORDS}>")
+    def run(lines: pd.Series) -> pd.Series:
+        pieces = [None if c is None else parts(c) for c in lines]
+        every = [p for line in pieces for p in line or []]
+        cuts = np.concatenate([[0], np.cumsum([len(p) for p in every])]).astype(np.int64)
+        weight = importance(np.concatenate(every) if every else np.zeros((0, 2)), cuts, min(tolerances))
+        out, k = [], 0
+        for line in pieces:
+            if line is None:
+                out.append(None)
+                continue
+            own = range(k, k := k + len(line))
+            out.append([joined([p[weight[cuts[i] : cuts[i + 1]] > t * t] for i, p in zip(own, line, strict=True)]) for t in tolerances])
+        return pd.Series(out, index=lines.index, dtype=object)
+
+    return run(coords)
+
+
 def polylines(points: DataFrame) -> DataFrame:
     """(segment_id, coords): the clean points of each segment in order, as 64-bit interleaved lon, lat; at least two of them."""
     line = F.sort_array(F.collect_list(F.struct("seq", "lon", "lat")))
@@ -74,8 +112,7 @@ def polylines(points: DataFrame) -> DataFrame:
 def detail_levels(points: DataFrame) -> DataFrame:
     """(segment_id, detail, point_count, coords): the clean line of every segment at each detail level."""
     lines = polylines(points)
-    levels = [simplified(F.col("coords"), t) for t in DETAIL_TOLERANCES]
-    return lines.select("segment_id", F.posexplode(F.array(*levels)).alias("detail", "coords")).select("segment_id", "detail", (F.size("coords") / 2).cast("long").alias("point_count"), "coords")
+    return lines.select("segment_id", F.posexplode(simplified_at(F.col("coords"), DETAIL_TOLERANCES)).alias("detail", "coords")).select("segment_id", "detail", (F.size("coords") / 2).cast("long").alias("point_count"), "coords")
 
 
 def pairs(coords: Column) -> Column:

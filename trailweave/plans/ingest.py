@@ -118,29 +118,23 @@ def import_files(store: Store, files: DataFrame, settings: Settings | None = Non
     known_files, known_categories = instead["files"][0] if "files" in instead else store.read("files"), store.read("categories")
     total = files.count()
     docs = cut(gpx.parsed(gpx.unseen(files, known_files)))
-    next_id = lambda t: store.highest(t) + 1
-    good, bad = docs.where("error IS NULL"), docs.where("error IS NOT NULL")
-    file_ids = cut(gpx.numbered(docs, ["path"], "file_id", next_id("files")))
-    tracks = gpx.tracks(good).join(file_ids, "path")
-    track_ids = cut(gpx.numbered(tracks, ["path", "track_no"], "track_id", next_id("tracks")))
-    rows = gpx.points(good)
-    segment_ids = cut(gpx.numbered(rows, ["path", "track_no", "segment_no"], "segment_id", next_id("segments")))
-    rows = rows.join(segment_ids, ["path", "track_no", "segment_no"]).join(track_ids, ["path", "track_no"]).join(file_ids, "path")
+    docs = cut(gpx.with_ids(docs, {t: n + 1 for t, n in store.highest("files", "tracks", "segments", "visits").items()}))
+    good = docs.where("error IS NULL")
+    tracks = gpx.tracks(good).withColumn("id", F.col("track_base") + F.col("track_no"))
+    rows = gpx.points(good).withColumns({"segment_id": F.col("segment_base") + F.col("segment_at"), "track_id": F.col("track_base") + F.col("track_no")})
     rows = cut(rows.select("segment_id", "track_id", "file_id", "type", "seq", "ts_ms", "lat", "lon", "ele"))
     flagged = cut(cleaning.clean(rows.where("seq IS NOT NULL"), settings.ceilings, settings.default_ceiling))
     every = flagged.unionByName(rows.where("seq IS NULL").withColumn("flag", F.lit(None).cast("int")))
-    rolled = cleaning.segment_rollup(every).join(rows.select("segment_id", "track_id", "file_id", "type").distinct(), "segment_id")
-    segments = cut(rolled.withColumnRenamed("segment_id", "id"))
+    of = F.struct("segment_id", "track_id", "file_id", "type")
+    segments = cut(cleaning.segment_rollup(every.withColumn("of", of), "of").select("of.*", "*").drop("of").withColumnRenamed("segment_id", "id"))
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c)
     points = flagged.select("segment_id", "seq", "ts_ms", finite("lat"), finite("lon"), "ele", "flag")
-    visits = gpx.visits(good)
-    visit_ids = gpx.numbered(visits, ["path", "visit_no"], "id", next_id("visits"))
-    visits = cut(visits.join(visit_ids, ["path", "visit_no"]).join(file_ids, "path").select("id", "file_id", "name", "ts_ms", "lat", "lon", F.lit(None).cast("long").alias("place_id")))
+    visits = cut(gpx.visits(good).select((F.col("visit_base") + F.col("visit_no")).alias("id"), "file_id", "name", "ts_ms", "lat", "lon", F.lit(None).cast("long").alias("place_id")))
     counts = segments.groupBy("file_id").agg(F.countDistinct("track_id").alias("with_segments"), F.count(F.lit(1)).alias("segment_count"), F.sum("point_count").alias("point_count"), F.min("start_ts_ms").alias("start_ts_ms"))
     n_tracks = tracks.groupBy("file_id").agg(F.count(F.lit(1)).alias("track_count"))
     n_visits = visits.groupBy("file_id").agg(F.count(F.lit(1)).alias("visit_count"))
     status = F.when(F.col("error").isNull(), "imported").otherwise("failed")
-    listed = docs.join(file_ids, "path").join(counts, "file_id", "left").join(n_tracks, "file_id", "left").join(n_visits, "file_id", "left").withColumn("status", status)
+    listed = docs.join(counts, "file_id", "left").join(n_tracks, "file_id", "left").join(n_visits, "file_id", "left").withColumn("status", status)
     listed = gpx.weeks(listed).fillna(0, ["track_count", "segment_count", "point_count", "visit_count"])
     listed = listed.select(F.col("file_id").alias("id"), "path", "file_hash", "size", "status", "error", "iso_year", "iso_week", "track_count", "segment_count", "point_count", "visit_count")
     kept_files = known_files.join(docs.select("file_hash"), "file_hash", "left_anti").select(*known_files.columns)
@@ -150,10 +144,10 @@ def import_files(store: Store, files: DataFrame, settings: Settings | None = Non
         whole["places"] = instead["places"][0]
     levels = cut(detail_levels(points))  # the clustering samples it before it is written
     new = {
-        "tracks": tracks.join(track_ids, ["path", "track_no"]).select(F.col("track_id").alias("id"), "file_id", F.col("track_name").alias("name"), "type"),
+        "tracks": tracks.select("id", "file_id", F.col("track_name").alias("name"), "type"),
         "segments": segments, "points": points, "levels": levels, "visits": visits,
     }
     store.commit(add=new, instead={t: v for t, v in instead.items() if t not in whole}, **whole)
     s = segments.agg(F.count(F.lit(1)), F.coalesce(F.sum("point_count"), F.lit(0)), F.coalesce(F.sum(F.col("point_count") - F.col("clean_point_count")), F.lit(0))).first()
     n = docs.agg(F.count(F.lit(1)), F.count("error")).first()
-    return Imported(n[0] - n[1], total - n[0], n[1], track_ids.count(), s[0], s[1], visits.count(), s[2])
+    return Imported(n[0] - n[1], total - n[0], n[1], tracks.count(), s[0], s[1], visits.count(), s[2])

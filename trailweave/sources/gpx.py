@@ -54,16 +54,35 @@ def parsed(files: DataFrame) -> DataFrame:
     return out.withColumn("error", error)
 
 
+def _kind(track: Column) -> Column:
+    return F.coalesce(F.lower(blank_to_null(track["type"])), F.lit("unknown"))
+
+
+def _segments_of(doc: Column) -> Column:
+    """All segments of a document, one after the other, with the number, name and type of their track and their number in it."""
+    empty = F.array().cast(T.ArrayType(_segment))
+    of = lambda t, i: F.transform(F.coalesce(t["trkseg"], empty), lambda s, j: F.struct(i.alias("track_no"), blank_to_null(t["name"]).alias("track_name"), _kind(t).alias("type"), j.alias("segment_no"), s["trkpt"].alias("points")))
+    return F.flatten(F.transform(doc["trk"], of))
+
+
+def _visits_of(doc: Column) -> Column:
+    """The visits of a document that have a position."""
+    each = F.transform(doc["wpt"], lambda w: F.struct(number(w["_lat"]).alias("lat"), number(w["_lon"]).alias("lon"), millis(w["time"]).alias("ts_ms"), blank_to_null(w["name"]).alias("name")))
+    return F.filter(each, lambda v: finite(v["lat"]) & finite(v["lon"]))
+
+
 def points(docs: DataFrame) -> DataFrame:
-    """(path, file_hash, track_no, track_name, type, segment_no, seq, lat, lon, ele, ts_ms); a segment without points is a row of nulls."""
-    tracks = docs.where("error IS NULL").select("path", "file_hash", F.posexplode("doc.trk").alias("track_no", "trk"))
-    kind = F.coalesce(F.lower(blank_to_null(F.col("trk.type"))), F.lit("unknown"))
-    segments = tracks.select("path", "file_hash", "track_no", blank_to_null(F.col("trk.name")).alias("track_name"), kind.alias("type"), F.posexplode("trk.trkseg").alias("segment_no", "seg"))
-    each = segments.select("path", "file_hash", "track_no", "track_name", "type", "segment_no", F.posexplode_outer("seg.trkpt").alias("seq", "p"))
+    """(path, file_hash, track_no, track_name, type, segment_no, segment_at, seq, lat, lon, ele, ts_ms); a segment without points is a row of nulls.
+
+    ``segment_at`` numbers a document's segments from 0; columns of ids that ``with_ids`` gave are kept.
+    """
+    own = [c for c in ("file_id", "track_base", "segment_base") if c in docs.columns]
+    segments = docs.where("error IS NULL").select("path", "file_hash", *own, F.posexplode(_segments_of(F.col("doc"))).alias("segment_at", "s"))
+    each = segments.select("path", "file_hash", *own, "segment_at", "s.track_no", "s.track_name", "s.type", "s.segment_no", F.posexplode_outer("s.points").alias("seq", "p"))
     has = F.col("p").isNotNull()
     ele = number(F.col("p.ele"))
     return each.select(
-        "path", "file_hash", "track_no", "track_name", "type", "segment_no", F.col("seq").cast("long").alias("seq"),
+        "path", "file_hash", *own, "track_no", "track_name", "type", "segment_no", "segment_at", F.col("seq").cast("long").alias("seq"),
         F.when(has, number(F.col("p._lat"))).alias("lat"), F.when(has, number(F.col("p._lon"))).alias("lon"),
         F.when(finite(ele), ele).alias("ele"), millis(F.col("p.time")).alias("ts_ms"),
     )
@@ -71,15 +90,28 @@ def points(docs: DataFrame) -> DataFrame:
 
 def tracks(docs: DataFrame) -> DataFrame:
     """(path, file_hash, track_no, track_name, type) of every track, those without segments, too."""
-    each = docs.where("error IS NULL").select("path", "file_hash", F.posexplode("doc.trk").alias("track_no", "trk"))
-    return each.select("path", "file_hash", "track_no", blank_to_null(F.col("trk.name")).alias("track_name"), F.coalesce(F.lower(blank_to_null(F.col("trk.type"))), F.lit("unknown")).alias("type"))
+    own = [c for c in ("file_id", "track_base") if c in docs.columns]
+    each = docs.where("error IS NULL").select("path", "file_hash", *own, F.posexplode("doc.trk").alias("track_no", "trk"))
+    return each.select("path", "file_hash", *own, "track_no", blank_to_null(F.col("trk.name")).alias("track_name"), _kind(F.col("trk")).alias("type"))
 
 
 def visits(docs: DataFrame) -> DataFrame:
     """(path, file_hash, visit_no, lat, lon, ts_ms, name); visits without a position are dropped."""
-    each = docs.where("error IS NULL").select("path", "file_hash", F.posexplode("doc.wpt").alias("visit_no", "w"))
-    out = each.select("path", "file_hash", "visit_no", number(F.col("w._lat")).alias("lat"), number(F.col("w._lon")).alias("lon"), millis(F.col("w.time")).alias("ts_ms"), blank_to_null(F.col("w.name")).alias("name"))
-    return out.where(finite(F.col("lat")) & finite(F.col("lon")))
+    own = [c for c in ("file_id", "visit_base") if c in docs.columns]
+    return docs.where("error IS NULL").select("path", "file_hash", *own, F.posexplode(_visits_of(F.col("doc"))).alias("visit_no", "v")).select("path", "file_hash", *own, "visit_no", "v.*")
+
+
+def with_ids(docs: DataFrame, first: dict[str, int]) -> DataFrame:
+    """``docs`` with file_id, and the ids from which each one's tracks, segments and visits count (track_base, segment_base, visit_base).
+
+    Ids go on from ``first`` (by files, tracks, segments, visits) in the order of paths. What is numbered is one row of counts for each file.
+    """
+    size = lambda c: F.when(F.col("error").isNull(), F.coalesce(F.size(c), F.lit(0))).otherwise(0).cast("long")
+    counts = docs.select("path", size(F.coalesce("doc.trk", F.array())).alias("tracks"), size(F.coalesce(_segments_of(F.col("doc")), F.array())).alias("segments"), size(F.coalesce(_visits_of(F.col("doc")), F.array())).alias("visits"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda c: (F.coalesce(F.sum(c).over(before), F.lit(0)) + first[c]).cast("long")
+    ids = counts.select("path", (F.count(F.lit(1)).over(before) + first["files"]).cast("long").alias("file_id"), base("tracks").alias("track_base"), base("segments").alias("segment_base"), base("visits").alias("visit_base"))
+    return docs.join(ids, "path")
 
 
 def unseen(files: DataFrame, imported: DataFrame) -> DataFrame:
@@ -99,15 +131,3 @@ def weeks(files: DataFrame, start: str = "start_ts_ms") -> DataFrame:
     """``files`` with iso_year and iso_week: from the name, or else from the first time."""
     (ny, nw), (ty, tw) = iso_week_of_name(F.col("name")), iso_week(F.col(start))
     return files.withColumns({"iso_year": F.coalesce(ny, F.when(nw.isNull(), ty)), "iso_week": F.coalesce(nw, tw)})
-
-
-def numbered(rows: DataFrame, keys: list[str], name: str, first: int) -> DataFrame:
-    """(keys, name): ids from ``first`` in the order of the keys.
-
-    Numbers come from counts of ranges of the first key, so that no task sorts all rows.
-    """
-    distinct = rows.select(*keys).distinct()
-    per = distinct.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n"))
-    base = per.select(F.col(keys[0]).alias("of"), (F.coalesce(F.sum("n").over(Window.orderBy(keys[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + first).alias("base"))
-    within = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys)) - 1
-    return distinct.withColumn("r", within).join(base, F.col(keys[0]) == F.col("of")).select(*keys, (F.col("base") + F.col("r")).cast("long").alias(name))

@@ -9,10 +9,13 @@ what was there. One writer at a time; ``compact`` makes many small additions one
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, fields
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import hilbert
@@ -48,10 +51,12 @@ CLUSTERED: dict[str, Callable[[], list[Column]]] = {
 }
 #: Columns whose zones the log keeps for each file; other tables are kept by folder.
 ZONES = {
-    "segments": ["id", "track_id", "min_lat", "min_lon", "max_lat", "max_lon", "start_ts_ms", "end_ts_ms"], "visits": ["id", "ts_ms", "lat", "lon"], "tracks": ["id"],
+    "segments": ["id", "track_id", "min_lat", "min_lon", "max_lat", "max_lon", "start_ts_ms", "end_ts_ms"], "visits": ["id", "ts_ms", "lat", "lon"], "tracks": ["id"], "files": ["id"], "performance": ["id"],
     "points": ["segment_id", "ts_ms"], "levels": ["segment_id", "detail"], "matched": ["segment_id", "detail"], "overlay": ["segment_id"],
 }
 LOG = "version long, name string, schema_version int, adds boolean, path string, gone boolean, rows long, zones map<string,struct<lo:double,hi:double,nulls:boolean>>"
+#: Tables that a commit writes at a time.
+WRITERS = 4
 #: Ids of which a change tells the files apart: blocks of so many.
 BLOCK = 4096
 
@@ -135,14 +140,17 @@ class Store:
                 rows = steps[name](rows).select(*rows.columns)
         return rows
 
-    def highest(self, name: str, column: str = "id") -> int:
-        """The greatest value of a whole-number column, 0 in an empty table: from the zones, or else from the rows."""
-        files = self.files(name)
-        if column in ZONES.get(name, ()) and not files.where("zones IS NULL").limit(1).count():
-            top = files.agg(F.max(F.col("zones")[column]["hi"])).first()[0]
-        else:
-            top = self.read(name).agg(F.max(column)).first()[0]
-        return int(top or 0)
+    def highest(self, *names: str) -> dict[str, int]:
+        """The greatest ``id`` of each table, 0 in an empty one: from the zones, or else from the rows."""
+        since = self._since()
+        if since is None:
+            return dict.fromkeys(names, 0)
+        own = since.where(F.col("name").isin(*names))
+        gone = own.where("gone").select("name", "path")
+        unzoned = F.col("path").isNull() & (F.col("schema_version") < 2) | F.col("path").isNotNull() & F.col("zones").isNull()
+        alive = own.where(~F.coalesce("gone", F.lit(False))).join(gone, ["name", "path"], "left_anti")
+        found = {r["name"]: r for r in alive.groupBy("name").agg(F.max(F.col("zones")["id"]["hi"]).alias("top"), F.max(unzoned).alias("scan")).collect()}
+        return {n: int((self.read(n).agg(F.max("id")).first()[0] if n in found and found[n]["scan"] else found[n]["top"] if n in found else 0) or 0) for n in names}
 
     def holding(self, name: str, column: str, ids: DataFrame) -> tuple[DataFrame, list[str]]:
         """(rows, paths) of the files that may hold one of ``ids`` (id) in ``column``, told apart by blocks of ids."""
@@ -167,8 +175,8 @@ class Store:
         if both := (add.keys() | instead.keys()) & tables.keys():
             raise ValueError(f"both replaced and added to: {sorted(both)}")
         version = max((v for parts in self.versions().values() for v in parts), default=0) + 1
-        log = None
-        for name in (*tables, *dict.fromkeys((*add, *instead))):
+
+        def written(name: str) -> DataFrame:
             brought = [d for d in (tables.get(name), add.get(name), instead[name][0] if name in instead else None) if d is not None]
             kinds = self.spark.createDataFrame([], TABLES[name]).dtypes
             rows = None
@@ -183,9 +191,12 @@ class Store:
             if name not in ZONES:
                 mine.append((version, name, SCHEMA_VERSION, name not in tables, f"v{version}/{name}", False, None, None))
             mine = self.spark.createDataFrame(mine, LOG)
-            if name in ZONES:
-                mine = mine.unionByName(self._zones(version, name, name not in tables))
-            log = mine if log is None else log.unionByName(mine)
+            return mine.unionByName(self._zones(version, name, name not in tables)) if name in ZONES else mine
+
+        names = list(dict.fromkeys((*tables, *add, *instead)))
+        with ThreadPoolExecutor(WRITERS) as pool:  # tables are written side by side, as small ones don't fill a cluster
+            parts = list(pool.map(inheritable_thread_target(self.spark)(written), names))
+        log = functools.reduce(DataFrame.unionByName, parts) if parts else None
         if log is not None:
             log.coalesce(1).write.mode("append").parquet(f"{self.root}/log")
         return version
@@ -214,7 +225,7 @@ class Store:
         return self.commit(**{n: self.read(n) for n in many}) if many else None
 
     def log_performance(self, name: str, ms: float, detail: str, at_ms: int) -> int:
-        next_id = self.highest("performance") + 1
+        next_id = self.highest("performance")["performance"] + 1
         return self.append("performance", self.spark.createDataFrame([(next_id, name, float(ms), detail, at_ms)], TABLES["performance"]))
 
     def recent_performance(self, limit: int = 50) -> DataFrame:
