@@ -160,8 +160,18 @@ def of_visible_types(rows: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(categories.where("visible").select(F.col("name").alias("type")).distinct()), "type", "left_semi")
 
 
+def place_count(visits: DataFrame, places: DataFrame) -> DataFrame:
+    """One row, ``places``: merged places, names of other visits, and other visits without a name."""
+    loose, named = F.col("place_id").isNull(), F.coalesce(F.col("name") != "", F.lit(False))
+    of = visits.agg(F.count_distinct(F.when(loose & named, F.col("name"))).alias("named"), F.count_if(loose & ~named).alias("unnamed"))
+    return of.join(places.agg(F.count(F.lit(1)).alias("merged")), how="cross").select((F.col("merged") + F.col("named") + F.col("unnamed")).alias("places"))  # one row each
+
+
 def dataset_stats(files: DataFrame, tracks: DataFrame, segments: DataFrame, visits: DataFrame, places: DataFrame) -> dict[str, DataFrame]:
-    """All that describes a dataset: one row of totals, visits by year, and the places with the most visits."""
-    from .places import distinct_places, top_places, year_counts
+    """All that describes a dataset: rows of totals and of places, segments and visits by year, and the places with the most visits."""
+    from .places import top_places, year_counts
 
-    return {"summary": summary(files, tracks, segments, visits), "places": distinct_places(visits), "years": year_counts(visits), "top_places": top_places(visits, places)}
+    return {
+        "summary": summary(files, tracks, segments, visits), "places": place_count(visits, places), "segment_years": year_counts(segments.withColumn("ts_ms", F.col("start_ts_ms"))),
+        "visit_years": year_counts(visits), "top_places": top_places(visits, places),
+    }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scalars import IGNORED_TYPES, category_color
 from ..operators import clean as cleaning
 from ..operators.geometry import detail_levels
+from ..operators.joins import spans_meeting
 from ..operators.places import pruned
 from ..session import cut
 from ..sources import gpx
@@ -108,6 +109,15 @@ def spans(files: DataFrame) -> list[tuple[int, int]]:
     return merged_windows([tuple(r) for r in rows.select("start_ms", "end_ms").distinct().collect()])
 
 
+def overlaps(files: DataFrame, segments: DataFrame, visits: DataFrame) -> DataFrame:
+    """(path, overlap_start_ms, overlap_end_ms, segments, visits): of each file (path, start_ms, end_ms) that meets what is there, the tightest span of the
+    segments that start and the visits that are within it, and their numbers: what an overwrite would replace. Files that meet nothing are left out.
+    """
+    met = lambda rows, at, kind: spans_meeting(files.where("start_ms IS NOT NULL"), rows.select(F.col(at).alias("at")), "at").select("path", "at", F.lit(kind).alias("kind"))
+    both = met(segments.where("start_ts_ms IS NOT NULL"), "start_ts_ms", "segment").unionByName(met(visits.where("ts_ms IS NOT NULL"), "ts_ms", "visit"))
+    return both.groupBy("path").agg(F.min("at").alias("overlap_start_ms"), F.max("at").alias("overlap_end_ms"), F.count_if(F.col("kind") == "segment").alias("segments"), F.count_if(F.col("kind") == "visit").alias("visits"))
+
+
 def import_files(store: Store, files: DataFrame, settings: Settings | None = None, overwrite: list[tuple[int, int]] | None = None) -> Imported:
     """Import ``files`` (columns of gpx.read) into ``store``. Content that was imported is skipped; what fails is recorded, alone.
 
