@@ -158,6 +158,36 @@ def test_the_consensus_decides_where_a_page_alone_would_not(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_whole_articles():
+    from trailweave.llm.html import extract
+
+    words = lambda n, k=0: " ".join(f"word{k + i}" for i in range(n)) + "."
+    # a title beside the winning container
+    assert extract(f"<body><div><h1>Title</h1><div class='post-content'><p>{words(80)}</p></div></div></body>", None) == f"Title\n{words(80)}"
+    assert extract(f"<body><header><h1>Site</h1></header><div class='post-content'><p>{words(80)}</p></div></body>", None) == words(80)
+    assert extract(f"<body><h1>Site</h1><div class='post-content'><h1>Own</h1><p>{words(80)}</p></div></body>", None) == f"Own\n{words(80)}"
+    # an article in two containers
+    assert extract(f"<body><div class='x'><div class='first'><p>{words(80)}</p></div><div class='rest'><p>{words(20, 100)}</p></div></div></body>", None) == f"{words(80)}\n{words(20, 100)}"
+    # names with other meanings inside an article
+    start = f"<p>{words(120)}</p>"
+    for name in ("related-work", "discussion", "share-price", "side-effects", "legal", "copyright-law"):
+        part = f"<section class='{name}'><h2>Part</h2><p>{words(20, 200)}</p></section>"
+        assert extract(f"<body><article>{start}{part}</article></body>", None) == f"{words(120)}\nPart\n{words(20, 200)}", name
+    assert extract(f"<body><article>{start}<div class='header'><h2>Methods</h2></div><p>{words(20)}</p></article></body>", None) == f"{words(120)}\nMethods\n{words(20)}"
+    # but menus, adverts, comments and boxes of links go
+    for box in (
+        "<div class='related-posts'><h3>Related posts</h3><a href=x>One more story that you may like to read.</a></div>", "<div class='share-buttons'>Share Tweet</div>", "<div class='ad'>Shoes at half their price, today and only here in our shop.</div>",
+        "<div class='newsletter-signup'>Sign up for our letter and never miss a story again.</div>", "<div class='comments-area'><p>I don't agree with the writer at all, as I said before.</p></div>", "<div id='respond'>Leave a reply to what has been said above, if you like.</div>",
+    ):
+        assert extract(f"<body><article>{start}{box}</article></body>", None) == words(120), box
+
+
+def test_empty_pages_table(spark):
+    from trailweave.llm.html import main_text
+
+    assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 def test_deep_pages_take_linear_time():
     import time
 

@@ -6,7 +6,8 @@ pages of a host; the path with the most wins, and every page of the host is cut
 page without that path takes its own best. Scores are summed before the shuffle by host and path; pages never meet in one task.
 
 What is boilerplate by its element is dropped. What is so only by words in its class or id is dropped unless it holds most of the page's
-prose: then the words name the layout around the main text.
+prose: then the words name the layout around the main text. Inside an article, names that only contain such a word, or have another
+meaning, too (related-work, discussion), say nothing where there are sentences. A title that stands beside the winning container is the text's first block.
 """
 
 from __future__ import annotations
@@ -38,6 +39,12 @@ BOILERPLATE = re.compile(
     re.ASCII | re.IGNORECASE,
 )
 COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|respond|replies|disqus|discussion)(?:$|[_-])", re.ASCII | re.IGNORECASE)
+#: Of these, words that name parts of articles as well.
+AMBIGUOUS = frozenset("header side aside discussion notice notices legal alert copyright disclaimer tags foot skip".split())
+#: Characters of a block that reads as a sentence.
+SENTENCE = 40
+#: What a container passes on of its score to the one around it: the parts of a text in several containers make up for what is lost from about a sixth on.
+PASSED = 0.85
 #: Names that say how a page is laid out, not what an element holds.
 LAYOUT = re.compile(r"^(?:has|no|with|without|is|hide|show|hides|shows|enable|disable|supports?|js|page|layout|body|site)[_-]|by-side|[_-](?:open|opened|closed|enabled|disabled|fixed|sticky|on|off|visible|layout|active|page)$", re.ASCII | re.IGNORECASE)
 #: An element that holds more than this share of a page's prose isn't boilerplate by its name.
@@ -51,17 +58,25 @@ _WALLS = frozenset("article section div main body table ul ol dl blockquote td t
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
-def _step(tag: str, rest: str) -> tuple[str, bool, bool, bool]:
-    """A container's part of a path: its tag and classes without digits; if it is boilerplate as an element, if by name, and if it names comments."""
+def _weak(name: str) -> bool:
+    """If a name that holds a word of boilerplate has another meaning as well: it is ambiguous, or a compound with other words."""
+    parts = [x for x in re.split(r"[_-]+", name.lower()) if x]
+    if len(parts) == 1:
+        return parts[0] in AMBIGUOUS
+    return not all(BOILERPLATE.fullmatch(x) for x in parts) and not COMMENTS.fullmatch(parts[0])
+
+
+def _step(tag: str, rest: str) -> tuple[str, bool, list[str]]:
+    """A container's part of a path: its tag and classes without digits; if it is boilerplate as an element; the names that say it is."""
     if not rest.strip(" /"):
-        return tag, tag in DROPPED, False, False
+        return tag, tag in DROPPED, []
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)}
     names = re.sub(r"([a-z])([A-Z])", r"\1-\2", found.get("class", "") + " " + found.get("id", "")).split()
     told = [x for x in names if BOILERPLATE.search(x) and not LAYOUT.search(x)] if tag not in ("html", "body", "article", "main") else []
     hard = tag in DROPPED or found.get("role", "").lower() in _ROLES
     hard = hard or bool(re.search(r"(?:^|[\s\"'])hidden(?:$|[\s=/])", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "=", rest))) or "display:none" in found.get("style", "").replace(" ", "").lower()
     classes = ".".join(sorted({re.sub(r"\d+", "", x) for x in found.get("class", "").split()} - {""}))
-    return (f"{tag}.{classes}" if classes else tag), hard, bool(told), any(COMMENTS.search(x) for x in told)
+    return (f"{tag}.{classes}" if classes else tag), hard, told
 
 
 class Page:
@@ -71,9 +86,10 @@ class Page:
         #: Of each node its parent, step and depth; node 0 is the page.
         self.parent, self.step, self.depth = [0], [""], [0]
         #: (node, text, prose: characters less those in links twice, named: the innermost element that is
-        #: boilerplate by name, or -1, is it in boilerplate by element?)
-        self.blocks: list[tuple[int, str, int, int, bool]] = []
-        #: Of each element that is boilerplate by name: the one around it, if it names comments, and if it holds a title or the like.
+        #: boilerplate by name, or -1, is it in boilerplate by element?, is it a title?)
+        self.blocks: list[tuple[int, str, int, int, bool, bool]] = []
+        #: Of each element that is boilerplate by name: the one around it, if it names comments, if it holds a title or the like, if it stands in an article
+        #: under names of other meanings, too, and if it is a header that holds a heading.
         self.named: list[list] = []
         self._read(page)
         self.kept = self._kept()
@@ -92,7 +108,7 @@ class Page:
                 text = " ".join(html.unescape("".join(pieces)).split())
                 if text:
                     top = stack[-1] if stack else ("", 0, False, -1)
-                    self.blocks.append((top[1], text, max(0, len(text) - 2 * linked), top[3], hard > 0))
+                    self.blocks.append((top[1], text, max(0, len(text) - 2 * linked), top[3], hard > 0, bool(counts.get("h1"))))
                 pieces.clear()
             linked = 0
 
@@ -159,7 +175,8 @@ class Page:
                             break
                         if stack[k][0] in _WALLS:
                             break
-            step, boiler, by_name, comments = _step(tag, rest)
+            step, boiler, told = _step(tag, rest)
+            by_name = bool(told)
             node, named = (stack[-1][1], stack[-1][3]) if stack else (0, -1)
             if tag in CONTAINERS or (boiler or by_name) and tag not in INLINE:
                 if (node, step) not in children:
@@ -170,8 +187,11 @@ class Page:
                 node = children[node, step]
             if tag in ("h1", "main") and named >= 0:
                 self.named[named][2] = True
+            if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and named >= 0:
+                self.named[named][4] |= self.named[named][5]
             if by_name and not boiler:
-                self.named.append([named, comments, False])
+                weak = bool(counts.get("article") or counts.get("main")) and all(map(_weak, told))
+                self.named.append([named, any(COMMENTS.search(x) for x in told), False, weak, False, any(x.lower() == "header" for x in told)])
                 named = len(self.named) - 1
             stack.append((tag, node, boiler, named))
             counts[tag] = counts.get(tag, 0) + 1
@@ -181,22 +201,27 @@ class Page:
 
     def _kept(self) -> list[bool]:
         """Which blocks aren't in boilerplate."""
-        prose = [0] * len(self.named)
+        prose, size, told = ([0] * len(self.named) for _ in range(3))
         total = 0
-        for _, _, size, named, hard in self.blocks:
-            total += size * (not hard)
+        for _, text, own, named, hard, _ in self.blocks:
+            total += own * (not hard)
             if named >= 0 and not hard:
-                prose[named] += size
+                prose[named] += own
+                size[named] += len(text)
+                told[named] |= own >= SENTENCE and text[-1] in ".!?:;\"')\u201d\u2026"
         for k in range(len(self.named) - 1, -1, -1):
-            outer, _, titled = self.named[k]
+            outer, titled = self.named[k][0], self.named[k][2]
             if outer >= 0:
                 prose[outer] += prose[k]
+                size[outer] += size[k]
+                told[outer] |= told[k]
                 self.named[outer][2] |= titled
         dropped = []
-        for k, (outer, comments, titled) in enumerate(self.named):
+        for k, (outer, comments, titled, weak, heads, _) in enumerate(self.named):
             main = prose[k] > MOST * total and (titled or not comments)
+            main = main or weak and 2 * prose[k] >= size[k] and bool(told[k] or heads)
             dropped.append(not main or outer >= 0 and dropped[outer])
-        return [not hard and (named < 0 or not dropped[named]) for _, _, _, named, hard in self.blocks]
+        return [not hard and (named < 0 or not dropped[named]) for _, _, _, named, hard, _ in self.blocks]
 
     def names(self) -> list[str]:
         """The name of each node: its steps from the page on; the start of a long one as a hash."""
@@ -214,24 +239,34 @@ class Page:
         Elements that name the main text count more; a page's own boilerplate doesn't count.
         """
         sums = [0.0] * len(self.parent)
-        for (node, _, prose, _, _), kept in zip(self.blocks, self.kept, strict=True):
+        for (node, _, prose, _, _, _), kept in zip(self.blocks, self.kept, strict=True):
             sums[node] += prose * kept
         for k in range(len(self.parent) - 1, 0, -1):
-            sums[self.parent[k]] += 0.75 * sums[k]
+            sums[self.parent[k]] += PASSED * sums[k]
         for k in range(1, len(self.parent)):
             tag, _, classes = self.step[k].partition(".")
             sums[k] *= 4.0 if tag in ("article", "main") else 2.0 if re.search(r"article|content|entry|post|story|body-?text|main", classes) else 0.5 if tag in ("html", "body") else 1.0
         return sums
 
     def below(self, node_name: str | None) -> str | None:
-        """The kept blocks below the container of that name, one a line; None if there are none."""
+        """The kept blocks below the container of that name, one a line, after titles before it in containers around it; None if there are none."""
         inside = [name == node_name for name in self.names()]
         if node_name is None or not any(inside):
             return None
+        around = set()
+        for k in (k for k, own in enumerate(inside) if own):
+            while k and (k := self.parent[k]) not in around:
+                around.add(k)
         for k in range(1, len(inside)):
             inside[k] = inside[k] or inside[self.parent[k]]
-        found = [text for (node, text, _, _, _), kept in zip(self.blocks, self.kept, strict=True) if kept and inside[node]]
-        return "\n".join(found) if found else None
+        titles, found, titled = [], [], False
+        for (node, text, _, _, _, title), kept in zip(self.blocks, self.kept, strict=True):
+            if kept and inside[node]:
+                found.append(text)
+                titled |= title
+            elif kept and title and node in around and not found:
+                titles.append(text)
+        return "\n".join(found if titled else titles + found) if found else None
 
 
 def extract(page: str | None, consensus: str | None) -> str:
