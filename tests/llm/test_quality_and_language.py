@@ -90,6 +90,18 @@ def test_a_model_in_parts_gives_the_same_scores(spark, docs, monkeypatch):
     assert np.allclose([r.log_ppl or 0 for r in one], [r.log_ppl or 0 for r in parts], atol=1e-4)
 
 
+def test_parts_of_a_skewed_model_hold_their_bound(spark):
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdfghijklmnopqrstuvwxyz"))
+    texts = ["".join(x + "e" for x in rng.choice(letters, 300)) for _ in range(60)]  # every other character is an e
+    model = quality.cut(quality.kneser_ney(quality.ngram_counts(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"))))
+    bound = model.count() // 8
+    parts = quality.n_parts(model, bound)
+    sizes = [quality.part_of(model, i, parts).count() for i in range(parts)]
+    assert parts > 1 and max(sizes) <= 2 * bound and sum(sizes) >= model.count()
+    assert quality.n_parts(model, 10**9) == 1 and quality.n_parts(model.limit(0), 5) == 1
+
+
 def test_verdicts_reject_junk_and_keep_prose(spark, docs):
     junk = docs.where("lang = 'en'").limit(3).select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.regexp_replace("text", r"(\w)( |$)", "$1 @~^ ").alias("text"), "lang")
     odd = spark.createDataFrame(ODD, DOC)

@@ -22,8 +22,12 @@ from .common import cut, mix64, text_slices
 #: Characters of the longest n-grams, the bits of a code point, and how many last ones the low half of an n-gram's code holds.
 ORDER, BITS, LOW = 4, 21, 3
 FOLDS = 2
-#: Model entries broadcast at once (16 bytes each); a larger model is scored in parts.
-BROADCAST_ENTRIES = 1 << 23
+#: Model entries broadcast at once (16 bytes each, twice as many at most); a larger model is scored in parts, of which there are at most so many.
+BROADCAST_ENTRIES, MOST_PARTS = 1 << 23, 1 << 12
+#: Bytes of text that are cut into n-grams at once.
+SLICE = 1 << 19
+#: What n-grams are dealt to parts by: the two characters before the last one, as a number modulo this prime.
+DEALT = 1_000_003
 #: A document is rejected if its log-perplexity (the mean negative log-probability of a word) lies further from its language's
 #: median than BAND_WIDTH times the distance from the median to the lower or upper quartile, both for a text of its number of
 #: words, and at least by BAND_LEAST.
@@ -52,6 +56,7 @@ def _folded() -> np.ndarray:
 
 
 _CHAR = (1 << BITS) - 1
+_PAIR = (1 << 2 * BITS) - 1
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +145,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for part in text_slices(batch, "text"):
+        for part in text_slices(batch, "text", SLICE):
             texts = part.column("text").fill_null("").to_pylist()
             hi, lo, offsets = _codes(texts)
             h = _hashed(hi, lo)
@@ -286,19 +291,19 @@ def _log_probability(hi: np.ndarray, lo: np.ndarray, model: list[SortedHashes])
     return out
 
 
-def measured(docs: DataFrame, models: dict, part: int = 0, parts: int = 1) -> DataFrame:
-    """``docs`` (text, lang, fold and more) without text and fold, with the base measures and ``log_p``, the log-probability of the text.
+def measured(docs: DataFrame, models: dict, part: int = 0, parts: int = 1, keep: bool = False) -> DataFrame:
+    """``docs`` (text, lang, fold and more) without fold, and without text unless ``keep``, with the base measures and ``log_p``, the log-probability of the text.
 
     ``log_p`` counts the characters after such as the part of the model holds, and is null without a model. Columns must not have the
     names of measures.
     """
-    rest = [c for c in docs.columns if c not in ("text", "fold")]
+    rest = [c for c in docs.columns if c != "fold" and (keep or c != "text")]
     shipped = docs.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shipped.value
         for batch in batches:
-            for some in text_slices(batch, "text"):
+            for some in text_slices(batch, "text", SLICE):
                 texts = some.column("text").to_pylist()
                 base = [base_measures(t) for t in texts]
                 hi, lo, offsets = _codes([t or "" for t in texts])
@@ -311,7 +316,7 @@ def measured(docs: DataFrame, models: dict, part: int = 0, parts: int = 1) -> Da
                     own = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in mine])
                     owner = np.repeat(mine, offsets[np.array(mine) + 1] - offsets[mine])
                     if parts > 1:
-                        here = ((lo[own] >> np.uint64(BITS)) & np.uint64(_CHAR)) % np.uint64(parts) == part
+                        here = ((lo[own] >> np.uint64(BITS)) & np.uint64(_PAIR)) % np.uint64(DEALT) % np.uint64(parts) == part
                         own, owner = own[here], owner[here]
                     total += np.bincount(owner, _log_probability(hi[own], lo[own], models[key]), len(texts))
                     known[mine] = True
@@ -324,24 +329,43 @@ def measured(docs: DataFrame, models: dict, part: int = 0, parts: int = 1) -> Da
     return docs.mapInArrow(score, schema)
 
 
+def _dealt(parts: int) -> Column:
+    """The parts that an entry of three characters or more is in: by the two characters before its last one, and as a context by its own last two."""
+    number = lambda c: (c.bitwiseAND(F.lit(_PAIR)) % DEALT % parts).cast("int")
+    return F.array_distinct(F.array(number(F.shiftright("lo", BITS)), number(F.col("lo"))))
+
+
+def part_of(model: DataFrame, part: int, parts: int) -> DataFrame:
+    """The entries with which the n-grams of a part are scored; those of one or two characters are in all parts."""
+    return model if parts == 1 else model.where((F.col("k") < 3) | F.array_contains(_dealt(parts), part))
+
+
+def n_parts(model: DataFrame, bound: int) -> int:
+    """The number of parts of which the largest, counted, holds at most twice ``bound`` entries; fewer pairs of characters than that can't be told apart."""
+    parts = max(1, -(-model.count() // bound))
+    while 1 < parts < MOST_PARTS:
+        small = model.where("k < 3").count()
+        largest = model.where("k >= 3").select(F.explode(_dealt(parts)).alias("part")).groupBy("part").count().agg(F.max("count")).first()[0] or 0
+        if small + largest <= 2 * bound:
+            break
+        parts *= 2
+    return min(parts, MOST_PARTS)
+
+
 def _model(docs: DataFrame) -> tuple[DataFrame, int]:
     """The model of all languages and folds, and in how many parts it is scored."""
     model = cut(kneser_ney(cut(ngram_counts(docs))))
-    return model, max(1, -(-model.count() // BROADCAST_ENTRIES))
+    return model, n_parts(model, BROADCAST_ENTRIES)
 
 
-def _scored(docs: DataFrame, model: DataFrame, parts: int) -> DataFrame:
-    """``docs`` (text, lang and more) without text, with the base measures and ``log_ppl``, the mean negative log-probability of a word."""
-    # The character that decides an entry's part: that before an n-gram's last, and the last of a context. Single characters are in all.
-    before = F.shiftright("lo", BITS).bitwiseAND(F.lit(_CHAR)) % parts
-    last = F.col("lo").bitwiseAND(F.lit(_CHAR)) % parts
-    some = lambda i: model.where((F.col("k") < 2) | (before == i) | (last == i)) if parts > 1 else model
+def _scored(docs: DataFrame, model: DataFrame, parts: int, keep: bool = False) -> DataFrame:
+    """``docs`` (text, lang and more), without text unless ``keep``, with the base measures and ``log_ppl``, the mean negative log-probability of a word."""
     key = [F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")] if parts > 1 else []
-    rows = measured(docs.select("*", _fold(), *key), _arrays(some(0)), 0, parts)
+    rows = measured(docs.select("*", _fold(), *key), _arrays(part_of(model, 0, parts)), 0, parts, keep)
     if parts > 1:
         # One sum of each text for each part but the first.
         texts = docs.select("text", "lang", _fold(), *key)
-        more = reduce(DataFrame.unionByName, (measured(texts, _arrays(some(i)), i, parts).select("lang", "text_key", F.lit(i).alias("part"), "log_p") for i in range(1, parts)))
+        more = reduce(DataFrame.unionByName, (measured(texts, _arrays(part_of(model, i, parts)), i, parts).select("lang", "text_key", F.lit(i).alias("part"), "log_p") for i in range(1, parts)))
         more = more.groupBy("lang", "text_key", "part").agg(F.first("log_p").alias("log_p")).groupBy("lang", "text_key").agg(F.sum("log_p").alias("more"))
         rows = rows.join(more.withColumnsRenamed({"lang": "_lang", "text_key": "_text_key"}), _same("lang", "text_key"), "left")
         rows = rows.withColumn("log_p", F.col("log_p") + F.coalesce("more", F.lit(0.0))).drop("_lang", "_text_key", "text_key", "more")
@@ -386,9 +410,9 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     Texts are scored a second time once the bands are known, which is cheaper than a shuffle of all texts by their verdicts.
     """
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    names = {c: c if c in ("text", "lang") else f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select("text", "lang")
     model, parts = _model(rows)
     bands = _bands(cut(_scored(rows, model, parts)))
-    whole = docs.select(docs["text"], docs["lang"], *(docs[c].alias(n) for c, n in names.items()))
-    return _judged(_scored(whole, model, parts), bands).where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
+    whole = docs.select(*(docs[c].alias(n) for c, n in names.items()))
+    return _judged(_scored(whole, model, parts, keep=True), bands).where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
