@@ -29,7 +29,7 @@ SPACE = "▁"
 #: What a character costs that no piece holds, below the least score of a piece.
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by a worker; then it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Longer words aren't remembered.
 REMEMBERED_WORD = 256
 #: Words of up to so many characters are searched many at once.
@@ -53,8 +53,9 @@ class Pieces:
     unknown_score: float = 0.0
     of_byte: dict[int, int] = field(default_factory=dict)
     prefixes: frozenset[str] = frozenset()
-    tables: list[tuple[np.ndarray, ...]] = field(default_factory=list)  # by length: sorted hashes of pieces, their ids and scores, sorted hashes of prefixes
+    tables: list[tuple[np.ndarray, ...]] = field(default_factory=list)  # by length: sorted hashes of prefixes, ids and scores of those that are pieces
     remembered: dict[str, tuple[float, bytes, float]] = field(default_factory=dict)
+    encoded: list[bytes] = field(default_factory=list)  # each piece's bytes, once they are asked for
 
     @classmethod
     def load(cls, model: bytes) -> Pieces:
@@ -146,9 +147,11 @@ class Pieces:
         """Remember all words of ``texts`` that aren't yet, those of up to LONG_WORD characters all at once."""
         if not self.chained:
             return
-        new = {w for t in texts if t for w in _WORD.findall(SPACE + t.replace(" ", SPACE))} - self.remembered.keys()
+        every = {w for t in texts if t for w in _WORD.findall(SPACE + t.replace(" ", SPACE))}
+        new = every - self.remembered.keys()
         if len(self.remembered) + len(new) > REMEMBERED:
             self.remembered.clear()
+            new = every
         short = [w for w in new if len(w) <= LONG_WORD]
         for start in range(0, len(short), 20_000):
             some = short[start : start + 20_000]
@@ -168,25 +171,24 @@ class Pieces:
         # Nodes of a word are its positions and its end: position p of word w is node p + w.
         at, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
         src, dst, ids, scores = [], [], [], []
-        for length, (keys, piece, score, prefixes) in enumerate(self.tables, 1):
+        for length, (keys, piece, score) in enumerate(self.tables, 1):
             inside = at + length <= stop[at]
             at, h = at[inside], _extend(h[inside], codes[at[inside] + length - 1])
             if not len(at):
                 break
-            k = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[k] == h if len(keys) else np.zeros(len(h), bool)
-            src.append(at[hit] + owner[at[hit]])
-            dst.append(src[-1] + length)
-            ids.append(piece[k[hit]] if len(keys) else np.zeros(0, np.int64))
-            scores.append(score[k[hit]] if len(keys) else np.zeros(0))
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            on = keys[k] == h
+            hit = on & (piece[k] >= 0)
             if length == 1:
                 miss = at[~hit]
                 src.append(miss + owner[miss])
                 dst.append(src[-1] + 1)
                 ids.append(-1 - codes[miss].astype(np.int64))
                 scores.append(np.full(len(miss), self.unknown_score))
-            k = np.minimum(np.searchsorted(prefixes, h), max(len(prefixes) - 1, 0))
-            on = prefixes[k] == h if len(prefixes) else np.zeros(len(h), bool)
+            src.append(at[hit] + owner[at[hit]])
+            dst.append(src[-1] + length)
+            ids.append(piece[k[hit]])
+            scores.append(score[k[hit]])
             at, h = at[on], h[on]
         src, dst, ids, scores = (np.concatenate(x) for x in (src, dst, ids, scores))
         node_owner = np.repeat(np.arange(len(words)), lengths + 1)
@@ -280,19 +282,9 @@ class Pieces:
     def decode(self, ids: bytes | list[int]) -> str:
         """The text of ids; the inverse of ``encode`` for texts without the mark that stands for a space."""
         ids = np.frombuffer(ids, dtype=np.int32).tolist() if isinstance(ids, bytes) else ids
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            if i in self.of_byte:
-                raw.append(self.of_byte[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.texts[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        if not self.encoded:
+            self.encoded[:] = [bytes([self.of_byte[i]]) if i in self.of_byte else t.encode("utf-8", "surrogatepass") for i, t in enumerate(self.texts)]
+        text = b"".join(map(self.encoded.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -308,13 +300,14 @@ def _hashes(texts: list[str], length: int) -> np.ndarray:
 
 
 def _tables(known: dict[str, tuple[int, float]], prefixes: frozenset[str], longest: int) -> list[tuple[np.ndarray, ...]]:
+    """By length: the sorted hashes of all prefixes of pieces, and of those that are pieces the id (else -1) and the score."""
     out = []
     for length in range(1, longest + 1):
-        some = [t for t in known if len(t) == length]
+        some = [t for t in prefixes if len(t) == length] or ["\0" * length]  # no piece at all
         keys = _hashes(some, length)
         order = np.argsort(keys)
-        ids, scores = (np.array([known[t][i] for t in some], dtype=kind)[order] for i, kind in ((0, np.int64), (1, np.float64)))
-        out.append((keys[order], ids, scores, np.sort(_hashes([t for t in prefixes if len(t) == length], length))))
+        ids, scores = (np.array([known.get(t, (-1, 0.0))[i] for t in some], dtype=kind)[order] for i, kind in ((0, np.int64), (1, np.float64)))
+        out.append((keys[order], ids, scores))
     return out
 
 
