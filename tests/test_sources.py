@@ -59,6 +59,11 @@ def test_import_is_idempotent_and_isolates_failures(spark, folder, tmp_path):
     assert over.files == 0 and store.read("segments").where("start_ts_ms IS NOT NULL").count() == 0
 
 
+def test_paths_that_are_not_there_are_skipped(spark, folder):
+    assert gpx.read(spark, [str(folder), str(folder) + "-no"]).count() == 3
+    assert gpx.read(spark, str(folder) + "-no").count() == 0 and gpx.read(spark, str(folder / "*.gpx")).count() == 1
+
+
 def test_files_stream_in_once(spark, folder, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     for _ in range(2):

@@ -110,6 +110,26 @@ def test_scalars(spark):
 OVERLAY = "segment_id long, seq double, kind string, lat double, lon double, ts_ms long"
 
 
+def test_hashes_are_over_utf16_units(spark):
+    names = ["", "abc", "é漢", "a𐐷b😀", None]
+
+    def plain(s):
+        h = 0
+        for k in range(0, len(raw := s.encode("utf-16-be")), 2):
+            h = (h * 31 + raw[k] * 256 + raw[k + 1] + 2**31) % 2**32 - 2**31
+        return h
+
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "s string").select(S.string_hash32(F.col("s"))).collect()]
+    assert got == [None if n is None else plain(n) for n in names]
+
+
+def test_a_long_segment_is_judged_by_chunks(spark):
+    rows = [(1, "walking", i, None if i % 5 == 0 else i * 10_000, 95.0 if 20 <= i < 47 else 10 + i * 1e-5 + (1.0 if i % 9 == 5 else 0), 20.0) for i in range(120)]
+    pts = spark.createDataFrame(rows, "segment_id long, type string, seq long, ts_ms long, lat double, lon double")
+    by = lambda n: {r.seq: r.flag for r in C.clean(pts, chunk=n).collect()}
+    assert by(10) == by(1000) == by(1) and set(by(10).values()) >= {0, 1, 4}
+
+
 def test_overlay_reads_and_bakes(spark):
     pts = spark.createDataFrame([(1, i, 10_000 * i, 0.0, i / 1000, 4 if i == 2 else 0) for i in range(5)], "segment_id long, seq long, ts_ms long, lat double, lon double, flag int")
     ov = spark.createDataFrame([(1, 1.0, "move", 0.5, 0.5, None), (1, 2.0, "move", 0.7, 0.7, None), (1, 3.0, "delete", None, None, None), (1, 0.25, "insert", 1.0, 1.0, None), (1, 0.5, "insert", 2.0, 2.0, None), (1, 4.0, "insert", 9.0, 9.0, None), (1, 9.0, "delete", None, None, None), (1, 8.0, "insert", 3.0, 3.0, None)], OVERLAY)

@@ -77,6 +77,28 @@ def boxes_meet(min_lat: float, min_lon: float, max_lat: float, max_lon: float) -
     return (F.col("max_lat") >= min_lat) & (F.col("min_lat") <= max_lat) & (F.col("max_lon") >= min_lon) & (F.col("min_lon") <= max_lon)
 
 
+BOUNDS = ("min_lat", "min_lon", "max_lat", "max_lon")
+
+
+def box_union(a: Column, b: Column) -> Column:
+    """The least box (struct of BOUNDS) that holds both; a box of nulls holds nothing."""
+    return F.struct(*((F.least if n.startswith("min") else F.greatest)(a[n], b[n]).alias(n) for n in BOUNDS))
+
+
+def box_within(inner: Column, outer: Column) -> Column:
+    """If one box lies within the other, edges included; false for a box of nulls."""
+    hit = (inner["min_lat"] >= outer["min_lat"]) & (inner["max_lat"] <= outer["max_lat"]) & (inner["min_lon"] >= outer["min_lon"]) & (inner["max_lon"] <= outer["max_lon"])
+    return F.coalesce(hit, F.lit(False))
+
+
+def box_padded(box: Column, margin: Column | float) -> Column:
+    """A box wider by ``margin`` degrees on each side, within the globe."""
+    m = margin if isinstance(margin, Column) else F.lit(float(margin))
+    low = lambda n, least: F.when(box[n].isNotNull(), F.greatest(F.lit(least), box[n] - m)).alias(n)
+    high = lambda n, most: F.when(box[n].isNotNull(), F.least(F.lit(most), box[n] + m)).alias(n)
+    return F.struct(low("min_lat", -90.0), low("min_lon", -180.0), high("max_lat", 90.0), high("max_lon", 180.0))
+
+
 def overlaps(start: Column, end: Column, since: int | None = None, until: int | None = None) -> Column:
     """If a span of time may overlap [since, until]; unknown times pass."""
     out = F.lit(True)
@@ -97,10 +119,12 @@ def speed_ceiling(type_: Column, overrides: Mapping[str, float] | None = None, d
 
 
 def string_hash32(s: Column) -> Column:
-    """31 * hash + UTF-16-like code, wrapped to 32 bits, over a string's characters."""
+    """31 * hash + code, wrapped to 32 bits, over a string's UTF-16 units: two for a character above U+FFFF."""
     wrap = lambda h: F.pmod(h + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
-    letters = F.filter(F.split(s, ""), lambda c: c != "")
-    return F.aggregate(letters, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + F.ascii(c)))
+    digits = F.hex(F.encode(s, "UTF-16BE"))
+    unit = lambda k: F.conv(F.substring(digits, k * 4 + 1, F.lit(4)), 16, 10).cast("long")
+    units = F.when(F.length(digits) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(digits) / 4).cast("int") - 1)), unit))
+    return F.aggregate(units, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + c))
 
 
 def category_color(name: Column) -> Column:

@@ -77,11 +77,18 @@ def clean(points: DataFrame, ceilings: Mapping[str, float] | None = None, defaul
     """
     rows = points.withColumn("ceiling", speed_ceiling(F.col("type"), ceilings, default))
     rows = rows.withColumn("valid", valid_position(F.col("lat"), F.col("lon")))
-    before = Window.partitionBy("segment_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    # The last valid point before a point is one of its chunk, or else the last one of the chunks before, so that no task holds a whole segment.
+    rows = rows.withColumn("chunk", F.floor(F.col("seq") / chunk))
+    of = rows.where("valid").groupBy("segment_id", "chunk").agg(F.max_by(F.struct("lat", "lon", "ts_ms"), "seq").alias("end"))
+    chunks = rows.select("segment_id", "chunk").distinct().join(of, ["segment_id", "chunk"], "left")
+    earlier = Window.partitionBy("segment_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = chunks.select(F.col("segment_id").alias("_segment"), F.col("chunk").alias("_chunk"), F.last("end", ignorenulls=True).over(earlier).alias("earlier")).where("earlier IS NOT NULL")
+    before = Window.partitionBy("segment_id", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     here = F.when(F.col("valid"), F.struct("lat", "lon", "ts_ms"))
     rows = rows.withColumn("q", F.last(here, ignorenulls=True).over(before))
+    rows = rows.join(ends, (F.col("segment_id") == F.col("_segment")) & (F.col("chunk") == F.col("_chunk")), "left").withColumn("q", F.coalesce("q", "earlier"))
     rows = rows.withColumn("flag", F.when(~F.col("valid"), INVALID).otherwise(_against()).cast("int"))
-    rows = cut(rows.drop("q"))
+    rows = cut(rows.drop("q", "earlier", "_segment", "_chunk", "chunk"))
     doubtful = rows.where(F.col("flag") > INVALID).select(F.col("segment_id").alias("of")).distinct()
     sure = rows.join(doubtful, F.col("segment_id") == F.col("of"), "left_anti").select(*points.columns, "flag")
     fold = rows.join(doubtful, F.col("segment_id") == F.col("of"), "left_semi").select("segment_id", "seq", "ts_ms", "lat", "lon", "ceiling", F.when(F.col("flag") == INVALID, INVALID).otherwise(0).alias("flag"), F.floor(F.col("seq") / chunk).alias("chunk"))

@@ -194,7 +194,7 @@ def recategorised(categories: DataFrame, name: str, visible: bool | None = None,
 def reprioritised(categories: DataFrame, order: list[str]) -> DataFrame:
     """``categories`` with priorities by ``order``; those not named have none."""
     rows = categories.sparkSession.createDataFrame(list(enumerate(order)), "p int, of string")
-    return categories.join(F.broadcast(rows), F.col("name") == F.col("of"), "left").withColumn("priority", F.col("p")).drop("p", "of")
+    return categories.join(rows, F.col("name") == F.col("of"), "left").withColumn("priority", F.col("p")).drop("p", "of")
 
 
 def layered_times(shape: DataFrame, targets: DataFrame) -> DataFrame:
@@ -202,8 +202,10 @@ def layered_times(shape: DataFrame, targets: DataFrame) -> DataFrame:
 
     A vertex's share of the shape's length is looked up, piecewise linearly, on the target's curve of share of length and time.
     ``targets``: clean points (segment_id, seq, lat, lon, ts_ms). Times never go back; targets with fewer than two times that
-    differ in place have none. One join of targets with vertices by segment; no target is collected.
+    differ in place have none. The result holds every vertex for every target, so the shape, which has at most SHAPE_VERTICES, meets each of them.
     """
+    if shape.limit(SHAPE_VERTICES + 1).count() > SHAPE_VERTICES:
+        raise ValueError(f"a shape has at most {SHAPE_VERTICES} vertices")
     run = cumulative_m(targets)
     w = Window.partitionBy("segment_id")
     n = F.count(F.lit(1)).over(w)
@@ -219,14 +221,14 @@ def layered_times(shape: DataFrame, targets: DataFrame) -> DataFrame:
     low = F.when(F.col("first"), F.lit(float("-inf"))).otherwise(F.col("f"))
     spans = spans.where(F.col("f1").isNotNull()).withColumns({"low": low, "last": F.lead("f1").over(ahead).isNull()})
     hit = ((F.col("g") > F.col("low")) & ((F.col("g") <= F.col("f1")) | F.col("last")))
-    met = spans.join(F.broadcast(on.limit(SHAPE_VERTICES)), hit)
+    met = spans.join(F.broadcast(on), hit)
     t = (F.col("g") - F.col("f")) / (F.col("f1") - F.col("f"))
     ts = F.when(F.col("g") <= F.col("f"), F.col("ts")).when(F.col("g") >= F.col("f1"), F.col("ts1")).otherwise(js_round(F.col("ts") + t * (F.col("ts1") - F.col("ts"))).cast("long"))
     met = met.select("segment_id", "k", ts.alias("at"))
     upto = Window.partitionBy("segment_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     met = met.select("segment_id", "k", F.max("at").over(upto).alias("ts_ms"))
     ids = targets.select("segment_id").distinct()
-    every = ids.join(F.broadcast(on.limit(SHAPE_VERTICES).select("k", "lon", "lat")), F.lit(True))
+    every = ids.join(F.broadcast(on.select("k", "lon", "lat")), F.lit(True))
     return every.join(met, ["segment_id", "k"], "left")
 
 

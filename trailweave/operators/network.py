@@ -13,6 +13,7 @@ from ..session import cut
 from . import routing
 from .joins import around, cell, pairs_within
 
+# How far a route may exceed the straight line, by factor and in degrees, and what a transfer costs besides its length.
 GAP_FACTOR, GAP_SLACK, TRANSFER_PENALTY = 4.0, 3e-3, 2e-3
 
 
@@ -210,7 +211,7 @@ def path_lengths(found: DataFrame, graph: Graph) -> DataFrame:
     return found.join(line, ["src", "dst"])
 
 
-#: Slack of a route through stops: by the straight line, by the length of its guide, and in any case, in degrees.
+# Slack of a route through stops: by the straight line, by the length of its guide, and in any case, in degrees.
 VIA_FACTOR, VIA_GUIDE, VIA_SLACK = 12, 30, 0.6
 
 

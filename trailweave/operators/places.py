@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scalars import equirectangular_m, overlaps
 from ..session import cut
 
+# Degrees within which visits are one place, and what makes a visit an outlier of its place.
 RADIUS = 0.0025
 OUTLIER_FACTOR, OUTLIER_FLOOR_M = 3.0, 150.0
-#: Visits of one name that one task may hold. Beyond, the name is split by where its visits lie.
-SPLIT = 50_000
 
 
 def _greedy(visits: pd.DataFrame) -> pd.DataFrame:
@@ -141,6 +140,12 @@ def outliers(visits: DataFrame, by: str) -> DataFrame:
     return far.join(usual, F.col(by) == F.col("of")).withColumn("outlier", F.col("distance_m") > F.col("bar")).drop("of", "bar", "c_lat", "c_lon")
 
 
+def members(visits: DataFrame, by: str) -> DataFrame:
+    """``outliers`` with ``place_rank``: 1 for the visit of a place that is farthest from its middle, to the millimetre; ties by id."""
+    order = Window.partitionBy(by).orderBy(F.desc(F.round("distance_m", 3)), "id")
+    return outliers(visits, by).withColumn("place_rank", F.row_number().over(order))
+
+
 def _dense(key: Column, n: int) -> Column:
     """A histogram over 0..n-1 as an array, zeros included."""
     return F.array(*(F.count(F.when(key == k, 1)) for k in range(n)))

@@ -157,7 +157,7 @@ def summary(files: DataFrame, tracks: DataFrame, segments: DataFrame, visits: Da
 
 def of_visible_types(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Drawn ``rows`` (type, …) whose category is switched on; ``categories``: (name, visible). Rows drawn once are filtered, not asked for anew."""
-    return rows.join(F.broadcast(categories.where("visible").select(F.col("name").alias("type")).distinct()), "type", "left_semi")
+    return rows.join(categories.where("visible").select(F.col("name").alias("type")), "type", "left_semi")
 
 
 def place_count(visits: DataFrame, places: DataFrame) -> DataFrame:

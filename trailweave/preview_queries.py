@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import scalars as S
 from .functions.tables import vertices
-from .operators import geometry as G, preview as R, viewport as V
+from .operators import geometry as G, network as N, places as P, preview as R, viewport as V
 from .plans import ingest, tracks as T
-from .queries import _OK, _flagged, _segments, query
+from .queries import _OK, _flagged, _segments, _town, query
 
 
 @query("""SELECT request, CASE WHEN count(lat) < 2 OR count(lat) < count(*) THEN 'stops' WHEN count(*) FILTER (inside) < count(*) THEN 'outside' ELSE 'ok' END AS status FROM (
@@ -64,3 +65,52 @@ def dataset_stats(spark, d):
 @query("""SELECT segment_id, CAST(row_number() OVER (PARTITION BY segment_id ORDER BY seq) - 1 AS INT) AS n, lon, lat FROM pf WHERE flag = 0 AND segment_id IN (SELECT segment_id FROM pf WHERE flag = 0 GROUP BY 1 HAVING count(*) >= 2)""", views=_OK)
 def line_vertices(spark, d):
     return vertices(spark, G.polylines(_flagged(spark, d))).select("segment_id", "n", "lon", "lat")
+
+
+@query("""SELECT a.id, least(a.min_lat, b.min_lat) AS min_lat, least(a.min_lon, b.min_lon) AS min_lon, greatest(a.max_lat, b.max_lat) AS max_lat, greatest(a.max_lon, b.max_lon) AS max_lon,
+  coalesce(a.min_lat >= greatest(-90, b.min_lat - 0.001) AND a.max_lat <= least(90, b.max_lat + 0.001) AND a.min_lon >= greatest(-180, b.min_lon - 0.001) AND a.max_lon <= least(180, b.max_lon + 0.001), false) AS within
+  FROM seg a JOIN seg b ON b.id = a.id + 1""", views=_OK)
+def box_algebra(spark, d):
+    """Boxes of segments whose ids follow each other: their union, and if one lies within the other and a margin."""
+    box = F.struct(*S.BOUNDS)
+    s = _segments(spark, d)
+    both = s.select("id", box.alias("a")).join(s.select((F.col("id") - 1).alias("id"), box.alias("b")), "id")
+    return both.select("id", S.box_union(F.col("a"), F.col("b")).alias("u"), S.box_within(F.col("a"), S.box_padded(F.col("b"), 0.001)).alias("within")).select("id", "u.*", "within")
+
+
+@query("""SELECT id, name, round(dist, 3) AS distance_m, CAST(row_number() OVER (PARTITION BY name ORDER BY round(dist, 3) DESC, id) AS INT) AS place_rank FROM (
+    SELECT id, w.name, sqrt(pow((w.lon - c.lon) * cos(radians(c.lat)) * 111320.0::DOUBLE, 2) + pow((w.lat - c.lat) * 110540.0::DOUBLE, 2)) AS dist
+    FROM wpt w JOIN (SELECT name, median(lat) AS lat, median(lon) AS lon FROM wpt WHERE name IS NOT NULL GROUP BY 1) c USING (name))""")
+def place_members(spark, d):
+    rows = P.members(T.waypoints(spark, d).where("name IS NOT NULL"), "name")
+    return rows.select("id", "name", F.round("distance_m", 3).alias("distance_m"), "place_rank")
+
+
+_TOWN = """
+spot AS (SELECT id, id // 18 AS r, id % 18 AS c, id // 18 / 100.0::DOUBLE + 10 AS lat, id % 18 / 100.0::DOUBLE + 20 AS lon FROM (SELECT unnest(range(234)) AS id)),
+k AS (SELECT cos(radians(avg(lat))) AS cos FROM spot),
+way AS (SELECT a.id AS a, b.id AS b, (b.lon - a.lon) * cos * CASE WHEN a.r % 2 = 0 THEN 0.55 ELSE 0.6 END::DOUBLE AS w FROM spot a JOIN spot b ON b.id = a.id + 1 AND a.c < 17, k
+  UNION ALL SELECT a.id, b.id, (b.lat - a.lat) * 1.1::DOUBLE FROM spot a JOIN spot b ON b.id = a.id + 18),
+arc AS (SELECT a, b, w FROM way UNION ALL SELECT b, a, w FROM way),
+stop AS (SELECT s_suppkey AS request, t AS turn, CASE WHEN s_suppkey % 10 = 2 THEN s_suppkey % 234 WHEN t = 0 THEN s_suppkey * 7 % 234 WHEN t = 1 THEN s_suppkey * 13 % 234 ELSE s_nationkey * 9 % 234 END AS node, s_suppkey % 10 = 1 AND t = 1 AS far
+  FROM supplier, (SELECT unnest(range(3)) AS t) WHERE s_suppkey % 10 <> 0 OR t = 0),
+leg AS (SELECT request, turn, lag(node) OVER (PARTITION BY request ORDER BY turn) AS src, node AS dst, lag(far) OVER (PARTITION BY request ORDER BY turn) AS was, far FROM stop),
+go AS (SELECT DISTINCT src, src AS node, 0.0::DOUBLE AS cost, 0 AS hops FROM leg WHERE src IS NOT NULL UNION ALL SELECT src, b, min(cost + w), hops + 1 FROM go JOIN arc ON a = node WHERE hops < 45 GROUP BY src, b, hops),
+cheapest AS (SELECT src, node AS dst, min(cost) AS cost FROM go GROUP BY ALL)"""
+
+
+@query("""SELECT request, CASE WHEN n < 2 THEN 'stops' WHEN far THEN 'off_network' WHEN coalesce(legs, 0) = 0 THEN 'one_spot' ELSE 'ok' END AS status, CASE WHEN n >= 2 AND NOT far AND legs > 0 THEN round(cost, 6) END AS cost
+  FROM (SELECT request, count(*) AS n, bool_or(far) AS far FROM stop GROUP BY 1) LEFT JOIN (
+    SELECT request, count(*) AS legs, sum(cost) AS cost FROM leg JOIN cheapest USING (src, dst) WHERE src <> dst GROUP BY 1) USING (request)""", views=_TOWN, recursive=True)
+def routes_through_stops(spark, d):
+    """Requests of suppliers through three stops on the town's streets; what a route costs is read off its shape."""
+    nodes, edges = _town(spark, d)
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("request"), "s_nationkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("turn")).where("request % 10 <> 0 OR turn = 0")
+    node = F.when(F.col("request") % 10 == 2, F.col("request") % 234).when(F.col("turn") == 0, F.col("request") * 7 % 234).when(F.col("turn") == 1, F.col("request") * 13 % 234).otherwise(F.col("s_nationkey") * 9 % 234)
+    stops = s.withColumn("id", node.cast("long")).join(nodes, "id").select("request", "turn", (F.col("lon") + F.when((F.col("request") % 10 == 1) & (F.col("turn") == 1), 5).otherwise(0)).alias("lon"), "lat", F.lit(0.0).alias("guide"))
+    graph = N.drive(nodes, edges)
+    found = N.routed(stops, graph)
+    step = F.transform(F.sequence(F.lit(1), F.size("shape") - 1), lambda k: F.struct(F.get("shape", k - 1).alias("p"), F.get("shape", k).alias("q")))
+    row = lambda p: F.round((p["lat"] - 10) * 100)
+    cost = lambda e: F.when(e["p"]["lat"] == e["q"]["lat"], F.abs(e["p"]["lon"] - e["q"]["lon"]) * graph.cos * F.when(row(e["p"]) % 2 == 0, 0.55).otherwise(0.6)).otherwise(F.abs(e["p"]["lat"] - e["q"]["lat"]) * 1.1)
+    return found.select("request", "status", F.when(F.col("shape").isNotNull(), F.round(F.aggregate(step, F.lit(0.0), lambda total, e: total + cost(e)), 6)).alias("cost"))

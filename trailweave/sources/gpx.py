@@ -32,8 +32,17 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """If a path, or a pattern of paths, is there on the file system that it names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where))
+
+
 def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, name, size, modified, file_hash, xml) of all ``.gpx`` files, in any case, below the paths; hidden files are left out."""
+    """(path, name, size, modified, file_hash, xml) of all ``.gpx`` files, in any case, below the paths; hidden files and paths that don't exist are left out."""
+    paths = [p for p in ([paths] if isinstance(paths, str) else paths) if _exists(spark, p)]
+    if not paths:
+        return described(spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary"))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[gG][pP][xX]").load(paths)
     return described(found)
 
