@@ -24,6 +24,8 @@ ORDER, BITS, LOW = 4, 21, 3
 FOLDS = 2
 #: Model entries broadcast at once (16 bytes each, twice as many at most); a larger model is scored in parts, of which there are at most so many.
 BROADCAST_ENTRIES, MOST_PARTS = 1 << 23, 1 << 12
+#: Languages whose bands every task gets; of more, each task gets those that it needs, by a shuffle.
+SENT = 100_000
 #: Bytes of text that are cut into n-grams at once.
 SLICE = 1 << 19
 #: What n-grams are dealt to parts by: the two characters before the last one, as a number modulo this prime.
@@ -387,8 +389,8 @@ def _judged(scored: DataFrame, bands: DataFrame) -> DataFrame:
     """``scored`` with ``kept``; a text that no model scores has nothing against it."""
     width = lambda c: F.greatest(F.lit(BAND_LEAST), F.col(c) / F.sqrt("n_words"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("mid") - width("below"), F.col("mid") + width("above")), F.lit(True))
-    # One row for each language, which Spark broadcasts or not by its size.
-    joined = scored.join(bands, _same("lang"), "left")
+    # One row for each language; joined otherwise, all texts would be shuffled by their language.
+    joined = scored.join(F.broadcast(bands) if bands.count() <= SENT else bands, _same("lang"), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & inside)
 
 
