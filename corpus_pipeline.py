@@ -12,14 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trailweave.llm import mixing, near_dedup, pieces, quality, secrets
 from trailweave.llm.common import fresh_path, remove, table
 
+#: Rows of whole texts that Spark hands to Python at a time; its default of 10,000 would hold tens of megabytes of long texts several times over.
+BATCH = 1000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The order in which Newton's steps and rounding meet documents can't be had in SQL, nor can the model's verdicts.
 ORACLE_SQL = None
 
 
+def _chosen(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``, and small batches from here on."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH, now) if now > 0 else BATCH)
+    return docs.select(COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the rules and their language's perplexity band. A null or empty text fails; a null language is one of its own."""
-    return quality.accepted(docs.select(COLUMNS))
+    return quality.accepted(_chosen(spark, docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without a word are alone and stay; a null doc_id comes after all others.
     """
-    return near_dedup.deduplicated(docs.select(COLUMNS))
+    return near_dedup.deduplicated(_chosen(spark, docs))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark; n_chars follows. A null text stays null, with its n_chars."""
-    clean = secrets.redacted(docs.select(COLUMNS))
+    clean = secrets.redacted(_chosen(spark, docs))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
@@ -41,7 +50,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null or empty text has size 0 and isn't taken; a null source is one of its own; equal sizes are taken in the order of a hash.
     """
-    return mixing.mixed(docs.select(COLUMNS))
+    return mixing.mixed(_chosen(spark, docs))
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
