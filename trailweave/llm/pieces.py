@@ -116,13 +116,13 @@ class Pieces:
         while heap and len(out) < n:
             _, _, at, rank, so_far, chain = heapq.heappop(heap)
             edges = ways(at)
-            turn += 2
+            turn -= 2  # of equal scores the latest state first: it is nearest to a whole segmentation
             if rank + 1 < len(edges):
                 heapq.heappush(heap, (edges[rank + 1][0] - so_far, turn, at, rank + 1, so_far, chain))
             _, start, score, ids = edges[rank]
             so_far, chain = so_far + score, (ids, chain)
             if start:
-                heapq.heappush(heap, (-best[start] - so_far, turn + 1, start, 0, so_far, chain))
+                heapq.heappush(heap, (-best[start] - so_far, turn - 1, start, 0, so_far, chain))
                 continue
             path: list[int] = []
             while chain:
