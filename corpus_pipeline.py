@@ -48,7 +48,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, as whole copies; those of no copy go.
 
-    A null or empty text has size 0 and isn't taken; a null source is one of its own; equal sizes are taken in the order of a hash.
+    A null or empty text has size 0, weighs nothing and stays once; a null source is one of its own; equal sizes are taken in the order of a hash.
     """
     return mixing.mixed(_chosen(spark, docs))
 
