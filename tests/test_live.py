@@ -60,6 +60,17 @@ def test_ready_points():
     assert live.ready(held((1, 6.0), (2, 9.0)), -1, none, 8) == 0 and live.ready(held((1, 6.0), (2, 9.0)), -1, none, 9) == 2
     assert live.ready(held((3, nan), (4, 9.0)), 1, 7.0, 8) == 0 and live.ready(held((3, nan), (4, 9.0)), 2, 7.0, 0) == 2
     assert live.ready(held((2, 1.0)), 5, 7.0, 7) == 1  # behind what has gone
+    assert live.ready(held((1, nan)), -1, none, 0) == 0 and live.ready(held((1, nan), (2, nan)), -1, none, 0) == 0  # point 0 may still come
+    assert live.ready(held((3, nan)), 1, 7.0, 8) == 0  # what is missing may be later than what went before
+    assert live.ready(held((1, nan), (2, nan), (4, 9.0)), -1, none, 8) == 0 and live.ready(held((1, nan), (2, nan), (4, 9.0)), -1, none, 9) == 3
+
+
+def test_undated_points_that_come_before_the_first(spark):
+    rows = [(1, "walking", i, None if i < 3 else BASE + i * MINUTE, 10.0, 20.0) for i in range(6)]
+    dealt = [(*r, 2 - r[2] if r[2] < 3 else 1) for r in rows] + [(-1, "car", 0, FAR, 0.0, 0.0, 3)]
+    got = replayed([spark.createDataFrame(dealt, POINT)], lambda p: live.reordered(p, "40000 days")).where("segment_id >= 0")
+    want = flags(spark, rows)
+    assert got.count() == len(want) and {(r.segment_id, r.seq): r.flag for r in got.collect()} == want and want[1, 0] == 0
 
 
 def test_repeats_in_a_stream(spark):
