@@ -199,6 +199,21 @@ def test_matching_fills_tunnels_and_breaks(spark, line):
     assert np.allclose(got[1], np.array([[i / 100, 0.0] for i in range(11)], dtype=np.float32).reshape(-1))
 
 
+def test_pairs_of_crowded_places_are_dealt_to_many_tasks(spark):
+    crowd = spark.range(6000).select("id", (F.col("id") % 2 / 1000).alias("x"), F.lit(0.0).alias("y"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with larger tables
+    try:
+        sizes = [r["count"] for r in J.pairs_within(crowd, 0.0015).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 3000 * 3000 and max(sizes) < 5_000_000
+    rng = np.random.default_rng(4)
+    at = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-5, 5, (300, 2)) / 100)] + [(900, None, 0.0), (901, -0.0, 0.0), (902, 0.0, 0.0)]
+    got = [tuple(r) for r in J.pairs_within(spark.createDataFrame(at, "id long, x double, y double"), 0.021).select("a", "b").collect()]
+    near = lambda p, q: 0 < (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= 0.021 * 0.021
+    assert sorted(got) == sorted((p[0], q[0]) for p in at for q in at if p[0] < q[0] and p[1] is not None and q[1] is not None and near(p, q))
+
+
 def test_gaps_of_just_so_many_times_the_median(spark):
     # on the grid of the test tables; the third gap is 1.5 times the median, but for the last bit
     at = [(446, 337), (828, 389), (421, 601), (994, 679), (995, 679), (996, 679)]
