@@ -323,3 +323,20 @@ def test_warc_derivatives_link_and_keep(spark):
     assert ["WARC-Record-ID", one["metadata"].refers_to] in about["WARC-Header-Metadata"] and one["conversion"].body == "Hé link"
     assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", one["metadata"].record_id)
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_new_words_are_found_without_going_over_the_remembered():
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("all remembered words")
+
+    p = tiny()
+    p.remembered = Known()
+    texts = ["ab ba", None, "", "ba abb"]
+    words = p.learn(texts)
+    assert words == p.learn(texts) and [len(w) for w in words] == [2, 0, 0, 2]
+    for t, w in zip(texts, words, strict=True):
+        assert t is None or p.encode(t, 3, w) == p.encode(t, 3) == tiny().encode(t, 3)
+    assert p.remembered and p.left
+    p.forget()
+    assert not p.remembered and not p.left

@@ -15,6 +15,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from math import inf
 
 import numpy as np
@@ -30,6 +31,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words remembered by a worker; then it starts afresh.
 REMEMBERED = 500_000
+#: Words remembered with what is next to their best.
+LEFT = 20_000
 #: Longer words aren't remembered.
 REMEMBERED_WORD = 256
 #: Words of up to so many characters are searched many at once.
@@ -55,6 +58,7 @@ class Pieces:
     prefixes: frozenset[str] = frozenset()
     tables: list[tuple[np.ndarray, ...]] = field(default_factory=list)  # by length: sorted hashes of prefixes, ids and scores of those that are pieces
     remembered: dict[str, tuple[float, bytes, float]] = field(default_factory=dict)
+    left: dict[tuple[str, int], list[tuple[float, bytes]]] = field(default_factory=dict)
     encoded: list[bytes] = field(default_factory=list)  # each piece's bytes, once they are asked for
 
     @classmethod
@@ -143,12 +147,17 @@ class Pieces:
                 self.remembered[word] = found
         return found
 
-    def learn(self, texts: list[str]) -> None:
-        """Remember all words of ``texts`` that aren't yet, those of up to LONG_WORD characters all at once."""
+    def _split(self, text: str) -> list[str]:
+        marked = SPACE + text.replace(" ", SPACE)
+        return _WORD.findall(marked) if self.chained else [marked]
+
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """The words of each of ``texts`` (none of a null one). All that aren't yet are remembered, those of up to LONG_WORD characters all at once."""
+        words = [self._split(t) if t else [] for t in texts]
         if not self.chained:
-            return
-        every = {w for t in texts if t for w in _WORD.findall(SPACE + t.replace(" ", SPACE))}
-        new = every - self.remembered.keys()
+            return words
+        every = set(chain.from_iterable(words))
+        new = every.difference(self.remembered)  # goes over the words at hand; a difference with keys() goes over all remembered ones
         if len(self.remembered) + len(new) > REMEMBERED:
             self.remembered.clear()
             new = every
@@ -156,6 +165,11 @@ class Pieces:
         for start in range(0, len(short), 20_000):
             some = short[start : start + 20_000]
             self.remembered.update(zip(some, self.viterbi(some), strict=True))
+        return words
+
+    def forget(self) -> None:
+        self.remembered.clear()
+        self.left.clear()
 
     def viterbi(self, words: list[str]) -> list[tuple[float, bytes, float]]:
         """``word`` of many words at once: forward scores and, for what the next best costs, backward ones, by array operations.
@@ -252,24 +266,23 @@ class Pieces:
     def _unknown(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")) if self.byte_ids else (self.unknown_id,)
 
-    def encode(self, text: str, n: int = BEST) -> list[tuple[float, bytes]]:
-        """The (score, ids as bytes of 32-bit numbers) of the ``n`` best segmentations of a text; none of an empty text."""
+    def encode(self, text: str, n: int = BEST, words: list[str] | None = None) -> list[tuple[float, bytes]]:
+        """The (score, ids as bytes of 32-bit numbers) of the ``n`` best segmentations of a text, whose ``words`` may be known; none of an empty text."""
         if not text:
             return []
-        marked = SPACE + text.replace(" ", SPACE)
-        words = _WORD.findall(marked) if self.chained else [marked]
-        get, look = self.remembered.get, self.word
-        found = [get(w) or look(w) for w in words]
-        top = sum([f[0] for f in found])
-        ids = [f[1] for f in found]
+        words = words or self._split(text)
+        found = list(map(self.remembered.get, words))
+        if None in found:
+            found = [f or self.word(w) for f, w in zip(found, words, strict=True)]
+        scores, paths, costs = zip(*found, strict=True)
+        top, ids = sum(scores), list(paths)
         out = [(top, b"".join(ids))]
         if n > 1:
             # A segmentation among the n best leaves the best only in words whose next best is among the n - 1 that cost least.
-            costs = [f[2] for f in found]
             where = [costs.index(min(costs))] if n == 2 else sorted(heapq.nsmallest(n - 1, range(len(costs)), key=costs.__getitem__))
             heads: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
             for k in where:
-                options = [(found[k][0] - score, {k: array("i", path).tobytes()}) for score, path in self.n_best(words[k], n)[1:]]
+                options = [(found[k][0] - score, {k: path}) for score, path in self._others(words[k], n)]
                 heads = heapq.nsmallest(n, heads + [(cost + more, change | other) for cost, change in heads for more, other in options], key=lambda o: o[0])
             for cost, change in heads[1:n]:
                 for k, path in change.items():
@@ -279,6 +292,17 @@ class Pieces:
                     ids[k] = found[k][1]
         return out
 
+    def _others(self, word: str, n: int) -> list[tuple[float, bytes]]:
+        """The (score, ids as bytes) of a word's ``n`` best segmentations but the first; remembered, as the same words cost least in many texts."""
+        found = self.left.get((word, n))
+        if found is None:
+            if len(self.left) >= LEFT:
+                self.left.clear()
+            found = [(score, array("i", path).tobytes()) for score, path in self.n_best(word, n)[1:]]
+            if len(word) <= LONG_WORD:
+                self.left[word, n] = found
+        return found
+
     def decode(self, ids: bytes | list[int]) -> str:
         """The text of ids; the inverse of ``encode`` for texts without the mark that stands for a space."""
         ids = np.frombuffer(ids, dtype=np.int32).tolist() if isinstance(ids, bytes) else ids
@@ -342,8 +366,7 @@ def n_best(docs: DataFrame, n: int = BEST, model_path: str = MODEL, check: bool
         for batch in batches:
             for part in text_slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                pieces.learn(texts)
-                found = [None if t is None else pieces.encode(t, n) for t in texts]
+                found = [None if t is None else pieces.encode(t, n, w) for t, w in zip(texts, pieces.learn(texts), strict=True)]
                 columns = [*(part.column(c) for c in rest), pa.array([None if x is None else [{"score": s, "ids": i} for s, i in x] for x in found], kind)]
                 if check:
                     columns.append(pa.array([None if x is None else all(pieces.decode(i) == t for _, i in x) for x, t in zip(found, texts, strict=True)], pa.bool_()))
@@ -398,12 +421,12 @@ def encoded(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                pieces.learn(texts)
-                found = [None if t is None else pieces.encode(t, 2) for t in texts]
+                found = [None if t is None else pieces.encode(t, 2, w) for t, w in zip(texts, pieces.learn(texts), strict=True)]
                 lists = [None if x is None else np.frombuffer(x[0][1], dtype=np.int32) if x else np.zeros(0, np.int32) for x in found]
                 other = [np.frombuffer(x[1][1], dtype=np.int32) if x and len(x) > 1 else None for x in found]
                 n = pa.array([None if x is None else len(x) for x in lists], pa.int64())
                 yield pa.record_batch([*(part.column(c) for c in rest), n, *(pa.array(x, pa.list_(pa.int32())) for x in (lists, other))], names=[*rest, "n_pieces", "ids", "other_ids"])
+        pieces.forget()  # the worker may go on with another stage, beside whose memory this would count
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
     return columns.mapInArrow(run, "doc_id long, lang string, source string, n_pieces long, ids array<int>, other_ids array<int>")
