@@ -29,6 +29,8 @@ NEXT = 0.6
 LEARNED, LONGEST = 40_000, 20
 #: Words seen less often in all texts aren't learned.
 LEAST_SEEN = 3
+#: Different words that a task counts before it hands them on.
+HELD = 100_000
 #: Repeated units of up to so many characters are looked for.
 UNIT = 8
 
@@ -226,8 +228,8 @@ def learned_words(docs: DataFrame) -> dict[str, int]:
                         for a, b in reversed([*_values(low)]):
                             low = low[:a] + " " + low[b:]
                     seen.update(_LETTERS.findall(low))
-            if len(seen) > 300_000:
-                yield told()
+                if len(seen) > HELD:
+                    yield told()
         yield told()
 
     words = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
