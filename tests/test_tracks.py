@@ -214,6 +214,19 @@ def test_pairs_of_crowded_places_are_dealt_to_many_tasks(spark):
     assert sorted(got) == sorted((p[0], q[0]) for p in at for q in at if p[0] < q[0] and p[1] is not None and q[1] is not None and near(p, q))
 
 
+def test_lines_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    points = spark.range(2500 * 3).selectExpr("id div 3 AS segment_id", "id % 3 AS seq", "double(id % 3) AS lat", "double(id % 2) AS lon", "0 AS flag").coalesce(1)
+    try:
+        for now, then in ((10_000, G.BATCH), (0, G.BATCH), (7, 7)):
+            spark.conf.set(key, now)
+            levels = G.detail_levels(points)
+            assert int(spark.conf.get(key)) == then
+        assert levels.count() == 2500 * 3 and levels.where("point_count = 3").count() == 2500 * 3
+    finally:
+        spark.conf.unset(key)
+
+
 def test_gaps_of_just_so_many_times_the_median(spark):
     # on the grid of the test tables; the third gap is 1.5 times the median, but for the last bit
     at = [(446, 337), (828, 389), (421, 601), (994, 679), (995, 679), (996, 679)]
