@@ -54,6 +54,28 @@ def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_mix_runs_no_job_for_a_newton_step(spark):
+    """What the driver plans doesn't follow the number of steps; there were over 100 jobs."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, "w " * int(n), "en", "abc"[i % 3], 1, "x") for i, n in enumerate(rng.integers(1, 300, 300))], DOC)
+    spark.sparkContext.setJobGroup("mix", "mix")
+    try:
+        assert mixing.mixed(docs).count()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("mix"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert 0 < jobs <= 60, jobs
+
+
+def test_rates_take_what_they_should():
+    rng = np.random.default_rng(4)
+    size, n = np.arange(1.0, 400.0), rng.integers(1, 50, 399).astype(float)
+    for share in (0.01, 0.5, 1.0, 1.4, 1.99, 2.0):
+        rate = mixing.balance(size, n, share * (size * n).sum())
+        assert (rate > 0).all() and (rate <= 2).all() and math.isclose((rate * size * n).sum(), share * (size * n).sum(), rel_tol=1e-8)
+    assert mixing.balance(np.array([7.0]), np.array([1.0]), 3.5)[0] == pytest.approx(0.5)
+
+
 def nearest_brute(rows, k):
     ids = [r[0] for r in rows]
     x = np.array([r[1] for r in rows], dtype=float)

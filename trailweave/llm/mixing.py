@@ -2,12 +2,12 @@
 
 Of all rates per document that give a source its target number of words, those closest to one in relative entropy are the words'
 exponential tilts min(CAP, exp(lambda * size)): one lambda for each source, the solution of a convex dual problem. Newton steps solve it
-for all sources at once; a step is one aggregation over cells, the numbers of documents by source and size. Rates become whole copies
+over a source's cells, the numbers of documents by source and size, all sources at once as groups. Rates become whole copies
 cell by cell from the longest documents to the shortest, what rounding leaves over passing to the next, so that a source ends within
 about half its shortest documents of its target.
 
 A cell stands for any number of documents. Sizes being different whole numbers, a source of W words has at most sqrt(2 W) + 1 cells,
-which bounds the one group of cells for each source that rounding needs.
+which bounds the one group of cells for each source. No job is run for a step, so what the driver plans doesn't follow their number.
 """
 
 from __future__ import annotations
@@ -51,48 +51,44 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return known.withColumn("target", F.least(top.cast("double"), F.col("weight") * level))
 
 
-def balance(cells: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
-    """(source, tilt, full): lambda of each source in units of one over its mean size; ``full`` if all its documents take ``cap`` copies.
+def balance(size: np.ndarray, n: np.ndarray, target: float, cap: float = CAP) -> np.ndarray:
+    """The rates of one source's cells, ``n`` documents of ``size`` words each, sizes over 0: min(cap, exp(lambda * size)), by which it takes ``target`` words.
 
-    ``cells``: (source, size, n) with sizes over 0; ``sources``: (source, source_size, n_docs, target). Newton steps are held within
-    a bracket that every step narrows, so that they converge from anywhere.
+    Newton steps for lambda, in units of one over the mean size, are held within a bracket that every step narrows, so that they
+    converge from anywhere.
     """
-    mean = F.col("source_size") / F.col("n_docs")
-    state = sources.where(F.col("source_size") > 0).select(F.col("source").alias("of"), "target", mean.alias("mean"), F.lit(0.0).alias("tilt"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"), (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)).alias("full"))
-    state = cut(state)
-    for step in range(STEPS):
-        x = F.col("size") / F.col("mean")
-        rate = F.exp(F.least(F.lit(700.0), F.col("tilt") * x))
-        taken = F.col("n") * F.col("size") * F.least(F.lit(float(cap)), rate)
-        slope = F.when(rate < cap, F.col("n") * F.col("size") * x * rate).otherwise(0.0)
-        sums = cells.join(state, F.col("source").eqNullSafe(F.col("of"))).groupBy(F.col("of").alias("at")).agg(F.sum(taken).alias("taken"), F.sum(slope).alias("slope"))
-        now = state.join(sums, F.col("of").eqNullSafe(F.col("at")))
-        over = F.col("taken") > F.col("target")
-        low, high = F.when(over, F.col("low")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("high"))
-        next_ = F.col("tilt") + F.try_divide(F.col("target") - F.col("taken"), F.col("slope"))
-        middle = F.when((low <= -700) & over, F.col("tilt") * 2 - 1).when((high >= 700) & ~over, F.col("tilt") * 2 + 1).otherwise((low + high) / 2)
-        inside = (next_ > low) & (next_ < high)
-        close = F.abs(F.col("taken") - F.col("target")) <= TOLERANCE * F.col("target")
-        settled = F.col("full") | close
-        now = now.select("of", "target", "mean", F.when(settled, F.col("tilt")).when(inside, next_).otherwise(middle).alias("tilt"), low.alias("low"), high.alias("high"), "full", settled.alias("settled"))
-        now = cut(now)
-        state = now.drop("settled")
-        if not now.where(~F.col("settled")).limit(1).count():
+    words_ = n * size
+    if target >= cap * words_.sum() * (1 - 1e-12):
+        return np.full(len(size), float(cap))
+    x = size / (words_.sum() / n.sum())
+    tilt, low, high = 0.0, -700.0, 700.0
+    for _ in range(STEPS):
+        rate = np.exp(np.minimum(700.0, tilt * x))
+        taken = float((words_ * np.minimum(float(cap), rate)).sum())
+        slope = float(np.where(rate < cap, words_ * x * rate, 0.0).sum())
+        if abs(taken - target) <= TOLERANCE * target:
             break
-    return state.select(F.col("of").alias("source"), (F.col("tilt") / F.col("mean")).alias("tilt"), "full")
+        over = taken > target
+        low, high = (low, tilt) if over else (tilt, high)
+        next_ = tilt + (target - taken) / slope if slope else math.nan
+        if not low < next_ < high:
+            next_ = tilt * 2 - 1 if low <= -700 and over else tilt * 2 + 1 if high >= 700 and not over else (low + high) / 2
+        tilt = next_
+    return np.minimum(float(cap), np.exp(np.minimum(700.0, tilt * x)))
 
 
-def _round(cap: int):
+def _copied(cap: int):
     def whole(cells: pd.DataFrame) -> pd.DataFrame:
-        """Copies of each cell: rates times documents, rounded from the longest to the shortest, the remainder of words passed on."""
+        """Copies of each cell of a source: rates times documents, rounded from the longest to the shortest, the remainder of words passed on."""
         cells = cells.sort_values("size", ascending=False, kind="stable")
+        sizes, docs = cells["size"].to_numpy(np.float64), cells["n"].to_numpy(np.float64)
         left, out = 0.0, []
-        for size, n, rate in zip(cells["size"].to_numpy(), cells["n"].to_numpy(), cells["rate"].to_numpy(), strict=True):
+        for size, n, rate in zip(cells["size"].to_numpy(), cells["n"].to_numpy(), balance(sizes, docs, float(cells["target"].iloc[0]), cap), strict=True):
             want = rate * n + left / size
             copies = min(max(math.floor(want + 0.5), 0), cap * int(n))
             left = (want - copies) * size
             out.append(copies)
-        return cells.assign(copies=np.array(out, dtype=np.int64))[["source", "size", "n", "copies"]]
+        return cells.assign(copies=np.array(out, dtype=np.int64))
 
     return whole
 
@@ -108,17 +104,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), row_key(docs).alias("row_key"))
     rows = cut(rows)
     cells = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n_docs"))
-    sources = cut(targets(sources, weights, share, cap).select("source", "source_size", "n_docs", "target"))
-    sized = cells.where("size > 0")
-    tilts = balance(sized, sources, cap).withColumnRenamed("source", "of")
-    rate = F.when(F.col("full"), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("size")))))
-    rated = sized.join(tilts, F.col("source").eqNullSafe(F.col("of"))).select("source", "size", "n", rate.alias("rate"))
-    copies = rated.groupBy("source").applyInPandas(_round(cap), rated.select("source", "size", "n").schema.add("copies", "long"))
+    sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = targets(sources, weights, share, cap).select("source", "source_size", "target")
+    of = sources.select(F.col("source").alias("s"), "source_size", "target")
+    sized = cells.where("size > 0").join(of, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    copies = sized.groupBy("source").applyInPandas(_copied(cap), sized.select("*").schema.add("copies", "long"))
     # Documents of one cell are dealt into groups of about DEAL by their hash; each group gets its part of the cell's copies.
     groups = F.ceil(F.col("cell_n") / DEAL)
-    cell = copies.select(F.col("source").alias("of"), F.col("size").alias("of_size"), F.col("n").alias("cell_n"), "copies")
-    cell = cut(cell.join(sources.select(F.col("source").alias("s"), "source_size", "target"), F.col("of").eqNullSafe(F.col("s"))).drop("s"))
+    cell = cut(copies.select(F.col("source").alias("of"), F.col("size").alias("of_size"), F.col("n").alias("cell_n"), "copies", "source_size", "target"))
     dealt = rows.where("size > 0").join(cell, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")))
     dealt = cut(dealt.withColumn("part", F.pmod(F.xxhash64("row_key"), groups).cast("long")))
     parts = dealt.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("part_n"), F.first("cell_n").alias("cell_n"), F.first("copies").alias("copies"))

@@ -15,6 +15,7 @@ that make up the first 1 - SIMILARITY of either's weight, rarest first. So class
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,13 +90,14 @@ def _summed(rows: DataFrame, size: int, tally: Callable[[pa.RecordBatch], Iterat
                 some = np.frombuffer(part.as_buffer(), dtype=np.float64)
                 sums[run] = sums[run] + some if run in sums else some.copy()
         for run, some in sums.items():
-            yield pa.record_batch([pa.array([run], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["run", "sums"])
+            yield pa.record_batch([pa.array([run], pa.int32()), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())], names=["run", "sums"])
 
-    # Tables are summed as they stream in, so a task holds the runs that are its own, however many tables there are.
+    # Tables are summed as they stream in, so a task holds the runs that are its own, however many tables there are. Most sums are small
+    # whole numbers: packed, they reach the driver as far smaller results.
     got = rows.mapInArrow(count, "run int, sums binary").repartition("run").mapInArrow(add, "run int, sums binary").toArrow()
     out = np.zeros(size)
     for run, part in zip(got.column("run").to_pylist(), got.column("sums"), strict=True):
-        out[run : run + RUN] = np.frombuffer(part.as_buffer(), dtype=np.float64)[: size - run]
+        out[run : run + RUN] = np.frombuffer(zlib.decompress(part.as_buffer()), dtype=np.float64)[: size - run]
     return out
 
 
@@ -126,7 +128,7 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, float]:
             slots = _min_slots(all_, bounds).reshape(-1)
             yield slots, np.ones(len(slots))
 
-    counts = texts.sparkSession.sparkContext.broadcast(_summed(texts.select("text"), MIN_HASHES << MIN_BITS, copies))
+    counts = texts.sparkSession.sparkContext.broadcast(_summed(texts.select("text"), MIN_HASHES << MIN_BITS, copies).astype(np.uint32))
 
     def holders(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, all_, bounds in _grouped(batch):

@@ -15,6 +15,7 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, mix64, text_slices
@@ -293,14 +294,13 @@ def _log_probability(hi: np.ndarray, lo: np.ndarray, model: list[SortedHashes])
     return out
 
 
-def measured(docs: DataFrame, models: dict, part: int = 0, parts: int = 1, keep: bool = False) -> DataFrame:
+def measured(docs: DataFrame, shipped: Broadcast, part: int = 0, parts: int = 1, keep: bool = False) -> DataFrame:
     """``docs`` (text, lang, fold and more) without fold, and without text unless ``keep``, with the base measures and ``log_p``, the log-probability of the text.
 
     ``log_p`` counts the characters after such as the part of the model holds, and is null without a model. Columns must not have the
-    names of measures.
+    names of measures. ``shipped``: what ``_arrays`` gives.
     """
     rest = [c for c in docs.columns if c != "fold" and (keep or c != "text")]
-    shipped = docs.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shipped.value
@@ -360,14 +360,21 @@ def _model(docs: DataFrame) -> tuple[DataFrame, int]:
     return model, n_parts(model, BROADCAST_ENTRIES)
 
 
-def _scored(docs: DataFrame, model: DataFrame, parts: int, keep: bool = False) -> DataFrame:
+def _shipped(model: DataFrame, parts: int) -> list[Broadcast]:
+    """The arrays of each part of the model, sent to the executors once for all that is scored."""
+    context = model.sparkSession.sparkContext
+    return [context.broadcast(_arrays(part_of(model, i, parts))) for i in range(parts)]
+
+
+def _scored(docs: DataFrame, shipped: list[Broadcast], keep: bool = False) -> DataFrame:
     """``docs`` (text, lang and more), without text unless ``keep``, with the base measures and ``log_ppl``, the mean negative log-probability of a word."""
+    parts = len(shipped)
     key = [F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")] if parts > 1 else []
-    rows = measured(docs.select("*", _fold(), *key), _arrays(part_of(model, 0, parts)), 0, parts, keep)
+    rows = measured(docs.select("*", _fold(), *key), shipped[0], 0, parts, keep)
     if parts > 1:
         # One sum of each text for each part but the first.
         texts = docs.select("text", "lang", _fold(), *key)
-        more = reduce(DataFrame.unionByName, (measured(texts, _arrays(part_of(model, i, parts)), i, parts).select("lang", "text_key", F.lit(i).alias("part"), "log_p") for i in range(1, parts)))
+        more = reduce(DataFrame.unionByName, (measured(texts, shipped[i], i, parts).select("lang", "text_key", F.lit(i).alias("part"), "log_p") for i in range(1, parts)))
         more = more.groupBy("lang", "text_key", "part").agg(F.first("log_p").alias("log_p")).groupBy("lang", "text_key").agg(F.sum("log_p").alias("more"))
         rows = rows.join(more.withColumnsRenamed({"lang": "_lang", "text_key": "_text_key"}), _same("lang", "text_key"), "left")
         rows = rows.withColumn("log_p", F.col("log_p") + F.coalesce("more", F.lit(0.0))).drop("_lang", "_text_key", "text_key", "more")
@@ -403,7 +410,7 @@ def assess(docs: DataFrame) -> DataFrame:
     (see BAND_WIDTH); a text whose log_ppl lies below or above it is rejected. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    scored = cut(_scored(rows, *_model(rows)))
+    scored = cut(_scored(rows, _shipped(*_model(rows))))
     return _judged(scored, _bands(scored)).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "kept")
 
 
@@ -414,7 +421,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     """
     names = {c: c if c in ("text", "lang") else f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select("text", "lang")
-    model, parts = _model(rows)
-    bands = _bands(cut(_scored(rows, model, parts)))
+    shipped = _shipped(*_model(rows))
+    bands = _bands(cut(_scored(rows, shipped)))
     whole = docs.select(*(docs[c].alias(n) for c, n in names.items()))
-    return _judged(_scored(whole, model, parts, keep=True), bands).where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
+    return _judged(_scored(whole, shipped, keep=True), bands).where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
