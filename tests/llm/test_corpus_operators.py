@@ -55,7 +55,7 @@ def test_mix_of_nothing(spark):
 
 
 def test_mix_runs_no_job_for_a_newton_step(spark):
-    """What the driver plans doesn't follow the number of steps; there were over 100 jobs."""
+    """What the driver plans doesn't follow the number of steps; there were 97 jobs."""
     rng = np.random.default_rng(3)
     docs = spark.createDataFrame([(i, "w " * int(n), "en", "abc"[i % 3], 1, "x") for i, n in enumerate(rng.integers(1, 300, 300))], DOC)
     spark.sparkContext.setJobGroup("mix", "mix")
