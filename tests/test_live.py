@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,75 @@ def test_rides_near_anchors(spark):
     assert WINDOW_MS == day
 
 
+class StateRows(live.Recorder):
+    """Also keeps how many rows a stream's join held after each batch."""
+
+    def __init__(self):
+        super().__init__()
+        self.held = []
+
+    def onQueryProgress(self, event):
+        self.held += [op.numRowsTotal for op in event.progress.stateOperators]
+        super().onQueryProgress(event)
+
+
+def crowd(rng, n, days=3):
+    """(id, ms, part) of n rows within some days, in parts 0 and 1, and of one 400 days later in part 2."""
+    return [(i, BASE + int(rng.integers(0, days * live.DAY_MS)), i % 2) for i in range(n)] + [(n, BASE + 400 * live.DAY_MS, 2)]
+
+
+def near(anchors, rides):
+    """By anchor, how many rides are within a day."""
+    starts = np.sort([ms for _, ms, _ in rides])
+    counts = {i: int(np.searchsorted(starts, ms + live.DAY_MS, "right") - np.searchsorted(starts, ms - live.DAY_MS, "left")) for i, ms, _ in anchors}
+    return {i: n for i, n in counts.items() if n}
+
+
+def test_many_rides_near_many_anchors_are_held_in_packs(spark):
+    rng = np.random.default_rng(5)
+    anchors, rides = crowd(rng, 1500), crowd(rng, 1500)
+    a = spark.createDataFrame(anchors, "anchor long, at_ms long, part int")
+    s = spark.createDataFrame([(i, "car", ms, part) for i, ms, part in rides], "id long, type string, start_ts_ms long, part int")
+    cats = spark.createDataFrame([("bogus", True)], "name string, ignored boolean")
+    recorder = StateRows()
+    spark.streams.addListener(recorder)
+    try:
+        got = replayed([a, s], lambda x, y: live.near_in_time(x, y, cats, late="10 days"), "crowd", recorder)
+    finally:
+        spark.streams.removeListener(recorder)
+    counts = got.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).collect()
+    assert {r.anchor: r.n for r in counts} == near(anchors, rides) and all(r.ids == r.n for r in counts)
+    # a row by itself would be held once as a ride and three times as an anchor; a batch's rows of a day are one
+    assert 0 < max(recorder.held) < 100
+    assert recorder.held[-1] <= 4  # what the watermark has passed goes
+
+
+def test_packs_are_spelled_out_by_tasks_that_follow_the_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    anchors, rides = crowd(rng, 700), crowd(rng, 900)
+    monkeypatch.setattr(live, "SPELLED_A_TASK", 20_000)
+    a = spark.createDataFrame(anchors, "anchor long, at_ms long, part int")
+    s = spark.createDataFrame([(i, "car", ms, part) for i, ms, part in rides], "id long, type string, start_ts_ms long, part int")
+    cats = spark.createDataFrame([("bogus", True)], "name string, ignored boolean")
+    packs = replayed([a, s], lambda x, y: live.packs_near_in_time(x, y, cats, late="500 days"))
+    want = near(anchors, rides)
+    out = live.spelled(live.dealt(packs))
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert {r.anchor: r["count"] for r in out.groupBy("anchor").count().collect()} == want
+    assert sum(tasks) == sum(want.values()) and len(tasks) > 10 and max(tasks) < sum(tasks) / 5
+    assert live.dealt(packs.limit(0)).count() == 0
+
+
+def test_packs_hold_all_rows_of_a_block_by_time():
+    rows = pa.RecordBatch.from_pylist([{"block": k % 3, "ms": 7919 * k % 5000, "row": {"id": k}} for k in range(5000)])
+    packs = [p for b in live.packed(iter([rows, rows.slice(0, 0)])) for p in b.to_pylist()]
+    assert sorted(r["id"] for p in packs for r in p["rows"]) == list(range(5000)) and len(packs) == 6
+    for p in packs:
+        times = [7919 * r["id"] % 5000 for r in p["rows"]]
+        assert times == sorted(times) and (p["first_ms"], p["last_ms"]) == (times[0], times[-1]) and {r["id"] % 3 for r in p["rows"]} == {p["block"]}
+    assert list(live.packed(iter([rows.slice(0, 0)]))) == []
+
+
 def test_a_recorder_keeps_batches(spark):
     frame = spark.createDataFrame([(i, i % 3) for i in range(30)], "n long, part int")
     recorder = live.Recorder()
